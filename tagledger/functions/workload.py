@@ -26,7 +26,7 @@ def owner() -> Column:
 def tag_keys(tags: str = "custom_tags") -> Column:
     """Sorted keys of a tag map; null map gives null. Sorting makes equal key
     sets equal as grouping keys."""
-    return F.array_sort(F.map_keys(F.col(tags)))
+    return F.sort_array(F.map_keys(F.col(tags)))
 
 
 def days_since(date: Column, as_of) -> Column:

@@ -12,39 +12,48 @@ from tagledger.operators.sequence import with_previous
 from tagledger.schemas import AUDIT, OUTCOMES, QUEUE_KEY, RESOURCE_KEY
 
 
-def with_resource(rows: DataFrame, tag_state: DataFrame) -> DataFrame:
-    """Look up each row's product and resource: adds ``can`` (capability struct)
-    and ``state`` (the resource's tags struct, null when it does not exist)."""
+def with_capability(rows: DataFrame) -> DataFrame:
+    """Add ``can``, the capability of the row's product; null when unknown."""
     matrix = capability.capability_matrix(rows.sparkSession)
     can = matrix.select("product", F.struct("*").alias("can"))
+    return rows.join(F.broadcast(can), "product", "left")
+
+
+def with_state(rows: DataFrame, tag_state: DataFrame) -> DataFrame:
+    """Add ``state``, a struct with the resource's tags; null when there is no
+    such resource. Nothing that follows needs the rows grouped, so Spark is
+    free to split a resource that many rows ask for."""
     state = tag_state.select(*RESOURCE_KEY, F.struct("tags").alias("state"))
-    return (
-        rows.join(F.broadcast(can), "product", "left")
-        .join(state, list(RESOURCE_KEY), "left")
-    )
+    return rows.join(state, list(RESOURCE_KEY), "left")
 
 
-def refusal() -> Column:
-    """Struct (status, error) when a row cannot be written, else null. Policy
-    comes before everything else, as nothing is looked up for those."""
-    def no(status: str, error: Column) -> Column:
-        return F.struct(F.lit(status).alias("status"), error.alias("error"))
+def _no(status: str, error: Column) -> Column:
+    return F.struct(F.lit(status).alias("status"), error.alias("error"))
 
+
+def refused_by_rule() -> Column:
+    """Struct (status, error) when the product, the serverless flag or the id
+    rules a write out, else null. Policy comes first: for those products
+    nothing is looked up."""
     product, can = F.col("product"), F.col("can")
     serverless = F.coalesce(F.col("is_serverless").cast("int") == 1, F.lit(False))
     unsupported = can["policy_driven"] | can["ui_only"] | (can["serverless_differs"] & serverless)
     job_id_ok = F.rlike("workload_id", F.lit(r"^\s*[+-]?[0-9]+\s*$"))
     return (
-        F.when(can.isNull(), no(C.UNSUPPORTED, F.concat(
+        F.when(can.isNull(), _no(C.UNSUPPORTED, F.concat(
             F.lit("no way to write tags of product "), product)))
-        .when(unsupported, no(C.UNSUPPORTED, can["reason"]))
-        .when((product == "JOBS") & ~job_id_ok, no(C.FAILED, F.concat(
+        .when(unsupported, _no(C.UNSUPPORTED, can["reason"]))
+        .when((product == "JOBS") & ~job_id_ok, _no(C.FAILED, F.concat(
             F.lit("InvalidId: job id must be an integer, not "), F.col("workload_id"))))
-        .when(F.col("state").isNull(), no(C.FAILED, F.concat(
-            F.lit("ResourceDoesNotExist: "), product, F.lit(" "), F.col("workload_id"))))
     )
 
 
+def refused_by_state() -> Column:
+    """Struct (status, error) when the resource does not exist, else null."""
+    return F.when(F.col("state").isNull(), _no(C.FAILED, F.concat(
+        F.lit("ResourceDoesNotExist: "), F.col("product"), F.lit(" "), F.col("workload_id"))))
+
+
 def attempts(claimed: DataFrame, tag_state: DataFrame, dry_run: bool = True) -> DataFrame:
     """One row per claimed row: status, error, old and new value, whether the
     key already stood as wanted (``noop``) and whether nothing was written
@@ -53,8 +62,11 @@ def attempts(claimed: DataFrame, tag_state: DataFrame, dry_run: bool = True) ->
     Rows for the same resource and key take effect in the order they were
     queued, so each sees the value the one before it left. A trial run changes
     nothing, so there every row sees the stored value. Where a product's tags
-    cannot be read, the old value is unknown and nothing counts as a no-op."""
-    rows = with_resource(claimed, tag_state).withColumn("no", refusal())
+    cannot be read, the old value is unknown and nothing counts as a no-op.
+
+    Histories are followed before the tag state is looked up. A missing
+    resource fails all its rows alike, so its histories do not matter."""
+    rows = with_capability(claimed).withColumn("no", refused_by_rule())
     if dry_run:
         rows = rows.withColumn("previous", F.lit(None).cast("string"))
     else:
@@ -62,6 +74,7 @@ def attempts(claimed: DataFrame, tag_state: DataFrame, dry_run: bool = True) ->
             rows.withColumn("_refused", F.col("no").isNotNull()),
             [*RESOURCE_KEY, "tag_key", "_refused"], "tag_value", "enqueued_at", "batch_id",
         ).drop("_refused")
+    rows = with_state(rows, tag_state).withColumn("no", F.coalesce("no", refused_by_state()))
     written = F.col("no").isNull()
     readable = written & F.col("can")["rollback"]
     old = F.when(readable, F.coalesce(F.col("previous"), value_of(F.col("state.tags"), F.col("tag_key"))))

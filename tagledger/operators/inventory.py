@@ -75,7 +75,7 @@ def inventory_sweep(listings: Mapping[str, DataFrame], scan_id: str, scanned_at:
     return union.join(F.broadcast(can), "product", "left").withColumns({
         "scan_id": F.lit(scan_id),
         "scanned_at": F.lit(scanned_at),
-        "tag_keys": F.array_sort(F.map_keys("tags")),
+        "tag_keys": F.sort_array(F.map_keys("tags")),
         "tag_count": F.size("tags"),
         "direct_tag": F.coalesce("direct_tag", F.lit(False)),
         "raw_state": F.lit(None).cast("string"),

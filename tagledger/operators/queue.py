@@ -133,11 +133,10 @@ def auto_tag_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def claim(queue: DataFrame, now: dt.datetime, run_token: str, workspace_id: str | None = None,
-          batch_id: str | None = None) -> DataFrame:
-    """Queue snapshot with the rows of this run marked RUNNING and stamped with
-    its token: pending ones and those left RUNNING for over half an hour. A
-    projection, no shuffle. One writer publishes snapshots at a time."""
+def claimable(now: dt.datetime, workspace_id: str | None = None,
+              batch_id: str | None = None) -> Column:
+    """Rows a run may take: pending ones, and those left RUNNING for over half
+    an hour. Stored columns against literals, so it reaches the scan."""
     stale = F.lit(now - dt.timedelta(minutes=STALE_CLAIM_MINUTES))
     free = (F.col("status") == PENDING) | (
         (F.col("status") == RUNNING) & (F.col("executed_at") < stale))
@@ -145,7 +144,15 @@ def claim(queue: DataFrame, now: dt.datetime, run_token: str, workspace_id: str
         free = free & (F.col("workspace_id") == workspace_id)
     if batch_id:
         free = free & (F.col("batch_id") == batch_id)
-    free = F.coalesce(free, F.lit(False))
+    return free
+
+
+def claim(queue: DataFrame, now: dt.datetime, run_token: str, workspace_id: str | None = None,
+          batch_id: str | None = None) -> DataFrame:
+    """Queue snapshot with the claimable rows marked RUNNING and stamped with
+    the run's token. A projection, no shuffle. One writer publishes snapshots
+    at a time."""
+    free = F.coalesce(claimable(now, workspace_id, batch_id), F.lit(False))
     return queue.withColumns({
         "status": F.when(free, RUNNING).otherwise(F.col("status")),
         "last_error": F.when(free, run_token).otherwise(F.col("last_error")),

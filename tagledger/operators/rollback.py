@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from tagledger import constants as C
-from tagledger.operators.apply import audit_id, change_state, refusal, with_resource
+from tagledger.operators.apply import (
+    audit_id, change_state, refused_by_rule, refused_by_state, with_capability, with_state,
+)
 from tagledger.schemas import AUDIT
 
 CHANGE_KEY = ("product", "workload_id", "tag_key")
@@ -43,8 +45,8 @@ def rollback_attempts(plan: DataFrame, tag_state: DataFrame, dry_run: bool = Tru
     if dry_run:
         return plan.withColumns({
             "status": F.lit(C.DRY_RUN), "error": F.lit(None).cast("string")})
-    rows = with_resource(plan.withColumn("is_serverless", F.lit(0)), tag_state)
-    return rows.withColumn("no", refusal()).select(
+    rows = with_state(with_capability(plan.withColumn("is_serverless", F.lit(0))), tag_state)
+    return rows.withColumn("no", F.coalesce(refused_by_rule(), refused_by_state())).select(
         *plan.columns,
         F.when(F.col("no").isNull(), C.SUCCEEDED).otherwise(C.FAILED).alias("status"),
         F.col("no.error").alias("error"),

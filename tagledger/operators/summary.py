@@ -84,7 +84,7 @@ def daily_summary(usage: DataFrame, list_prices: DataFrame, as_of: dt.date,
         F.max("workload_name").alias("workload_name"),
         F.max("owner").alias("owner"),
         F.max("is_serverless").alias("is_serverless"),
-        F.array_sort(F.array_distinct(F.flatten(key_sets))).alias("tag_keys"),
+        F.sort_array(F.array_distinct(F.flatten(key_sets))).alias("tag_keys"),
         F.sum("dbus").cast("decimal(38,6)").alias("dbus"),
         F.sum(cost).cast(MONEY).alias("list_cost"),
         F.sum(no_price).cast("decimal(38,6)").alias("unpriced_dbus"),

@@ -34,7 +34,8 @@ def run_writer(queue: DataFrame, tag_state: DataFrame, now: dt.datetime, run_tok
                batch_id: str | None = None) -> RunResult:
     """Claim, apply, and settle the queue. The caller publishes the snapshots."""
     claimed = Q.claim(queue, now, run_token, workspace_id, batch_id)
-    tried = _stored(A.attempts(Q.claimed_rows(claimed, run_token), tag_state, dry_run), "attempts")
+    taken = queue.filter(Q.claimable(now, workspace_id, batch_id))
+    tried = _stored(A.attempts(taken, tag_state, dry_run), "attempts")
     return RunResult(
         queue=A.apply_outcomes(claimed, A.outcomes(tried, now)),
         tag_state=A.applied_state(tag_state, tried),
