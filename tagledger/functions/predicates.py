@@ -15,7 +15,9 @@ def _array(values: Sequence[str]) -> Column:
 
 def carries_key(keys: Sequence[str], column: str = "tag_keys") -> Column:
     """Does this row's key array hold any chosen key (any key at all when none
-    are chosen)? A null array holds nothing."""
+    are chosen)? A null array holds nothing. A group of rows misses all keys
+    when no row carries one, so a boolean maximum of this replaces the union of
+    the arrays and nothing is ever collected."""
     keys = list(keys)
     held = F.arrays_overlap(F.col(column), _array(keys)) if keys else F.size(column) > 0
     return F.coalesce(held, F.lit(False))
@@ -26,13 +28,6 @@ def untagged(keys: Sequence[str], column: str = "tag_keys") -> Column:
     return ~carries_key(keys, column)
 
 
-def untagged_agg(keys: Sequence[str], column: str = "tag_keys") -> Column:
-    """A group misses all chosen keys. Overlap with the union of the arrays is
-    the same as overlap with any of them, so a boolean maximum does it and no
-    array is ever collected."""
-    return ~F.max(carries_key(keys, column))
-
-
 def taggable(product: str = "product", serverless: str = "is_serverless") -> Column:
     """Not governed by a policy, and not serverless SQL."""
     governed = F.col(product).isin(*capability.policy_governed_products())

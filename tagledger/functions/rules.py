@@ -92,7 +92,8 @@ def rule_tags(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
         F.struct(F.lit(i).alias("rule_idx"), F.lit(k).alias("tag_key"), F.lit(v).alias("tag_value"))
         for i, rule in enumerate(rules) for k, v in rule.tags.items()
     ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    shape = "array<struct<rule_idx:int,tag_key:string,tag_value:string>>"
+    return spark.range(1).select(F.inline(F.array(*rows).cast(shape)))
 
 
 def value_for_key(rules: Sequence[Rule], key: str, position: str = "first_rule") -> Column:
@@ -102,7 +103,7 @@ def value_for_key(rules: Sequence[Rule], key: str, position: str = "first_rule")
     return F.when(F.col(position) >= 0, F.get(values, F.col(position)))
 
 
-def covers_key(rules: Sequence[Rule], key: str) -> Column:
+def covers_key(rules: Sequence[Rule], key: str, position: str = "first_rule") -> Column:
     """Does the winning rule set ``key``?"""
     setters = [i for i, rule in enumerate(rules) if key in rule.tags]
-    return first_match(rules).isin(*setters) if setters else F.lit(False)
+    return F.col(position).isin(*setters) if setters else F.lit(False)

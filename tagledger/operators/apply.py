@@ -66,7 +66,8 @@ def attempts(claimed: DataFrame, tag_state: DataFrame, dry_run: bool = True) ->
 
     Histories are followed before the tag state is looked up. A missing
     resource fails all its rows alike, so its histories do not matter."""
-    rows = with_capability(claimed).withColumn("no", refused_by_rule())
+    rows = with_capability(claimed).withColumns({
+        "no": refused_by_rule(), "readable": F.col("can.rollback")}).drop("can")
     if dry_run:
         rows = rows.withColumn("previous", F.lit(None).cast("string"))
     else:
@@ -76,7 +77,7 @@ def attempts(claimed: DataFrame, tag_state: DataFrame, dry_run: bool = True) ->
         ).drop("_refused")
     rows = with_state(rows, tag_state).withColumn("no", F.coalesce("no", refused_by_state()))
     written = F.col("no").isNull()
-    readable = written & F.col("can")["rollback"]
+    readable = written & F.col("readable")
     old = F.when(readable, F.coalesce(F.col("previous"), value_of(F.col("state.tags"), F.col("tag_key"))))
     noop = readable & is_noop(F.col("old_value"), F.col("tag_value"))
     return rows.withColumn("old_value", old).select(

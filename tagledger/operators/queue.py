@@ -11,7 +11,7 @@ from tagledger.constants import PENDING, RUNNING, STALE_CLAIM_MINUTES
 from tagledger.functions.rules import complete_rules, covers_key, rule_tags
 from tagledger.operators.guards import not_handled, not_in_batch
 from tagledger.operators.rule_impact import rule_candidates
-from tagledger.operators.suggestions import suggestion_candidates
+from tagledger.operators.suggestions import with_suggestion
 from tagledger.operators.summary import WORKLOAD_KEY
 from tagledger.operators.tag_plan import tag_plan
 from tagledger.schemas import QUEUE_MONEY, WRITE_QUEUE
@@ -103,26 +103,19 @@ def auto_tag(summary: DataFrame, suggestions: DataFrame, queue: DataFrame, key:
              rules: Sequence = (), min_confidence: float = 0.8,
              workspaces: Sequence[str] | None = None, use_suggestions: bool = True) -> DataFrame:
     """Rules first, suggestions for the rest, one batch; ``origin`` tells the
-    two apart. A workload whose rule sets ``key`` is excluded from the
-    suggestions by looking at the rule itself, so the new rows need not be
-    joined back."""
+    two apart. Both read the same workloads, so their shuffle is shared. A
+    workload whose rule sets ``key`` is left out of the suggestions by looking
+    at the rule itself, so the new rows need not be joined back."""
     wanted = complete_rules(rules)
-    parts = []
-    if wanted:
-        matched = rule_candidates(summary, [key], rules, as_of, days, workspaces).filter("first_rule >= 0")
-        parts.append(_with_rule_tags(matched, wanted, batch_id, requested_by, now)
-                     .withColumn("origin", F.lit("rule")))
-    if use_suggestions:
-        found = suggestion_candidates(
-            summary, suggestions, queue, key, min_confidence, as_of, days, workspaces)
-        if wanted:
-            found = found.filter(~covers_key(wanted, key))
-        rows = enqueue_suggestions(found, queue, key, batch_id, requested_by, now)
-        parts.append(rows.withColumn("origin", F.lit("suggestion")))
-    if not parts:
-        empty = summary.sparkSession.createDataFrame([], WRITE_QUEUE)
-        return empty.withColumn("origin", F.lit(None).cast("string"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    workloads = rule_candidates(summary, [key], rules, as_of, days, workspaces)
+    by_rule = _with_rule_tags(workloads.filter("first_rule >= 0"), wanted, batch_id, requested_by, now)
+    rows = by_rule.withColumn("origin", F.lit("rule"))
+    if not use_suggestions:
+        return rows
+    rest = with_suggestion(workloads.filter(~covers_key(wanted, key)), suggestions, min_confidence)
+    suggested = enqueue_suggestions(
+        not_handled(rest, queue, key), queue, key, batch_id, requested_by, now)
+    return rows.unionByName(suggested.withColumn("origin", F.lit("suggestion")))
 
 
 def auto_tag_counts(rows: DataFrame) -> DataFrame:

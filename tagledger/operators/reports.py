@@ -29,7 +29,7 @@ def kpi_summary(summary: DataFrame, keys: Sequence[str], as_of: dt.date, days: i
     """Total and untagged cost, the share, and how many workload ids are untagged."""
     untagged = F.col("is_untagged")
     cost, missing = F.sum("cost"), _where(untagged)
-    return workload_rollup(summary, keys, as_of, days, workspaces).agg(
+    return workload_rollup(summary, keys, as_of, days, workspaces, text=()).agg(
         _whole(cost).alias("total_cost"),
         _whole(missing).alias("untagged_cost"),
         _percent(missing, cost).alias("pct_untagged"),
@@ -44,7 +44,7 @@ def by_product(summary: DataFrame, keys: Sequence[str], as_of: dt.date, days: in
     untagged = F.col("is_untagged")
     cost, missing = F.sum("cost"), _where(untagged)
     return (
-        workload_rollup(summary, keys, as_of, days, workspaces)
+        workload_rollup(summary, keys, as_of, days, workspaces, text=())
         .groupBy("product")
         .agg(
             _whole(cost).alias("total_cost"),
@@ -111,7 +111,7 @@ def not_taggable_breakdown(summary: DataFrame, key: str, as_of: dt.date, days: i
                            workspaces: Sequence[str] | None = None) -> DataFrame:
     """Untagged cost that no direct tag can cover, per product and reason."""
     return (
-        workload_rollup(summary, [key], as_of, days, workspaces)
+        workload_rollup(summary, [key], as_of, days, workspaces, text=())
         .filter(F.col("is_untagged") & (F.col("cost") > 0))
         .withColumn("reason", not_taggable_reason())
         .filter(F.col("reason") != TAGGABLE)

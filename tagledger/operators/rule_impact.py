@@ -18,10 +18,13 @@ def rule_candidates(summary: DataFrame, keys: Sequence[str], rules: Sequence, as
                     days: int, workspaces: Sequence[str] | None = None) -> DataFrame:
     """Untagged workloads with cost that take a direct tag, each with the
     position of its winning rule (-1 for none). The product half of
-    ``taggable`` filters a grouping column, so it moves down to the scan."""
+    ``taggable`` filters a grouping column, so it moves down to the scan. The
+    summary holds no null ids; saying so here as well keeps plans that join
+    these rows equal to plans that do not, so their shuffle can be reused."""
     return (
         workload_rollup(summary, keys, as_of, days, workspaces)
         .filter(F.col("is_untagged") & (F.col("cost") > 0) & taggable())
+        .filter(F.col("product").isNotNull() & F.col("workload_id").isNotNull())
         .withColumn("first_rule", first_match(complete_rules(rules)))
     )
 

@@ -81,25 +81,29 @@ def score_workloads(workloads: DataFrame, now: dt.datetime,
     )
 
 
-def _suggested(summary: DataFrame, suggestions: DataFrame, key: str, cutoff: float,
-               as_of: dt.date, days: int, workspaces: Sequence[str] | None) -> DataFrame:
-    """Untagged workloads with cost, joined to a confident suggestion. The
-    rollup is already partitioned by the join key."""
-    untagged = (
-        workload_rollup(summary, [key], as_of, days, workspaces)
-        .filter(F.col("is_untagged") & (F.col("cost") > 0))
-    )
+def with_suggestion(workloads: DataFrame, suggestions: DataFrame, cutoff: float) -> DataFrame:
+    """Join workloads to their confident suggestion. A workload rollup is
+    already partitioned by the join key."""
     wanted = suggestions.filter(confident(cutoff)).select(
         *WORKLOAD_KEY, "suggested_cost_center", "confidence")
-    return untagged.join(wanted, list(WORKLOAD_KEY))
+    return workloads.join(wanted, list(WORKLOAD_KEY))
+
+
+def _untagged(summary: DataFrame, key: str, as_of: dt.date, days: int,
+              workspaces: Sequence[str] | None, text: Sequence[str]) -> DataFrame:
+    return (
+        workload_rollup(summary, [key], as_of, days, workspaces, text)
+        .filter(F.col("is_untagged") & (F.col("cost") > 0))
+    )
 
 
 def suggestion_candidates(summary: DataFrame, suggestions: DataFrame, queue: DataFrame, key: str,
                           cutoff: float, as_of: dt.date, days: int,
                           workspaces: Sequence[str] | None = None) -> DataFrame:
-    """Suggested workloads that take a direct tag and are not handled yet."""
-    found = _suggested(summary, suggestions, key, cutoff, as_of, days, workspaces)
-    return not_handled(found.filter(taggable()), queue, key)
+    """Untagged workloads with cost and a confident suggestion that take a
+    direct tag and are not handled yet."""
+    open_ = _untagged(summary, key, as_of, days, workspaces, ("workspace_id", "workload_name"))
+    return not_handled(with_suggestion(open_.filter(taggable()), suggestions, cutoff), queue, key)
 
 
 def suggestion_impact(candidates: DataFrame) -> DataFrame:
@@ -128,6 +132,6 @@ def policy_governed_impact(summary: DataFrame, suggestions: DataFrame, key: str,
                            as_of: dt.date, days: int,
                            workspaces: Sequence[str] | None = None) -> DataFrame:
     """Confident suggestions that no direct tag can carry out."""
-    found = _suggested(summary, suggestions, key, cutoff, as_of, days, workspaces)
-    return found.filter(~taggable()).agg(
+    governed = _untagged(summary, key, as_of, days, workspaces, ()).filter(~taggable())
+    return with_suggestion(governed, suggestions, cutoff).agg(
         F.count(F.lit(1)).alias("workloads"), F.round(F.sum("cost"), 0).alias("cost"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tagledger.constants import SUMMARY_DAYS
 from tagledger.functions import workload as W
-from tagledger.functions.predicates import untagged_agg
+from tagledger.functions.predicates import carries_key
 from tagledger.schemas import MONEY
 
 DAY_KEY = ("usage_date", "workspace_id", "product", "workload_id")
@@ -99,19 +99,32 @@ def summary_window(summary: DataFrame, as_of: dt.date, days: int,
     return rows.filter(F.col("workspace_id").isin(*workspaces)) if workspaces else rows
 
 
+TEXT = ("workspace_id", "workload_name", "owner")
+
+
 def workload_rollup(summary: DataFrame, keys: Sequence[str], as_of: dt.date, days: int,
-                    workspaces: Sequence[str] | None = None) -> DataFrame:
-    """One row per product and workload over the window. Columns the caller
-    does not use are pruned from the aggregate, and the result stays
-    partitioned by the workload key, which later joins reuse."""
-    return summary_window(summary, as_of, days, workspaces).groupBy(*WORKLOAD_KEY).agg(
-        F.max("workspace_id").alias("workspace_id"),
-        F.max("workload_name").alias("workload_name"),
-        F.max("owner").alias("owner"),
-        F.max("is_serverless").alias("is_serverless"),
-        F.max("usage_date").alias("last_seen"),
-        untagged_agg(keys).alias("is_untagged"),
-        F.sum("list_cost").cast(MONEY).alias("cost"),
+                    workspaces: Sequence[str] | None = None,
+                    text: Sequence[str] = TEXT) -> DataFrame:
+    """One row per product and workload over the window, with the ``text``
+    columns asked for; the result stays partitioned by the workload key, which
+    later joins reuse.
+
+    The maximum of a string cannot be kept in a hash aggregate. Text columns
+    therefore are grouping keys of a first step, which leaves a row or two per
+    workload, and only those are sorted. Without text one step is enough.
+    Numbers the caller does not use are pruned."""
+    rows = summary_window(summary, as_of, days, workspaces).withColumns({
+        "_carries": carries_key(keys), "cost": F.col("list_cost"), "last_seen": F.col("usage_date")})
+
+    def numbers():
+        return [F.max("is_serverless").alias("is_serverless"), F.max("last_seen").alias("last_seen"),
+                F.max("_carries").alias("_carries"), F.sum("cost").cast(MONEY).alias("cost")]
+
+    if text:
+        rows = rows.groupBy(*WORKLOAD_KEY, *text).agg(*numbers())
+    return (
+        rows.groupBy(*WORKLOAD_KEY).agg(*[F.max(c).alias(c) for c in text], *numbers())
+        .withColumn("is_untagged", ~F.col("_carries")).drop("_carries")
     )
 
 

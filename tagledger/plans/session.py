@@ -24,6 +24,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.driver.memory": memory,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
