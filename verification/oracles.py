@@ -272,7 +272,8 @@ def undo(order: str, more: str = "") -> str:
 cte("sets", """
   SELECT * FROM audit WHERE batch_id = 'batch-0' AND action = 'SET' AND status = 'SUCCEEDED'""", "audit")
 cte("plan", undo("DESC"), "sets")
-cte("plan_first", undo("ASC", """AND NOT EXISTS (
+cte("plan_first", undo("ASC"), "sets")
+cte("plan_remaining", undo("DESC", """AND NOT EXISTS (
     SELECT 1 FROM audit a WHERE a.batch_id = 'batch-0' AND a.action = 'ROLLBACK'
       AND a.status = 'SUCCEEDED' AND a.product = l.product AND a.workload_id = l.workload_id
       AND a.tag_key = l.tag_key)"""), "sets")
@@ -529,7 +530,7 @@ SELECT batch_id, workload_id, product, tag_key, CASE WHEN f THEN 'RUNNING' ELSE
 FROM (SELECT *, coalesce({FREE}, false) AS f FROM queue)""", "queue")
     o["drain_order"] = query(f"""
 SELECT batch_id, workload_id, product, tag_key, list_cost FROM claimed
-WHERE batch_id = 'batch-1' AND workspace_id = '9' ORDER BY list_cost DESC NULLS LAST""", "claimed")
+WHERE batch_id = 'batch-0' AND workspace_id = '7' ORDER BY list_cost DESC NULLS LAST""", "claimed")
     o["apply_attempts"] = query("""
 SELECT batch_id, workload_id, product, tag_key, result AS status, old_value,
        CASE WHEN result = 'SUCCEEDED' THEN tag_value END AS new_value, noop FROM tried_flags""", "tried_flags")
@@ -549,6 +550,7 @@ FULL JOIN writes w USING (workspace_id, product, workload_id, tag_key)""", "stat
     o["run_summary"] = query("SELECT result AS status, count(*) AS rows FROM tried GROUP BY result", "tried")
     o["rollback_plan"] = query("SELECT * FROM plan", "plan")
     o["rollback_plan_earliest"] = query("SELECT * FROM plan_first", "plan_first")
+    o["rollback_plan_remaining"] = query("SELECT * FROM plan_remaining", "plan_remaining")
     o["rollback_audit"] = query("""
 SELECT batch_id, workspace_id, product, workload_id, tag_key, new_value AS old_value, old_value AS new_value,
        'ROLLBACK' AS action, status FROM undone""", "undone")

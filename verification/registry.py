@@ -343,7 +343,7 @@ def claim(spark, sf):
 
 @register("batch_id:s workload_id:s product:s tag_key:s list_cost:m")
 def drain_order(spark, sf):
-    claimed = Q.claim(X.queue(spark, sf), NOW, RUN, workspace_id="9", batch_id="batch-1")
+    claimed = Q.claim(X.queue(spark, sf), NOW, RUN, workspace_id="7", batch_id=BATCH)
     return Q.drain_order(Q.claimed_rows(claimed, RUN))
 
 
@@ -406,7 +406,12 @@ def rollback_plan(spark, sf):
 
 @register(PLAN)
 def rollback_plan_earliest(spark, sf):
-    return RB.rollback_plan(X.audit(spark, sf), BATCH, anchor="earliest", skip_rolled_back=True)
+    return RB.rollback_plan(X.audit(spark, sf), BATCH, anchor="earliest")
+
+
+@register(PLAN)
+def rollback_plan_remaining(spark, sf):
+    return RB.rollback_plan(X.audit(spark, sf), BATCH, skip_rolled_back=True)
 
 
 def _rollback(spark, sf):
