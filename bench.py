@@ -53,8 +53,8 @@ def main() -> None:
         return tables.read_table(spark, name, f"{base}/{name}")
 
     def build_summary() -> None:
-        tables.write_summary(
-            S.daily_summary(t("usage"), t("list_prices"), AS_OF), f"{base}/summary")
+        tables.replace_table(
+            S.daily_summary(t("usage"), t("list_prices"), AS_OF), "summary", f"{base}/summary")
 
     def claimed():
         return t("write_queue").filter(Q.claimable(NOW))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tagledger.constants import RULE_FIELDS
 
 NO_RULE = -1
+# From this many equals rules on one field, look them up by a join.
+MANY_EQUALS = 16
 
 # In a glob, * and ? are wildcards and everything else is literal.
 _GLOB_TO_LIKE = str.maketrans({"*": "%", "?": "_", "%": r"\%", "_": r"\_", "\\": "\\\\"})
@@ -61,28 +63,41 @@ def rule_match(rule: Rule) -> Column:
 
 
 def first_match(rules: Sequence[Rule]) -> Column:
-    """Position of the first matching rule, or -1.
+    """Position of the first matching rule, or -1, as one CASE ladder."""
+    return _ladder(enumerate(rules), F.lit(NO_RULE))
 
-    ``equals`` rules become one map lookup per field, so many of them cost one
-    hash probe a row. The others form one CASE ladder. The smaller position of
-    the two wins, which is the same as testing the rules in order."""
-    lookups: dict[str, dict[str, int]] = {}
+
+def _ladder(placed: Iterable[tuple[int, Rule]], otherwise: Column) -> Column:
     ladder: Column | None = None
+    for position, rule in placed:
+        hit = rule_match(rule)
+        ladder = F.when(hit, position) if ladder is None else ladder.when(hit, position)
+    return otherwise if ladder is None else ladder.otherwise(otherwise)
+
+
+def with_first_rule(workloads: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Add ``first_rule``. Where one field has many ``equals`` rules, they are
+    found by a hash join with the rule list instead of being tested in turn.
+    The smaller position of join and ladder wins, which is the same as testing
+    all rules in order."""
+    lookups: dict[str, dict[str, int]] = {}
     for position, rule in enumerate(rules):
         if rule.op == "equals" and rule.value.isascii():
             lookups.setdefault(rule.field, {}).setdefault(rule.value.lower(), position)
-        else:
-            hit = rule_match(rule)
-            ladder = F.when(hit, position) if ladder is None else ladder.when(hit, position)
-    found = [] if ladder is None else [ladder]
+    lookups = {f: values for f, values in lookups.items() if len(values) >= MANY_EQUALS}
+    rest = [(i, r) for i, r in enumerate(rules)
+            if r.op != "equals" or r.value.lower() not in lookups.get(r.field, {})]
+    found, rows = [_ladder(rest, F.lit(None).cast("int"))], workloads
     for name, positions in lookups.items():
-        table = F.create_map(*[F.lit(x) for pair in positions.items() for x in pair])
-        text = F.lower(F.coalesce(F.col(RULE_FIELDS[name]), F.lit("")))
-        found.append(F.try_element_at(table, text))
-    if not found:
-        return F.lit(NO_RULE)
-    winner = found[0] if len(found) == 1 else F.least(*found)
-    return F.coalesce(winner, F.lit(NO_RULE))
+        text, at = f"_text_{name}", f"_at_{name}"
+        pairs = [F.struct(F.lit(v).alias(text), F.lit(i).alias(at)) for v, i in positions.items()]
+        listed = workloads.sparkSession.range(1).select(F.inline(F.array(*pairs)))
+        lowered = F.lower(F.coalesce(F.col(RULE_FIELDS[name]), F.lit("")))
+        rows = rows.withColumn(text, lowered).join(F.broadcast(listed), text, "left").drop(text)
+        found.append(F.col(at))
+    winner = F.least(*found) if len(found) > 1 else found[0]
+    return rows.withColumn("first_rule", F.coalesce(winner, F.lit(NO_RULE))).drop(
+        *[f"_at_{name}" for name in lookups])
 
 
 def rule_tags(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tagledger.constants import RULE_SAMPLE_LIMIT
 from tagledger.functions.predicates import taggable
-from tagledger.functions.rules import complete_rules, first_match, value_for_key
+from tagledger.functions.rules import complete_rules, value_for_key, with_first_rule
 from tagledger.operators.guards import not_handled
 from tagledger.operators.summary import workload_rollup
 
@@ -21,12 +21,12 @@ def rule_candidates(summary: DataFrame, keys: Sequence[str], rules: Sequence, as
     ``taggable`` filters a grouping column, so it moves down to the scan. The
     summary holds no null ids; saying so here as well keeps plans that join
     these rows equal to plans that do not, so their shuffle can be reused."""
-    return (
+    workloads = (
         workload_rollup(summary, keys, as_of, days, workspaces)
         .filter(F.col("is_untagged") & (F.col("cost") > 0) & taggable())
         .filter(F.col("product").isNotNull() & F.col("workload_id").isNotNull())
-        .withColumn("first_rule", first_match(complete_rules(rules)))
     )
+    return with_first_rule(workloads, complete_rules(rules))
 
 
 def rule_impact(summary: DataFrame, queue: DataFrame, keys: Sequence[str], rules: Sequence,

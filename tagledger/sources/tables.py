@@ -7,24 +7,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tagledger.schemas import TABLES, conform
 
 
+# Stored in one directory per value, so that a day or a scan can be picked out.
+PARTITIONED_BY = {"summary": "usage_date", "inventory": "scan_id"}
+
+
 def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:
     """Read with the fixed schema; nothing is inferred."""
-    return spark.read.schema(TABLES[table]).parquet(path)
+    schema = TABLES[table]
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
-def append_table(rows: DataFrame, table: str, path: str) -> None:
-    conform(rows, table).write.mode("append").parquet(path)
+def _write(rows: DataFrame, table: str, path: str, mode: str) -> None:
+    """``rebalance`` gathers each directory's rows into files of even size and
+    splits what is too large for one file."""
+    column = PARTITIONED_BY.get(table)
+    shaped = conform(rows, table)
+    if column is None:
+        shaped.write.mode(mode).parquet(path)
+    else:
+        shaped.hint("rebalance", F.col(column)).write.mode(mode).partitionBy(column).parquet(path)
 
 
-def replace_table(rows: DataFrame, table: str, path: str) -> None:
-    conform(rows, table).write.mode("overwrite").parquet(path)
+def append_table(rows: DataFrame, table: str, path: str) -> None:
+    _write(rows, table, path, "append")
 
 
-def write_summary(summary: DataFrame, path: str) -> None:
-    """Replace the summary, one directory per day. ``rebalance`` gathers each
-    day into files of even size and splits a day that is too large for one."""
-    conform(summary, "summary").hint("rebalance", F.col("usage_date")).write.mode(
-        "overwrite").partitionBy("usage_date").parquet(path)
+def replace_table(rows: DataFrame, table: str, path: str) -> None:
+    _write(rows, table, path, "overwrite")
 
 
 class VersionedTable:

@@ -28,9 +28,9 @@ def stored(spark, tmp_path_factory):
     for name, build in (("usage", X.usage), ("list_prices", X.list_prices), ("write_queue", X.queue),
                         ("tag_state", X.tag_state), ("suggestions", X.suggestions)):
         T.replace_table(build(spark, SF), name, f"{base}/{name}")
-    T.write_summary(S.daily_summary(
+    T.replace_table(S.daily_summary(
         T.read_table(spark, "usage", f"{base}/usage"), T.read_table(spark, "list_prices", f"{base}/list_prices"),
-        AS_OF), f"{base}/summary")
+        AS_OF), "summary", f"{base}/summary")
     return lambda name: T.read_table(spark, name, f"{base}/{name}")
 
 

@@ -19,7 +19,7 @@ def workloads(spark):
 def matches(workloads, field, op, value):
     rule = R.Rule(field, op, value, {"k": "v"})
     direct = workloads.filter(R.rule_match(rule))
-    by_position = workloads.filter(R.first_match([rule]) == 0)
+    by_position = R.with_first_rule(workloads, [rule]).filter("first_rule = 0")
     found = sorted(r["workload_id"] for r in direct.collect())
     assert found == sorted(r["workload_id"] for r in by_position.collect())
     return "".join(found)
@@ -54,7 +54,7 @@ def test_first_rule_wins_across_kinds(workloads):
         {"field": "owner", "op": "contains", "value": "o'brien", "tags": {"k": "3"}},
         {"field": "workspace", "op": "equals", "value": "7", "tags": {"k": "4"}},
     ])
-    found = dict(workloads.select("workload_id", R.first_match(rules).alias("r")).collect())
+    found = dict(R.with_first_rule(workloads, rules).select("workload_id", "first_rule").collect())
     assert found == {"a": 0, "b": 0, "c": 1, "d": -1}
 
 
@@ -76,21 +76,24 @@ def test_unknown_field_is_an_error():
 def test_many_rules_agree_with_testing_each_in_turn(spark):
     words = [f"w{i}" for i in range(300)]
     rules = [R.Rule("name", ("equals", "contains", "matches")[i % 3],
-                    w if i % 3 < 2 else f"{w}*", {"k": w}) for i, w in enumerate(words)]
-    names = [f"w{i}" for i in range(0, 300, 7)] + ["W12", "none", "xw45x", "w299z"]
-    df = spark.createDataFrame([(n, "p", "1", "o") for n in names],
+                    w.upper() if i % 3 < 2 else f"{w}*", {"k": w}) for i, w in enumerate(words)]
+    rules += [R.Rule("owner", "equals", w, {"k": w}) for w in words] + [R.Rule("name", "equals", "É", {"k": "1"})]
+    names = [f"w{i}" for i in range(0, 300, 7)] + ["W12", "none", "xw45x", "w299z", "é", None]
+    df = spark.createDataFrame([(n, "p", "1", o) for n in names for o in ("W3", None, "w299")],
                                "workload_name string, product string, workspace_id string, owner string")
 
-    def expected(name):
-        low = name.lower()
-        for i, rule in enumerate(rules):
-            w = words[i]
-            if (low == w, w in low, low.startswith(w))[i % 3]:
+    def expected(name, owner):
+        name, owner = (name or "").lower(), (owner or "").lower()
+        for i, w in enumerate(words):
+            if (name == w, w in name, name.startswith(w))[i % 3]:
                 return i
-        return -1
+        return 300 + words.index(owner) if owner in words else (600 if name == "é" else -1)
 
-    found = dict(df.select("workload_name", R.first_match(rules).alias("r")).collect())
-    assert found == {n: expected(n) for n in names}
+    found = {(r[0], r[1]): r[2] for r in R.with_first_rule(df, rules).select(
+        "workload_name", "owner", "first_rule").collect()}
+    assert found == {(n, o): expected(n, o) for n in names for o in ("W3", None, "w299")}
+    one_by_one = df.withColumn("first_rule", R.first_match(rules))
+    assert found == {(r[0], r[3]): r[4] for r in one_by_one.collect()}
 
 
 def test_values_of_the_winning_rule(spark):

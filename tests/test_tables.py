@@ -34,8 +34,8 @@ def test_append_fills_orders_and_checks_columns(spark, make, folder):
 
 def test_summary_is_partitioned_and_pruned(spark, make, folder):
     days = [AS_OF - dt.timedelta(days=i) for i in range(5)]
-    T.write_summary(make("summary", *[
-        dict(usage_date=d, workspace_id="1", product="JOBS", workload_id="1", tag_keys=["a"], list_cost=D(1)) for d in days]), folder)
+    T.replace_table(make("summary", *[
+        dict(usage_date=d, workspace_id="1", product="JOBS", workload_id="1", tag_keys=["a"], list_cost=D(1)) for d in days]), "summary", folder)
     stored = T.read_table(spark, "summary", folder)
     window = S.summary_window(stored, AS_OF, 2)
     assert window.count() == 3

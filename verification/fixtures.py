@@ -19,7 +19,8 @@ PRODUCTS = (
     "DLT", "APPS", "AI_GATEWAY", "INTERACTIVE", "LAKEFLOW_CONNECT", "AGENT_BRICKS",
 )
 STATUSES = ("PENDING", "RUNNING", "SUCCEEDED", "FAILED", "UNSUPPORTED", "SKIPPED_DRYRUN", "ROLLED_BACK")
-LISTED = {0: "JOBS", 1: "ALL_PURPOSE", 2: "SQL", 4: "MODEL_SERVING", 7: "DLT", 12: "POOL"}
+LISTED = {"JOBS": "JOBS", "ALL_PURPOSE": "ALL_PURPOSE", "SQL": "SQL", "MODEL_SERVING": "MODEL_SERVING",
+          "DLT": "DLT", "AGENT_BRICKS": "POOL"}
 HOSTILE = "O'Brien%_\\-- drop"
 RULES = (
     {"field": "owner", "op": "contains", "value": "ECO", "tags": {"cost_center": "data-eng", "team": "de"}},
@@ -35,8 +36,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _text(value: Column | str) -> Column:
-    return F.col(value).cast("string") if isinstance(value, str) else value.cast("string")
+def _text(column: str) -> Column:
+    return F.col(column).cast("string")
 
 
 def _pick(values: tuple[str, ...], position: Column) -> Column:
@@ -48,7 +49,7 @@ def product(pk: Column) -> Column:
 
 
 def workload_id(pk: Column) -> Column:
-    half = F.floor(pk / 2).cast("bigint").cast("string")
+    half = F.shiftright(pk, 1).cast("string")
     return F.when(pk % 97 == 0, None).when(pk % 26 == 0, F.concat(F.lit("w"), half)).otherwise(half)
 
 
@@ -152,7 +153,7 @@ def suggestions(spark: SparkSession, sf: str) -> DataFrame:
 
 def queue(spark: SparkSession, sf: str) -> DataFrame:
     ok = F.col("o_orderkey")
-    pk = ok % 2000
+    pk = (ok % 2000) * 4 + 1
     batch = F.floor(ok / 2000).cast("bigint")
     status = _pick(STATUSES, ok % 7)
     minutes = (ok % 60).cast("int")
@@ -160,7 +161,7 @@ def queue(spark: SparkSession, sf: str) -> DataFrame:
     error = F.when(F.col("status") == "FAILED", F.when(
         ok % 3 == 0, F.concat(F.lit("PermissionDenied: job "), number)).when(
         ok % 3 == 1, F.concat(F.lit("ResourceDoesNotExist: "), number)).otherwise(""))
-    rows = table(spark, sf, "orders").filter((ok % 4 == 1) & (pk % 97 != 0)).withColumn("status", status)
+    rows = table(spark, sf, "orders").filter(workload_id(pk).isNotNull()).withColumn("status", status)
     return conform(rows.select(
         F.concat(F.lit("batch-"), batch.cast("string")).alias("batch_id"),
         F.col("o_orderdate").cast("timestamp").alias("enqueued_at"),
@@ -188,7 +189,8 @@ def tag_state(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("cost_center"), F.when((pk % 5 != 0) & (pk % 3 != 2), value),
         F.lit("team"), F.when(pk % 10 == 0, value),
     ), lambda _, v: v.isNotNull())
-    rows = table(spark, sf, "part").filter((pk % 29 != 0) & (pk % 97 != 0)).select(
+    there = (F.col("p_size") > 2) & workload_id(pk).isNotNull()
+    rows = table(spark, sf, "part").filter(there).select(
         workspace(pk).alias("workspace_id"), product(pk).alias("product"),
         workload_id(pk).alias("workload_id"), tags.alias("tags"))
     return conform(rows, "tag_state")
@@ -196,9 +198,9 @@ def tag_state(spark: SparkSession, sf: str) -> DataFrame:
 
 def audit(spark: SparkSession, sf: str) -> DataFrame:
     ok, sk, ln = F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    pk = F.col("l_partkey") % 2000
+    pk = F.col("l_partkey")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    rows = table(spark, sf, "lineitem").filter((pk % 4 == 1) & (pk % 97 != 0))
+    rows = table(spark, sf, "lineitem").filter(workload_id(pk).isNotNull())
     return conform(rows.select(
         F.concat_ws("-", ok, ln, F.col("l_partkey"), sk, cents).alias("audit_id"),
         F.concat(F.lit("batch-"), F.floor(ok / 2000).cast("bigint").cast("string")).alias("batch_id"),
@@ -245,10 +247,10 @@ def listings(spark: SparkSession, sf: str, scan: tuple = NEW_SCAN) -> dict[str,
 
     part = table(spark, sf, "part").filter(workload_id(pk).isNotNull())
     if new:
-        part = part.filter(pk % 17 != 0)
+        part = part.filter("p_size <> 7")  # deleted since the older scan
     found = {}
-    for rest, name in LISTED.items():
-        rows = part.filter(pk % 13 == rest).select(
+    for code, name in LISTED.items():
+        rows = part.filter(product(pk) == code).select(
             workspace(pk).alias("workspace_id"), workload_id(pk).alias("workload_id"),
             _part_name().alias("workload_name"), _owner().alias("owner"),
             shapes[LISTING_SHAPES[name]].alias("tags"),
@@ -260,9 +262,8 @@ def listings(spark: SparkSession, sf: str, scan: tuple = NEW_SCAN) -> dict[str,
 
 
 def listing_errors(spark: SparkSession, sf: str) -> DataFrame:
-    nk = F.col("n_nationkey")
-    return table(spark, sf, "nation").filter(nk % 9 == 0).select(
-        workspace(nk).alias("workspace_id"),
+    return table(spark, sf, "nation").select(
+        _text("n_nationkey").alias("workspace_id"),
         F.when(F.col("n_regionkey") % 2 == 0, "SQL").alias("product"), F.lit("timeout").alias("error"))
 
 

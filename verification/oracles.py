@@ -113,10 +113,10 @@ cte("queue", f"""
            WHEN 1 THEN 'ResourceDoesNotExist: ' || ok ELSE '' END END AS last_error,
          CASE WHEN status = 'RUNNING' THEN {NOW} - to_minutes(CAST(ok % 60 AS INTEGER))
               WHEN status <> 'PENDING' THEN TIMESTAMP '2024-04-28 12:00:00' END AS executed_at
-  FROM (SELECT *, o_orderkey AS ok, o_orderkey % 2000 AS pk,
+  FROM (SELECT *, o_orderkey AS ok, 4 * (o_orderkey % 2000) + 1 AS pk,
                ({STATUSES})[CAST(o_orderkey % 7 AS INTEGER) + 1] AS status
-        FROM orders WHERE o_orderkey % 4 = 1)
-  WHERE pk % 97 <> 0""")
+        FROM orders)
+  WHERE {wid('pk')} IS NOT NULL""")
 cte("handled", f"""
   SELECT DISTINCT product, workload_id FROM queue
   WHERE tag_key = 'cost_center' AND status IN {HANDLED}""", "queue")
@@ -125,7 +125,7 @@ cte("suggestions", f"""
          CASE WHEN p_type = 'ECONOMY' THEN 'unknown' WHEN p_size % 9 = 0 THEN NULL
               ELSE lower(p_type) END AS suggested_cost_center,
          CAST((p_size % 10) AS DOUBLE) / 10 AS confidence
-  FROM part WHERE p_partkey % 97 <> 0""")
+  FROM part WHERE {wid('p_partkey')} IS NOT NULL""")
 
 TAGGABLE = f"(product NOT IN {GOVERNED} AND NOT (product = 'SQL' AND is_serverless = 1))"
 CONFIDENT = ("(suggested_cost_center IS NOT NULL AND lower(suggested_cost_center) <> 'unknown' "
@@ -209,11 +209,11 @@ cte("state_tags", f"""
                               THEN 'cc-' || (p_partkey % 3) END),
          ('team', CASE WHEN p_partkey % 10 = 0 THEN 'cc-' || (p_partkey % 3) END)
        ) AS t(tag_key, tag_value)
-  WHERE p_partkey % 29 <> 0 AND p_partkey % 97 <> 0""")
+  WHERE p_size > 2 AND {wid('p_partkey')} IS NOT NULL""")
 cte("resources", f"""
   SELECT {ws('p_partkey')} AS workspace_id, {product('p_partkey')} AS product,
          {wid('p_partkey')} AS workload_id
-  FROM part WHERE p_partkey % 29 <> 0 AND p_partkey % 97 <> 0""")
+  FROM part WHERE p_size > 2 AND {wid('p_partkey')} IS NOT NULL""")
 FREE = (f"(status = 'PENDING' OR (status = 'RUNNING' AND executed_at < {NOW} - INTERVAL 30 MINUTE))")
 cte("claimed", f"SELECT * FROM queue WHERE {FREE}", "queue")
 cte("judged", f"""
@@ -254,7 +254,7 @@ cte("audit", f"""
          'cc-' || (l_orderkey % 4) AS new_value,
          CASE WHEN l_linenumber = 6 THEN 'ROLLBACK' ELSE 'SET' END AS action,
          CASE WHEN l_linenumber = 5 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status
-  FROM (SELECT *, l_partkey % 2000 AS pk FROM lineitem) WHERE pk % 4 = 1 AND pk % 97 <> 0""")
+  FROM (SELECT *, l_partkey AS pk FROM lineitem) WHERE {wid('pk')} IS NOT NULL""")
 
 
 def undo(order: str, more: str = "") -> str:
@@ -295,8 +295,8 @@ cte("listed", f"""
   FROM (SELECT *, p_partkey AS pk FROM part)
   CROSS JOIN (VALUES ('scan-f00', TIMESTAMP '2024-04-22 06:00:00', 10, false),
                      ('scan-a11', TIMESTAMP '2024-04-29 06:00:00', 5, true)) AS scan(id, made, step, new)
-  WHERE pk % 13 IN (0, 1, 2, 4, 7, 12) AND pk % 97 <> 0
-    AND NOT (scan.new AND pk % 17 = 0) AND NOT (pk % 13 = 1 AND (pk // 13) % 3 = 2)""")
+  WHERE pk % 13 IN (0, 1, 2, 4, 7, 12) AND {wid('pk')} IS NOT NULL
+    AND NOT (scan.new AND p_size = 7) AND NOT (pk % 13 = 1 AND (pk // 13) % 3 = 2)""")
 cte("inventory", f"""
   SELECT scan_id, scanned_at, workspace_id, product, workload_id, workload_name, owner, ok,
          CASE WHEN ok THEN concat_ws(',', CASE WHEN cc IS NOT NULL THEN 'cost_center=' || cc END,
@@ -308,14 +308,14 @@ cte("inventory", f"""
          CASE WHEN NOT ok THEN 'PermissionDenied: ' || pk END AS read_error
   FROM listed
   UNION ALL
-  SELECT 'scan-a11', TIMESTAMP '2024-04-29 06:00:00', {ws('n_nationkey')},
+  SELECT 'scan-a11', TIMESTAMP '2024-04-29 06:00:00', CAST(n_nationkey AS VARCHAR),
          CASE WHEN n_regionkey % 2 = 0 THEN 'SQL' ELSE '__workspace__' END,
          CASE WHEN n_regionkey % 2 = 0 THEN '__list_error__SQL'
-              ELSE '__unreachable__' || (n_nationkey % 14) END,
+              ELSE '__unreachable__' || n_nationkey END,
          NULL, NULL, false, '', 0, n_regionkey % 2 = 0,
          CASE WHEN n_regionkey % 2 = 0 THEN 'DIRECT' END,
          CASE WHEN n_regionkey % 2 = 0 THEN 'list failed: timeout' ELSE 'workspace unreachable: timeout' END
-  FROM nation WHERE n_nationkey % 9 = 0""", "listed")
+  FROM nation""", "listed")
 
 
 def inventory_summary(scan: str) -> str:
@@ -399,7 +399,7 @@ SELECT usage_date, workspace_id, product, workload_id, workload_name, owner, is_
        dbus, list_cost, unpriced_dbus FROM summary""", "summary")
     o["summary_sink"] = query(f"""
 SELECT usage_date, count(*) AS rows, sum(list_cost) AS list_cost, sum(cc) AS with_cost_center FROM summary
-WHERE usage_date >= {AS_OF} - 7 AND workspace_id IN ('1','3','5') GROUP BY usage_date""", "summary")
+WHERE usage_date >= {AS_OF} - 90 GROUP BY usage_date""", "summary")
     o["workload_rollup"] = query("""
 SELECT product, workload_id, workspace_id, workload_name, owner, is_serverless, last_seen,
        cc = 0 AS is_untagged, cost FROM wl""", "wl")
@@ -529,8 +529,7 @@ SELECT batch_id, workload_id, product, tag_key, CASE WHEN f THEN 'RUNNING' ELSE
        CASE WHEN f THEN {NOW} ELSE executed_at END AS executed_at
 FROM (SELECT *, coalesce({FREE}, false) AS f FROM queue)""", "queue")
     o["drain_order"] = query(f"""
-SELECT batch_id, workload_id, product, tag_key, list_cost FROM claimed
-WHERE batch_id = 'batch-0' AND workspace_id = '7' ORDER BY list_cost DESC NULLS LAST""", "claimed")
+SELECT batch_id, workload_id, product, tag_key, list_cost FROM claimed ORDER BY list_cost DESC NULLS LAST""", "claimed")
     o["apply_attempts"] = query("""
 SELECT batch_id, workload_id, product, tag_key, result AS status, old_value,
        CASE WHEN result = 'SUCCEEDED' THEN tag_value END AS new_value, noop FROM tried_flags""", "tried_flags")

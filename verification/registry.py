@@ -115,9 +115,9 @@ def daily_summary(spark, sf):
 @register("usage_date:s rows:i list_cost:m with_cost_center:i")
 def summary_sink(spark, sf):
     path = work_folder(spark, "summary")
-    tables.write_summary(_summary(spark, sf), path)
+    tables.replace_table(_summary(spark, sf), "summary", path)
     stored = tables.read_table(spark, "summary", path)
-    return S.summary_window(stored, AS_OF, 7, ["1", "3", "5"]).groupBy("usage_date").agg(
+    return S.summary_window(stored, AS_OF, 90).groupBy("usage_date").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("list_cost").alias("list_cost"),
         F.count_if(F.array_contains("tag_keys", KEY)).alias("with_cost_center"))
 
@@ -343,7 +343,7 @@ def claim(spark, sf):
 
 @register("batch_id:s workload_id:s product:s tag_key:s list_cost:m")
 def drain_order(spark, sf):
-    claimed = Q.claim(X.queue(spark, sf), NOW, RUN, workspace_id="7", batch_id=BATCH)
+    claimed = Q.claim(X.queue(spark, sf), NOW, RUN)
     return Q.drain_order(Q.claimed_rows(claimed, RUN))
 
 
