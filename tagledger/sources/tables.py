@@ -59,10 +59,17 @@ class VersionedTable:
         """Publish ``rows``, which may be derived from the current version."""
         self._publish(rows, self.version() + 1)
 
+    def append(self, rows: DataFrame) -> None:
+        """Add rows to the current version."""
+        append_table(rows, self.table, self._folder(self.version()))
+
     def read(self) -> DataFrame:
-        return read_table(self.spark, self.table, f"{self.path}/v{self.version()}")
+        return read_table(self.spark, self.table, self._folder(self.version()))
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/v{version}"
 
     def _publish(self, rows: DataFrame, version: int) -> None:
-        replace_table(rows, self.table, f"{self.path}/v{version}")
+        replace_table(rows, self.table, self._folder(version))
         self.spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode(
             "append").json(self._log())
