@@ -70,3 +70,12 @@ def tag_violations(rows: DataFrame, ids: Sequence[str], tags: str = "tags",
                    profile: TagProfile = RESOURCE_TAGS, allow_empty: bool = False) -> DataFrame:
     """One row (ids, tag_key, rule) per violation."""
     return rows.select(*ids, F.inline(violations(F.col(tags), profile, allow_empty)))
+
+
+def checked(rows: DataFrame, profile: TagProfile = RESOURCE_TAGS) -> DataFrame:
+    """The same rows; computing one whose tag_key and tag_value break a limit
+    fails the job, so bad intent is never stored."""
+    found = violations(F.create_map("tag_key", "tag_value"), profile)
+    message = F.concat(F.lit("tag not allowed: "), F.to_json(found))
+    return rows.withColumn(
+        "tag_key", F.when(F.size(found) > 0, F.raise_error(message)).otherwise(F.col("tag_key")))

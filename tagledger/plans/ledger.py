@@ -18,6 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from tagledger.operators import inventory as I, queue as Q, suggestions as SG, summary as S
+from tagledger.operators.validate import checked
 from tagledger.plans import flows
 from tagledger.schemas import TABLES
 from tagledger.sources.tables import VersionedTable, append_table, read_table, replace_table
@@ -70,7 +71,8 @@ class Ledger:
         self._versions("tag_state").replace(I.tag_state(self.read("inventory")))
 
     def enqueue(self, rows: DataFrame) -> None:
-        self._versions("write_queue").append(rows)
+        """Store intent; a tag that breaks a limit refuses the whole batch."""
+        self._versions("write_queue").append(checked(rows))
 
     def drain(self, now: dt.datetime, run_token: str, executed_by: str, dry_run: bool = True,
               workspace_id: str | None = None, batch_id: str | None = None) -> flows.RunResult:

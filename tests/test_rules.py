@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +110,21 @@ def test_values_of_the_winning_rule(spark):
     assert sorted(map(tuple, tags.collect())) == [(0, "k", HOSTILE), (1, "other", "1")]
     assert R.rule_tags(spark, []).count() == 0
     assert df.filter(F.lit(True)).count() == 3
+
+
+def test_globs_and_substrings_agree_with_plain_python(spark):
+    rng = random.Random(11)
+
+    def word(alphabet, least):
+        return "".join(rng.choice(alphabet) for _ in range(rng.randrange(least, 7)))
+
+    texts = sorted({word("aB_%\\.'*?", 0) for _ in range(300)})
+    df = spark.createDataFrame([(t,) for t in texts], "workload_name string")
+    patterns = sorted({word("ab_%\\.'*?", 1) for _ in range(40)})
+    globs = df.select("workload_name", *[R.rule_match(R.Rule("name", "matches", p, {"k": "v"})) for p in patterns])
+    parts = df.select("workload_name", *[R.rule_match(R.Rule("name", "contains", p, {"k": "v"})) for p in patterns])
+    as_regex = [re.compile("".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in p), re.S) for p in patterns]
+    for row in globs.collect():
+        assert list(row[1:]) == [bool(r.fullmatch(row[0].lower())) for r in as_regex], row[0]
+    for row in parts.collect():
+        assert list(row[1:]) == [p in row[0].lower() for p in patterns], row[0]

@@ -42,3 +42,14 @@ def test_every_reserved_prefix(spark):
 
 def test_confirmed_empty_payload(spark):
     assert broken(spark, {}, allow_empty=True) == []
+
+
+def test_bad_intent_is_refused(spark):
+    def run(*pairs):
+        df = spark.createDataFrame(list(pairs), "tag_key string, tag_value string")
+        return rows(V.checked(df))
+
+    assert run(("k", ""), ("café", "v")) == [("café", "v"), ("k", "")]
+    for bad in (("", "v"), ("aws:x", "v"), ("k", None), ("k", "v" * 256)):
+        with pytest.raises(Exception, match="tag not allowed"):
+            run(("k", "v"), bad)

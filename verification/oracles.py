@@ -6,6 +6,9 @@ of array logic, histories are window functions, tag maps are rows.
 
 from __future__ import annotations
 
+from tagledger.constants import RESERVED_KEY_PREFIXES
+
+RESERVED = "(" + " OR ".join(f"starts_with(lower(k), '{p}')" for p in RESERVED_KEY_PREFIXES) + ")"
 PRODUCTS = ("['JOBS','ALL_PURPOSE','SQL','DATABASE','MODEL_SERVING','LAKEBASE','VECTOR_SEARCH',"
             "'DLT','APPS','AI_GATEWAY','INTERACTIVE','LAKEFLOW_CONNECT','AGENT_BRICKS']")
 STATUSES = "['PENDING','RUNNING','SUCCEEDED','FAILED','UNSUPPORTED','SKIPPED_DRYRUN','ROLLED_BACK']"
@@ -599,11 +602,11 @@ UNION ALL SELECT NULL, product, resources, untagged, tagged FROM inv_new""", "in
     o["sweep_counts"] = query("""
 SELECT product, count(*) AS resources, count(*) FILTER (ok AND tag_count = 0) AS untagged FROM inventory
 WHERE scan_id = 'scan-a11' GROUP BY product""", "inventory")
-    o["tag_violations"] = query("""
+    o["tag_violations"] = query(f"""
 SELECT doc_id, NULL AS tag_key, 'empty' AS rule FROM documents WHERE doc_id % 11 = 0
 UNION ALL SELECT doc_id, NULL, 'too_many' FROM documents WHERE doc_id % 11 = 1
 UNION ALL SELECT doc_id, k, 'key_length' FROM pairs WHERE length(k) NOT BETWEEN 1 AND 127
-UNION ALL SELECT doc_id, k, 'key_reserved' FROM pairs WHERE regexp_matches(lower(k), '^(aws:|databricks)')
+UNION ALL SELECT doc_id, k, 'key_reserved' FROM pairs WHERE {RESERVED}
 UNION ALL SELECT doc_id, k, 'value_missing' FROM pairs WHERE v IS NULL
 UNION ALL SELECT doc_id, k, 'value_length' FROM pairs WHERE length(v) > 255""", "pairs")
     o["queue_append"] = query("""
