@@ -149,26 +149,33 @@ def newest_outcomes(found: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
         *QUEUE_KEY, *per, "_newest.status", "_newest.last_error", "_newest.executed_at")
 
 
-def apply_outcomes(queue: DataFrame, found: DataFrame, round_column: str | None = None) -> DataFrame:
+def apply_outcomes(queue: DataFrame, found: DataFrame, round_column: str | None = None,
+                   among: Column | None = None) -> DataFrame:
     """Queue snapshot with outcomes merged in by the four-column key: newest
     status, error and time; attempts grows by one, or by one per distinct
-    ``round_column`` value that touched the row."""
+    ``round_column`` value that touched the row.
+
+    ``among`` tells which rows can have an outcome at all, such as those a run
+    has claimed. The others, mostly settled long ago, then pass straight
+    through and only these are shuffled."""
+    if among is not None:
+        mine = F.coalesce(among, F.lit(False))
+        touched = apply_outcomes(queue.filter(mine), found, round_column)
+        return queue.filter(~mine).unionByName(touched)
     if round_column:
         found = newest_outcomes(found, (round_column,))
     newest = F.max(F.struct("executed_at", "status", "last_error")).alias("_new")
     tries = F.count(F.lit(1)) if round_column else F.lit(1)
     merged = found.groupBy(*QUEUE_KEY).agg(newest, tries.cast("int").alias("_tries"))
     hit = F.col("_new").isNotNull()
-    return queue.join(merged, list(QUEUE_KEY), "left").select(*[
-        {
-            "status": F.when(hit, F.col("_new.status")).otherwise(F.col("status")),
-            "last_error": F.when(hit, F.col("_new.last_error")).otherwise(F.col("last_error")),
-            "executed_at": F.when(hit, F.col("_new.executed_at")).otherwise(F.col("executed_at")),
-            "attempts": F.when(hit, F.coalesce("attempts", F.lit(0)) + F.col("_tries"))
-            .otherwise(F.col("attempts")),
-        }.get(c, F.col(c)).alias(c)
-        for c in queue.columns
-    ])
+    updates = {
+        "status": F.when(hit, F.col("_new.status")).otherwise(F.col("status")),
+        "last_error": F.when(hit, F.col("_new.last_error")).otherwise(F.col("last_error")),
+        "executed_at": F.when(hit, F.col("_new.executed_at")).otherwise(F.col("executed_at")),
+        "attempts": F.when(hit, F.coalesce("attempts", F.lit(0)) + F.col("_tries"))
+        .otherwise(F.col("attempts")),
+    }
+    return queue.join(merged, list(QUEUE_KEY), "left").withColumns(updates).select(*queue.columns)
 
 
 def run_summary(tried: DataFrame, by: str = "status") -> DataFrame:

@@ -153,8 +153,12 @@ def claim(queue: DataFrame, now: dt.datetime, run_token: str, workspace_id: str
     })
 
 
+def claimed_by(run_token: str) -> Column:
+    return (F.col("status") == RUNNING) & (F.col("last_error") == run_token)
+
+
 def claimed_rows(queue: DataFrame, run_token: str) -> DataFrame:
-    return queue.filter((F.col("status") == RUNNING) & (F.col("last_error") == run_token))
+    return queue.filter(claimed_by(run_token))
 
 
 def drain_order(rows: DataFrame) -> DataFrame:

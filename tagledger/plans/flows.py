@@ -37,7 +37,7 @@ def run_writer(queue: DataFrame, tag_state: DataFrame, now: dt.datetime, run_tok
     taken = queue.filter(Q.claimable(now, workspace_id, batch_id))
     tried = _stored(A.attempts(taken, tag_state, dry_run), "attempts")
     return RunResult(
-        queue=A.apply_outcomes(claimed, A.outcomes(tried, now)),
+        queue=A.apply_outcomes(claimed, A.outcomes(tried, now), among=Q.claimed_by(run_token)),
         tag_state=A.applied_state(tag_state, tried),
         audit=A.audit_rows(tried, now, executed_by, run_token),
         tried=tried,

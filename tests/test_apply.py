@@ -111,6 +111,10 @@ def test_queue_keeps_its_rows_and_counts_attempts(make):
     assert after.columns == queue.columns
     assert rows(after, "workload_id", "status", "attempts", "last_error") == [
         ("1", C.SUCCEEDED, 1, None), ("2", C.PENDING, None, None), ("3", C.FAILED, 5, "y")]
+    some = A.apply_outcomes(queue, found, among=F.col("last_error") == "e")
+    assert some.columns == queue.columns
+    assert rows(some, "workload_id", "status", "attempts") == [
+        ("1", C.PENDING, None), ("2", C.PENDING, None), ("3", C.FAILED, 5)]
 
 
 def test_second_run_is_all_noops_and_rollback_restores(make):
