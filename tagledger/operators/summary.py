@@ -5,12 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tagledger.constants import SUMMARY_DAYS
 from tagledger.functions import workload as W
 from tagledger.functions.predicates import carries_key
-from tagledger.schemas import MONEY
+from tagledger.schemas import MONEY, QUANTITY, RATE
 
 DAY_KEY = ("usage_date", "workspace_id", "product", "workload_id")
 WORKLOAD_KEY = ("product", "workload_id")
@@ -58,7 +58,7 @@ def current_prices(list_prices: DataFrame, on_duplicate: str = "error") -> DataF
         open_prices.groupBy("sku_name")
         .agg(latest.alias("rate"), F.count(F.lit(1)).alias("n"))
         .select("sku_name", F.when(F.col("n") == 1, F.col("rate"))
-                .otherwise(F.raise_error(message).cast("decimal(10,4)")).alias("rate"))
+                .otherwise(F.raise_error(message).cast(RATE)).alias("rate"))
     )
 
 
@@ -75,11 +75,11 @@ def daily_summary(usage: DataFrame, list_prices: DataFrame, as_of: dt.date,
     records = workload_records(usage_window(usage, as_of, days))
     condensed = records.groupBy(
         *DAY_KEY, "workload_name", "owner", "is_serverless", "tag_keys", "sku_name",
-    ).agg(F.sum("dbus").cast("decimal(27,6)").alias("dbus"))
+    ).agg(_exact_sum("dbus", records).alias("dbus"))
     priced = condensed.join(current_prices(list_prices, on_duplicate), "sku_name", "left")
-    cost = (F.col("dbus") * F.coalesce(F.col("rate"), F.lit(0).cast("decimal(10,4)"))).cast(MONEY)
+    cost = (F.col("dbus") * F.coalesce(F.col("rate"), F.lit(0).cast(RATE))).cast(MONEY)
     key_sets = F.collect_set("tag_keys")
-    no_price = F.when(F.col("rate").isNull(), F.col("dbus")).otherwise(F.lit(0).cast("decimal(27,6)"))
+    no_price = F.when(F.col("rate").isNull(), F.col("dbus")).otherwise(F.lit(0))
     return priced.groupBy(*DAY_KEY).agg(
         F.max("workload_name").alias("workload_name"),
         F.max("owner").alias("owner"),
@@ -91,6 +91,13 @@ def daily_summary(usage: DataFrame, list_prices: DataFrame, as_of: dt.date,
     )
 
 
+def _exact_sum(column: str, rows: DataFrame) -> Column:
+    """Sum whose type leaves room for the digits of a rate: a product of
+    DECIMAL(27,6) and DECIMAL(10,4) just fits 38 digits and is not rounded."""
+    kind, total = rows.schema[column].dataType, F.sum(column)
+    return total.cast("decimal(27,6)") if kind == QUANTITY else total
+
+
 def summary_window(summary: DataFrame, as_of: dt.date, days: int,
                    workspaces: Sequence[str] | None = None) -> DataFrame:
     """Summary rows of the last ``days`` days; the literal floor prunes the

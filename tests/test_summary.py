@@ -112,3 +112,10 @@ def test_hot_workload_gives_the_same_sums(spark, make, prices):
     hot = many.filter("usage_metadata.job_id = '10'").crossJoin(spark.range(5000)).drop("id")
     found = S.daily_summary(many.unionByName(hot), prices, AS_OF)
     assert rows(found, "workload_id", "dbus") == [("10", D("10002")), ("11", D("2"))]
+
+
+def test_other_quantity_types(make, prices):
+    usage = make("usage", usage_row(usage_quantity=D("2.000001")), usage_row())
+    for kind, cost in (("decimal(38,18)", D("2.0000005")), ("double", D("2.0000005"))):
+        cast = usage.withColumn("usage_quantity", usage["usage_quantity"].cast(kind))
+        assert S.daily_summary(cast, prices, AS_OF).first()["list_cost"] == cost
