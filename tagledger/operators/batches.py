@@ -6,15 +6,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from tagledger import constants as C
 
+# Up to this many batch ids are broadcast.
+BROADCAST_LIMIT = 10_000
+
 
 def recent_batches(queue: DataFrame, limit: int = C.BATCH_LIMIT) -> DataFrame:
-    """Latest batches with their row counts per status."""
+    """Latest batches with their row counts per status. A cheap pass over two
+    columns picks the batches, so only their rows are counted; the picked ids
+    are no more than ``limit``, which bounds the broadcast."""
     names = {
         "pending": C.PENDING, "running": C.RUNNING, "succeeded": C.SUCCEEDED, "failed": C.FAILED,
         "unsupported": C.UNSUPPORTED, "dry_run": C.SKIPPED_DRYRUN, "rolled_back": C.ROLLED_BACK,
     }
+    order = [F.desc("enqueued_at"), "batch_id"]
+    latest = (
+        queue.groupBy("batch_id").agg(F.max("enqueued_at").alias("enqueued_at"))
+        .orderBy(*order).limit(limit).select("batch_id")
+    )
+    picked = F.broadcast(latest) if limit <= BROADCAST_LIMIT else latest
     return (
-        queue.groupBy("batch_id")
+        queue.join(picked, "batch_id", "left_semi")
+        .groupBy("batch_id")
         .agg(
             F.max("enqueued_at").alias("enqueued_at"),
             F.max("requested_by").alias("requested_by"),
@@ -23,8 +35,7 @@ def recent_batches(queue: DataFrame, limit: int = C.BATCH_LIMIT) -> DataFrame:
             F.round(F.sum("list_cost"), 0).alias("cost"),
             *[F.count_if(F.col("status") == s).alias(n) for n, s in names.items()],
         )
-        .orderBy(F.desc("enqueued_at"), "batch_id")
-        .limit(limit)
+        .orderBy(*order)
     )
 
 
