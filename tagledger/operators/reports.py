@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagledger.constants import FIELD_VALUE_LIMIT, RULE_FIELDS, SUCCEEDED, TAGGABLE
 from tagledger.functions.predicates import not_taggable_reason
+from tagledger.functions.workload import days_since
 from tagledger.operators.summary import summary_window, workload_rollup
 
 
@@ -148,7 +149,7 @@ def explore(rows: DataFrame, as_of: dt.date, min_cost: float = 0, active_within:
             text: str = "", sort_by: str = "cost") -> DataFrame:
     """Filter and order a list of workloads: least cost, active within so many
     days (0 = any), text in the name (the id when there is no name) or owner."""
-    age = F.datediff(F.lit(as_of), F.col("last_seen"))
+    age = days_since(F.col("last_seen"), as_of)
     keep = F.coalesce(F.col("cost"), F.lit(0)) >= F.lit(min_cost)
     if active_within:
         keep = keep & (F.coalesce(age, F.lit(2**31 - 1)) <= active_within)

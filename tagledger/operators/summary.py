@@ -43,23 +43,26 @@ def workload_records(usage: DataFrame) -> DataFrame:
 def current_prices(list_prices: DataFrame, on_duplicate: str = "error") -> DataFrame:
     """Open price per SKU. More than one open price would multiply cost, so it
     is an error unless ``on_duplicate`` is "latest" (the one that started last)
-    or "keep" (each counts)."""
+    or "keep" (each counts).
+
+    The SKU comes out as a maximum, equal to the grouping key but not known to
+    be. A join by SKU then shuffles these rows afresh, and only a join of two
+    plain shuffles is open to skew handling."""
     open_prices = list_prices.filter(F.col("price_end_time").isNull()).select(
         "sku_name", F.col("pricing")["default"].alias("rate"), "price_start_time")
     if on_duplicate == "keep":
         return open_prices.drop("price_start_time")
-    latest = F.max(F.struct("price_start_time", "rate"))["rate"]
-    if on_duplicate == "latest":
-        return open_prices.groupBy("sku_name").agg(latest.alias("rate"))
-    if on_duplicate != "error":
+    if on_duplicate not in ("error", "latest"):
         raise ValueError(f"on_duplicate must be error, latest or keep, not {on_duplicate!r}")
+    per_sku = open_prices.groupBy(F.col("sku_name").alias("_sku")).agg(
+        F.max("sku_name").alias("sku_name"),
+        F.max(F.struct("price_start_time", "rate"))["rate"].alias("rate"),
+        F.count(F.lit(1)).alias("_open"))
+    if on_duplicate == "latest":
+        return per_sku.select("sku_name", "rate")
     message = F.concat(F.lit("more than one open price for SKU "), F.col("sku_name"))
-    return (
-        open_prices.groupBy("sku_name")
-        .agg(latest.alias("rate"), F.count(F.lit(1)).alias("n"))
-        .select("sku_name", F.when(F.col("n") == 1, F.col("rate"))
-                .otherwise(F.raise_error(message).cast(RATE)).alias("rate"))
-    )
+    only = F.when(F.col("_open") == 1, F.col("rate")).otherwise(F.raise_error(message).cast(RATE))
+    return per_sku.select("sku_name", only.alias("rate"))
 
 
 def daily_summary(usage: DataFrame, list_prices: DataFrame, as_of: dt.date,

@@ -54,7 +54,7 @@ def test_reports(sweep):
         ("ALL_PURPOSE", 2, 0, 2, 0, "DIRECT"), ("DLT", 2, 0, 1, 1, "UI_ONLY"),
         ("JOBS", 3, 2, 1, 0, "DIRECT"), ("SQL", 3, 2, 1, 0, "DIRECT")]
     assert rows(I.inventory_meta(sweep)) == [("scan-a", SCAN[1], 12)]
-    assert rows(I.inventory_report(sweep), "product", "resources").__contains__(("__meta__", 12))
+    assert ("__meta__", 12) in rows(I.inventory_report(sweep), "product", "resources")
     assert rows(I.coverage(summary), "product", "coverage_pct") == [
         ("ALL_PURPOSE", 100), ("DLT", 50), ("JOBS", 33), ("SQL", 33)]
     assert rows(I.coverage_totals(summary)) == [(10, 4)]
