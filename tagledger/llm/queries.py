@@ -6,15 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagledger.llm import simhash
+from tagledger.llm import lines, mixing, simhash, tokens
 from tagledger.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary() -> str:
+    """Where the public vocabulary of the token query lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash,)}
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_table(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target",
+                        (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash, op4_tokens, op6_mixing, op9_lines)}

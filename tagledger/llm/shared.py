@@ -8,7 +8,9 @@ otherwise. Empty tables give empty results.
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -43,6 +45,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow``, with this package on the workers' path wherever the driver started."""
+    root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return df.mapInArrow(function, schema)
+
+
 class UnionFind:
     """Groups under their smallest member."""
 
@@ -81,7 +92,7 @@ def components(edges: DataFrame) -> DataFrame:
     every round keeps one row per edge and settles in about log(n) rounds. Nodes'
     minima are stored before they are joined, so that a hub's edges can be split."""
     a, b = edges.columns
-    now = store(edges.where(F.col(a) != F.col(b)).select(a, b).mapInArrow(_contract, "u long, v long"),
+    now = store(map_batches(edges.where(F.col(a) != F.col(b)).select(a, b), _contract, "u long, v long"),
                 "edges")
     if now.isEmpty():
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tagledger.llm.shared import UnionFind, components, store
+from tagledger.llm.shared import UnionFind, components, map_batches, store
 
 RADIUS = 3
 BLOCKS = 6
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = [fingerprint(shingle_hashes(words_of(t), shingle)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
 class BKTree:
@@ -157,8 +157,8 @@ def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.struct(F.lit(i).alias("shard"), F.col(value).bitwiseAND(F.lit(_signed(m))).alias("agreed"))
         for i, m in enumerate(shard_masks(radius))])
     sharded = fps.select(F.explode(keys).alias("k"), F.col(value).alias("fp")).select("k.shard", "k.agreed", "fp")
-    links = (sharded.repartition("shard", "agreed").sortWithinPartitions("shard", "agreed", "fp")
-             .mapInArrow(_linker(radius), "a long, b long"))
+    shards = sharded.repartition("shard", "agreed").sortWithinPartitions("shard", "agreed", "fp")
+    links = map_batches(shards, _linker(radius), "a long, b long")
     return components(links)
 
 
