@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagledger.llm import lines, mixing, simhash, tokens
+from tagledger.llm import decontaminate, licenses, lines, mixing, quality, secrets, simhash, tokens
 from tagledger.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,15 +28,36 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [secrets.count_of("base", k).alias(f"n_{k}") for k in secrets.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(secrets.printed("base"), 256).alias("base_sha256"),
+                        secrets.printed("spans").alias("spans"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mix_documents(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target",
                         (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash, op4_tokens, op6_mixing, op9_lines)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash, op4_tokens, op5_secrets, op6_mixing, op7_licenses, op8_decontaminate, op9_lines, op10_quality)}
