@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagledger.llm import decontaminate, licenses, lines, mixing, quality, secrets, simhash, tokens
+from tagledger.llm import decontaminate, licenses, lines, mixing, quality, secrets, simhash, tokens, toxicity
 from tagledger.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -60,4 +64,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash, op4_tokens, op5_secrets, op6_mixing, op7_licenses, op8_decontaminate, op9_lines, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_tokens, op5_secrets, op6_mixing, op7_licenses, op8_decontaminate, op9_lines, op10_quality)}
