@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagledger.llm import decontaminate, licenses, lines, mixing, quality, secrets, simhash, tokens, toxicity
+from tagledger.llm import decontaminate, licenses, lines, mixing, passages, quality, secret_scan, simhash, tokens, toxicity
 from tagledger.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,15 +28,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passages.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
-    counts = [secrets.count_of("base", k).alias(f"n_{k}") for k in secrets.PATTERNS]
-    return found.select("doc_id", *counts, F.sha2(secrets.printed("base"), 256).alias("base_sha256"),
-                        secrets.printed("spans").alias("spans"))
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [secret_scan.count_of("base", k).alias(f"n_{k}") for k in secret_scan.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.printed("base"), 256).alias("base_sha256"),
+                        secret_scan.printed("spans").alias("spans"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +69,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_tokens, op5_secrets, op6_mixing, op7_licenses, op8_decontaminate, op9_lines, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_passages, op4_tokens, op5_secrets, op6_mixing, op7_licenses, op8_decontaminate, op9_lines, op10_quality)}
