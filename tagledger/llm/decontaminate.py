@@ -218,6 +218,15 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that leak no item. What is dropped is a list of ids; null ids that leak drop all null ids."""
-    bad = leaked(docs, items).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The documents that leak no item, in one pass per index shard and without a join."""
+    place = docs.columns.index("text")
+    for shard in _shards(items):
+        index = docs.sparkSession.sparkContext.broadcast(Index(shard))
+
+        def run(batches, index=index):
+            held = index.value
+            for batch in batches:
+                yield batch.filter(pa.array([not held.leaks(t) for t in batch.column(place).to_pylist()], pa.bool_()))
+
+        docs = map_batches(docs, run, docs.schema)
+    return docs

@@ -102,6 +102,8 @@ def _level(columns: list[str], final: bool):
         held = None
         for batch in chain(batches, [None]):
             end = batch is None
+            if not end:  # the same schema for all, whatever Spark says of nulls
+                batch = pa.RecordBatch.from_arrays(batch.columns, names=columns)
             if held is not None:
                 batch = held if end else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
                 held = None

@@ -148,18 +148,20 @@ def _links(links) -> pa.RecordBatch:
         [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
 
-def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(node, root) of each distinct fingerprint that has another within the
-    radius. ``fps`` has one LONG column of distinct values. Negative numbers are
-    fine: Python's bit counts of their differences are those of the 64 bits."""
+def _link_edges(fps: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that connect what is within the radius. ``fps`` has one LONG column of distinct values."""
     value = fps.columns[0]
     keys = F.array(*[
         F.struct(F.lit(i).alias("shard"), F.col(value).bitwiseAND(F.lit(_signed(m))).alias("agreed"))
         for i, m in enumerate(shard_masks(radius))])
     sharded = fps.select(F.explode(keys).alias("k"), F.col(value).alias("fp")).select("k.shard", "k.agreed", "fp")
     shards = sharded.repartition("shard", "agreed").sortWithinPartitions("shard", "agreed", "fp")
-    links = map_batches(shards, _linker(radius), "a long, b long")
-    return components(links)
+    return map_batches(shards, _linker(radius), "a long, b long")
+
+
+def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, root) of each distinct fingerprint that has another within the radius."""
+    return components(_link_edges(fps, radius))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -176,7 +178,84 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_per_group(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The documents that name their component. Rows that repeat such a doc_id stay."""
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
+#: Samples of a text's shingles, shingles in one, and hashes in the sketch that checks a link.
+SAMPLES, SAMPLE, SKETCH = 10, 5, 128
+#: Estimated similarity that keeps a link: 0.8 less what a sketch may err.
+SIMILAR = 0.75
+_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) | 1) & (2**64 - 1) for i in range(1, SAMPLES + 1)], np.uint64)
+
+
+def sketched(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, mark, fp, samples, sketch): beside the fingerprint of each row, a hash of the smallest shingles
+    under each of several orders, and the smallest 32-bit hashes under another. Two texts agree in a
+    sample of 5 with the fifth power of their similarity."""
+    def run(batches):
+        for batch in batches:
+            fps, samples, sketches = [], [], []
+            for text in batch.column(2).to_pylist():
+                hashes = shingle_hashes(words_of(text), shingle)
+                fps.append(fingerprint(hashes))
+                own = np.unique(hashes)
+                size = min(SAMPLE, len(own))
+                ordered = own[None, :] * _ODD[:, None]
+                ordered ^= ordered >> np.uint64(29)
+                ordered *= np.uint64(0xBF58476D1CE4E5B9)
+                least = np.sort(np.partition(ordered, size - 1, axis=1)[:, :size], axis=1) if size else ordered
+                samples.append([xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(least)])
+                sketches.append(np.unique((own >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(fps, pa.int64()),
+                 pa.array(samples, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=["doc_id", "mark", "fp", "samples", "sketch"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text")
+    return map_batches(rows, run, "doc_id long, mark long, fp long, samples array<long>, sketch binary")
+
+
+def _mark():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Estimated from sketches; exact for texts of up to SKETCH shingles. Two empty texts are equal."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.union1d(x, y)[:SKETCH]
+    return len(np.intersect1d(np.intersect1d(x, y), both)) / len(both) if len(both) else 1.0
+
+
+def _similar(batches):
+    for batch in batches:
+        a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
+        good = [i for i in range(len(a)) if similarity(x[i], y[i]) >= SIMILAR]
+        yield _links([(a[i], b[i]) for i in good])
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, root) per row of documents. Documents are together if their five-word fingerprints are
+    linked, or if they agree in a sample and their sketches put them at 0.8 or more. Those of a sample
+    are compared with one of them each, so a group of any size costs one row per document."""
+    rows = store(sketched(docs), "sketches")
+    nodes = store(rows.groupBy("fp").agg(F.min_by("samples", F.struct("doc_id", "mark")).alias("samples"),
+                                         F.min_by("sketch", F.struct("doc_id", "mark")).alias("sketch")), "nodes")
+    keyed = store(nodes.select("fp", F.explode("samples").alias("key")), "samples")
+    heads = store(keyed.groupBy("key").agg(F.min("fp").alias("head"), F.max("fp").alias("last")).where("head <> last")
+                  .select("key", "head"), "heads")
+    pairs = store(keyed.join(heads, "key").where("fp <> head").select("fp", "head").distinct(), "pairs")
+    other = nodes.select(F.col("fp").alias("head"), F.col("sketch").alias("other"))
+    checked = map_batches(pairs.join(nodes.select("fp", "sketch"), "fp").join(other, "head").select(
+        "fp", "head", "sketch", "other"), _similar, "a long, b long")
+    links = checked.unionByName(_link_edges(nodes.select("fp"), RADIUS))
+    groups = components(links).withColumnRenamed("node", "fp")
+    roots = store(nodes.select("fp").join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+    return rows.select("doc_id", "mark", "fp").join(roots, "fp").select("doc_id", "mark", "root")
+
+
+def one_per_group(docs: DataFrame) -> DataFrame:
+    """One document of each group, that of the smallest doc_id (null last). Rows that
+    repeat both its id and its text are one document."""
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "mark")
+    keep = store(similar_documents(docs).groupBy("root").agg(F.min(order).alias("k")).select(
+        F.col("k.doc_id").alias("__id"), F.col("k.mark").alias("__m")), "keep")
+    marked = docs.withColumn("__mark", _mark())
+    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__mark"]).select(*docs.columns)

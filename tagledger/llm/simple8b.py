@@ -19,8 +19,13 @@ BLOCK = 4096
 PAD = int(COUNTS.max())
 
 
+_SMALL = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
+
+
 def bit_widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id, 0 for 0."""
+    if ids.size and ids.max() < len(_SMALL):
+        return _SMALL[ids]
     high, rest = np.zeros(ids.shape, np.uint8), ids.astype(np.uint64)
     for step in (32, 16, 8, 4, 2, 1):
         over = rest >= (np.uint64(1) << np.uint64(step))
@@ -32,7 +37,6 @@ def bit_widths(ids: np.ndarray) -> np.ndarray:
 def _selectors(bits: np.ndarray) -> np.ndarray:
     """For each place of a row, the first selector whose run fits there."""
     choice = np.full(bits.shape, ESCAPE, np.uint8)
-    open_ = np.ones(bits.shape, bool)
     spans = {1: bits}
     size = 1
     while size * 2 <= PAD:  # maxima over runs of 2, 4, 8 and so on
@@ -40,16 +44,14 @@ def _selectors(bits: np.ndarray) -> np.ndarray:
         wide[:, :-size] = np.maximum(wide[:, :-size], spans[size][:, size:])
         size *= 2
         spans[size] = wide
-    for selector in range(ESCAPE):
+    for selector in reversed(range(ESCAPE)):  # longer runs overrule shorter ones
         count, width = int(COUNTS[selector]), int(WIDTHS[selector])
         part = 1 << (count.bit_length() - 1)
         top = spans[part]
         if count > part:
             top = top.copy()
-            top[:, : -(count - part)] = np.maximum(top[:, : -(count - part)], spans[part][:, count - part:])
-        fits = open_ & (top <= width)
-        choice[fits] = selector
-        open_ &= ~fits
+            np.maximum(top[:, : part - count], spans[part][:, count - part:], out=top[:, : part - count])
+        np.copyto(choice, np.uint8(selector), where=top <= width)
     return choice
 
 

@@ -31,8 +31,10 @@ MAGIC = b"TLS8BIT1"
 END_ID = 0
 #: Ids after which a file is closed, which bounds a task's memory.
 FILE_IDS = 2_000_000
+#: Most tasks that read files.
+READ_TASKS = 10_000
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
 #: White space that a cut before a blank would tear apart.
 TORN = re.compile(r"\s (?=\s|\Z)")
@@ -197,8 +199,9 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                     pa.array(lengths), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.select("part", "path", "file")
-    return map_batches(files.repartition("part", "file").select("part", "path"), run,
+    # a stated number of tasks, as Spark would merge rows this small into one
+    files = manifest.repartition(min(max(1, manifest.count()), READ_TASKS), "part", "file")
+    return map_batches(files.select("part", "path"), run,
                        "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -239,6 +239,14 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic; rows that share a doc_id go together."""
-    bad = scored(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The documents that are not predicted toxic, in one pass and without a join."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    place = docs.columns.index("text")
+
+    def run(batches):
+        scorer = Scorer(held.value)
+        for batch in batches:
+            scans = (scorer.scan(t) for t in batch.column(place).to_pylist())
+            yield batch.filter(pa.array([scorer.model.score(scorer.model.evidence(n, f)) < 0.5 for n, f in scans], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
