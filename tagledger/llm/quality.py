@@ -28,17 +28,18 @@ MOST_CONDITIONS = 3
 PRECISION = 0.8
 SUPPORT = 5
 
+#: What rules may ask about, as SQL over the statistics.
 FEATURES = {
-    "words": F.col("n_words").cast("double"),
-    "word_length": F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)),
-    "symbols": F.col("n_symbols") / F.greatest(F.col("n_words"), F.lit(1)),
-    "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-    "repeats": F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
-    "line_words": F.col("n_words") / F.greatest(F.col("n_lines"), F.lit(1)),
-    "digits": F.col("n_digits") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "capitals": F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "stops": F.col("n_stops") / F.greatest(F.col("n_words"), F.lit(1)),
-    "distinct": F.col("n_distinct") / F.greatest(F.col("n_words"), F.lit(1)),
+    "words": "CAST(n_words AS DOUBLE)",
+    "word_length": "word_chars / greatest(n_words, 1)",
+    "symbols": "n_symbols / greatest(n_words, 1)",
+    "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
+    "repeats": "n_repeat_words / greatest(n_words, 1)",
+    "line_words": "n_words / greatest(n_lines, 1)",
+    "digits": "n_digits / greatest(word_chars, 1)",
+    "capitals": "n_capitals / greatest(word_chars, 1)",
+    "stops": "n_stops / greatest(n_words, 1)",
+    "distinct": "n_distinct / greatest(n_words, 1)",
 }
 
 
@@ -112,7 +113,7 @@ class Condition:
     threshold: float
 
     def column(self) -> Column:
-        value = FEATURES[self.feature]
+        value = F.expr(FEATURES[self.feature])
         return value > self.threshold if self.above else value <= self.threshold
 
     def binned(self, cuts: dict[str, list[float]]) -> Column:
@@ -184,7 +185,7 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[Rule]:
     marked = stats.join(labels.where("quality IN (0, 1)").select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 0).alias("bad")), "doc_id").where(~base_failed())
     rows = store(marked.select("bad", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held"),
-                               *[v.alias(f) for f, v in FEATURES.items()]), "labelled")
+                               *[F.expr(v).alias(f) for f, v in FEATURES.items()]), "labelled")
     quantiles = rows.agg(*[F.percentile_approx(f, [i / BINS for i in range(BINS)], 10_000).alias(f) for f in FEATURES]).first()
     if quantiles[0] is None:
         return []
