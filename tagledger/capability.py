@@ -24,51 +24,54 @@ class Capability:
     fallback: str
     reason: str = ""
     serverless_differs: bool = False
+    resource: str = ""      # what carries the tags, where there is one such thing
+    id_field: str = ""      # the field of usage_metadata that names it
+    note: str = ""          # what to know before a serverless one is tagged
 
 
-def _direct(product: str, label: str, kind: str, reason: str = "", *,
-            rollback: bool = True, serverless_differs: bool = False) -> Capability:
+def _direct(product: str, resource: str, id_field: str = "", *, reason: str = "", note: str = "",
+            readable: bool = True, serverless_differs: bool = False) -> Capability:
     return Capability(
-        product, label,
-        read_path=f"tags of the {kind}" if rollback else "not readable",
-        write_path=f"replace tags of the {kind}", tag_method=product,
+        product, f"{resource[0].upper()}{resource[1:]} usage",
+        read_path=f"listed with the {resource}" if readable else "",
+        write_path=f"write the tags of the {resource}", tag_method=product,
         direct_tag=True, create_time_only=False, policy_driven=False, ui_only=False,
-        rollback=rollback, fallback=DIRECT, reason=reason, serverless_differs=serverless_differs)
+        rollback=readable, fallback=DIRECT, reason=reason, serverless_differs=serverless_differs,
+        resource=resource, id_field=id_field, note=note)
 
 
-def _indirect(product: str, label: str, fallback: str, reason: str) -> Capability:
+def _indirect(product: str, resource: str, fallback: str, reason: str, id_field: str = "") -> Capability:
     ui = fallback == UI_ONLY
     return Capability(
-        product, label,
-        read_path="tags of the pipeline's clusters" if ui else "billing only",
-        write_path="", tag_method="",
+        product, f"{resource[0].upper()}{resource[1:]} usage",
+        read_path="listed with its clusters" if ui else "", write_path="", tag_method="",
         direct_tag=False, create_time_only=False, policy_driven=not ui, ui_only=ui,
-        rollback=False, fallback=fallback, reason=reason)
+        rollback=False, fallback=fallback, reason=reason, resource=resource, id_field=id_field)
 
 
-# Product codes, flags and remedies.
+# Product codes, flags, remedies and id fields. Texts are our own.
 CAPABILITIES = (
-    _direct("JOBS", "Jobs", "job"),
-    _direct("ALL_PURPOSE", "All-purpose compute", "cluster"),
-    _direct("POOL", "Instance pools", "instance pool",
-            "Billed through the jobs and clusters that draw on it, so pools show up in the "
-            "inventory only."),
-    _direct("SQL", "SQL warehouses", "warehouse",
-            "Serverless warehouses are attributed by a budget policy; others take tags.",
-            serverless_differs=True),
-    _direct("DATABASE", "Database (SQL warehouse path)", "warehouse"),
-    _direct("MODEL_SERVING", "Model serving", "serving endpoint"),
-    _direct("LAKEBASE", "Lakebase", "database instance"),
-    _direct("VECTOR_SEARCH", "Vector Search", "search endpoint",
-            "Current tags cannot be read, so the previous value is unknown.", rollback=False),
-    _indirect("DLT", "Declarative pipelines", UI_ONLY,
-              "Set the tags in the pipeline definition."),
-    _indirect("APPS", "Apps", BUDGET_POLICY, "Attribute apps by a budget policy."),
-    _indirect("AI_GATEWAY", "AI Gateway", BUDGET_POLICY, "Attribute the gateway by a budget policy."),
-    _indirect("INTERACTIVE", "Interactive / background", EXCEPTION_QUEUE,
-              "No single resource to tag; handle by hand."),
-    _indirect("LAKEFLOW_CONNECT", "Managed ingestion", BUDGET_POLICY,
-              "Attribute ingestion by a budget policy."),
+    _direct("ALL_PURPOSE", "cluster", "cluster_id"),
+    _indirect("AI_GATEWAY", "model gateway", BUDGET_POLICY, "Only a budget policy reaches gateway spend."),
+    _indirect("APPS", "app", BUDGET_POLICY, "Only a budget policy reaches app spend.", "app_id"),
+    _direct("DATABASE", "database warehouse"),
+    _indirect("DLT", "pipeline", UI_ONLY, "Its tags belong to the pipeline's own settings.", "dlt_pipeline_id"),
+    _indirect("INTERACTIVE", "shared session", EXCEPTION_QUEUE,
+              "Nothing here carries tags by itself; a person decides.", "cluster_id"),
+    _direct("JOBS", "job", "job_id"),
+    _direct("LAKEBASE", "database instance", "database_instance_id",
+            note="Check who owns the instance before tagging it."),
+    _indirect("LAKEFLOW_CONNECT", "ingestion connector", BUDGET_POLICY,
+              "Only a budget policy reaches connector spend."),
+    _direct("MODEL_SERVING", "serving endpoint", "endpoint_id",
+            note="Earlier usage of the endpoint keeps its old tags."),
+    _direct("POOL", "instance pool", "instance_pool_id",
+            reason="Never billed by itself: jobs and clusters that use the pool are.",
+            note="Clusters take over the pool's tags when they next start."),
+    _direct("SQL", "warehouse", "warehouse_id", serverless_differs=True,
+            reason="A serverless warehouse follows its budget policy, whatever its tags say."),
+    _direct("VECTOR_SEARCH", "search endpoint", "endpoint_id", readable=False,
+            reason="Its tags can be written but not read, so what they were is unknown."),
 )
 
 BY_PRODUCT = {c.product: c for c in CAPABILITIES}
@@ -76,7 +79,7 @@ COLUMNS = tuple(f.name for f in fields(Capability))
 
 
 def capability_matrix(spark: SparkSession) -> DataFrame:
-    """One row per product. Thirteen rows, so broadcasting it is always safe."""
+    """One row per product, thirteen in all, so broadcasting it is always safe."""
     rows = [
         F.struct(*[F.lit(v).alias(n) for n, v in zip(COLUMNS, astuple(c))]) for c in CAPABILITIES
     ]

@@ -37,6 +37,8 @@ SUMMARY_DAYS = 90
 SCORING_DAYS = 30
 STALE_CLAIM_MINUTES = 30
 CONFIDENCE_SLACK = 0.05
+
+# Limits that the registered top-k queries ask for; operators have none of their own.
 RULE_SAMPLE_LIMIT = 200
 SUGGESTION_LIMIT = 100
 FIELD_VALUE_LIMIT = 2000
@@ -70,5 +72,3 @@ RULE_FIELDS = {
 
 # Cluster sources whose clusters are taggable in their own right.
 INTERACTIVE_CLUSTER_SOURCES = ("UI", "API")
-# Ids starting with this mark listings that failed, not resources.
-SENTINEL_PREFIX = "__"

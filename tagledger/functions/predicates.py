@@ -63,6 +63,7 @@ def confident(cutoff: float, value: str = "suggested_cost_center",
     )
 
 
-def is_resource(column: str = "workload_id") -> Column:
-    """False for the rows that stand for a failed listing."""
-    return ~F.startswith(F.col(column), F.lit(C.SENTINEL_PREFIX))
+def is_resource() -> Column:
+    """False for the rows that stand for a failed listing; their own column says so,
+    whatever the id looks like."""
+    return ~F.coalesce(F.col("listing_failed"), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tagledger.constants import RULE_FIELDS
 
 NO_RULE = -1
-# From this many equals rules on one field, look them up by a join.
-MANY_EQUALS = 16
 
 # In a glob, * and ? are wildcards and everything else is literal.
 _GLOB_TO_LIKE = str.maketrans({"*": "%", "?": "_", "%": r"\%", "_": r"\_", "\\": "\\\\"})
@@ -63,46 +61,34 @@ def rule_match(rule: Rule) -> Column:
 
 
 def first_match(rules: Sequence[Rule]) -> Column:
-    """Position of the first matching rule, or -1, as one CASE ladder."""
-    return _ladder(enumerate(rules), F.lit(NO_RULE))
-
-
-def _ladder(placed: Iterable[tuple[int, Rule]], otherwise: Column) -> Column:
-    ladder: Column | None = None
-    for position, rule in placed:
-        hit = rule_match(rule)
-        ladder = F.when(hit, position) if ladder is None else ladder.when(hit, position)
-    return otherwise if ladder is None else ladder.otherwise(otherwise)
+    """Position of the first matching rule, or -1.
+
+    The ``equals`` rules of a field are one constant array, and their first hit
+    is looked up in it; all others are one CASE ladder. The smaller position
+    wins, which is the same as testing all rules in order, and holds for any number of
+    rules. Spark lowers the text on both sides."""
+    equals: dict[str, list[tuple[int, Rule]]] = {}
+    ladder = F.lit(None).cast("int")
+    for position, rule in reversed(list(enumerate(rules))):
+        if rule.op == "equals":
+            equals.setdefault(rule.field, []).insert(0, (position, rule))
+        else:
+            ladder = F.when(rule_match(rule), position).otherwise(ladder)
+    found = [ladder, F.lit(None).cast("int")]
+    for listed in equals.values():
+        values = F.array(*[F.lower(F.lit(r.value)) for _, r in listed])
+        hit = F.array_position(values, _text(listed[0][1])).cast("int")
+        found.append(F.get(F.array(*[F.lit(i) for i, _ in listed]), hit - 1))
+    return F.coalesce(F.least(*found), F.lit(NO_RULE))
 
 
 def with_first_rule(workloads: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Add ``first_rule``. Where one field has many ``equals`` rules, they are
-    found by a hash join with the rule list instead of being tested in turn.
-    The smaller position of join and ladder wins, which is the same as testing
-    all rules in order."""
-    lookups: dict[str, dict[str, int]] = {}
-    for position, rule in enumerate(rules):
-        if rule.op == "equals" and rule.value.isascii():
-            lookups.setdefault(rule.field, {}).setdefault(rule.value.lower(), position)
-    lookups = {f: values for f, values in lookups.items() if len(values) >= MANY_EQUALS}
-    rest = [(i, r) for i, r in enumerate(rules)
-            if r.op != "equals" or r.value.lower() not in lookups.get(r.field, {})]
-    found, rows = [_ladder(rest, F.lit(None).cast("int"))], workloads
-    for name, positions in lookups.items():
-        text, at = f"_text_{name}", f"_at_{name}"
-        pairs = [F.struct(F.lit(v).alias(text), F.lit(i).alias(at)) for v, i in positions.items()]
-        listed = workloads.sparkSession.range(1).select(F.inline(F.array(*pairs)))
-        lowered = F.lower(F.coalesce(F.col(RULE_FIELDS[name]), F.lit("")))
-        rows = rows.withColumn(text, lowered).join(F.broadcast(listed), text, "left").drop(text)
-        found.append(F.col(at))
-    winner = F.least(*found) if len(found) > 1 else found[0]
-    return rows.withColumn("first_rule", F.coalesce(winner, F.lit(NO_RULE))).drop(
-        *[f"_at_{name}" for name in lookups])
+    """Add ``first_rule``."""
+    return workloads.withColumn("first_rule", first_match(rules))
 
 
 def rule_tags(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
-    """The literal relation (rule_idx, tag_key, tag_value). Its size is that of
-    the caller's rule list, so it is safe to broadcast."""
+    """The literal relation (rule_idx, tag_key, tag_value)."""
     rows = [
         F.struct(F.lit(i).alias("rule_idx"), F.lit(k).alias("tag_key"), F.lit(v).alias("tag_value"))
         for i, rule in enumerate(rules) for k, v in rule.tags.items()

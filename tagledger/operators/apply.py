@@ -20,11 +20,17 @@ def with_capability(rows: DataFrame) -> DataFrame:
 
 
 def with_state(rows: DataFrame, tag_state: DataFrame) -> DataFrame:
-    """Add ``state``, a struct with the resource's tags; null when there is no
-    such resource. Nothing that follows needs the rows grouped, so Spark is
+    """Add ``state``, a struct with the resource's tags and what is wrong with them, null when
+    there is no such resource; and ``unlisted``, why the resources of its product or
+    workspace could not be listed. Nothing that follows needs the rows grouped, so Spark is
     free to split a resource that many rows ask for."""
-    state = tag_state.select(*RESOURCE_KEY, F.struct("tags").alias("state"))
-    return rows.join(state, list(RESOURCE_KEY), "left")
+    resources, failed = tag_state.filter("workload_id IS NOT NULL"), tag_state.filter("workload_id IS NULL")
+    everything = F.array(*[F.lit(p) for p in capability.BY_PRODUCT])
+    unlisted = failed.select(
+        "workspace_id", F.explode(F.when(F.col("product").isNull(), everything).otherwise(F.array("product"))).alias("product"),
+        "problem").groupBy("workspace_id", "product").agg(F.max("problem").alias("unlisted"))
+    state = resources.select(*RESOURCE_KEY, F.struct("tags", "problem").alias("state"))
+    return rows.join(state, list(RESOURCE_KEY), "left").join(unlisted, ["workspace_id", "product"], "left")
 
 
 def _no(status: str, error: Column) -> Column:
@@ -48,10 +54,16 @@ def refused_by_rule() -> Column:
     )
 
 
-def refused_by_state() -> Column:
-    """Struct (status, error) when the resource does not exist, else null."""
-    return F.when(F.col("state").isNull(), _no(C.FAILED, F.concat(
-        F.lit("ResourceDoesNotExist: "), F.col("product"), F.lit(" "), F.col("workload_id"))))
+def refused_by_state(readable: Column) -> Column:
+    """Struct (status, error) when the resource could not be listed, does not exist, or
+    has tags that should be readable and were not; else null."""
+    name = F.concat(F.col("product"), F.lit(" "), F.col("workload_id"))
+    return (
+        F.when(F.col("unlisted").isNotNull(), _no(C.FAILED, F.concat(F.lit("Unknown: "), F.col("unlisted"))))
+        .when(F.col("state").isNull(), _no(C.FAILED, F.concat(F.lit("ResourceDoesNotExist: "), name)))
+        .when(readable & F.col("state.problem").isNotNull(), _no(C.FAILED, F.concat(
+            F.lit("TagsUnreadable: "), F.col("state.problem"))))
+    )
 
 
 def attempts(claimed: DataFrame, tag_state: DataFrame, dry_run: bool = True) -> DataFrame:
@@ -65,7 +77,8 @@ def attempts(claimed: DataFrame, tag_state: DataFrame, dry_run: bool = True) ->
     cannot be read, the old value is unknown and nothing counts as a no-op.
 
     Histories are followed before the tag state is looked up. A missing
-    resource fails all its rows alike, so its histories do not matter."""
+    resource fails all its rows alike, so its histories do not matter; so does one
+    whose tags or listing could not be read."""
     rows = with_capability(claimed).withColumns({
         "no": refused_by_rule(), "readable": F.col("can.rollback")}).drop("can")
     if dry_run:
@@ -75,7 +88,8 @@ def attempts(claimed: DataFrame, tag_state: DataFrame, dry_run: bool = True) ->
             rows.withColumn("_refused", F.col("no").isNotNull()),
             [*RESOURCE_KEY, "tag_key", "_refused"], "tag_value", "enqueued_at", "batch_id",
         ).drop("_refused")
-    rows = with_state(rows, tag_state).withColumn("no", F.coalesce("no", refused_by_state()))
+    rows = with_state(rows, tag_state).withColumn(
+        "no", F.coalesce("no", refused_by_state(F.coalesce("readable", F.lit(False)))))
     written = F.col("no").isNull()
     readable = written & F.col("readable")
     old = F.when(readable, F.coalesce(F.col("previous"), value_of(F.col("state.tags"), F.col("tag_key"))))
@@ -130,7 +144,7 @@ def change_state(tag_state: DataFrame, changes: DataFrame) -> DataFrame:
     return tag_state.join(folded, list(RESOURCE_KEY), "left").select(
         *RESOURCE_KEY,
         F.when(F.col("_changes").isNull(), F.col("tags"))
-        .otherwise(merge_changes(F.col("tags"), F.col("_changes"))).alias("tags"),
+        .otherwise(merge_changes(F.col("tags"), F.col("_changes"))).alias("tags"), "problem",
     )
 
 

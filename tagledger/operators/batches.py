@@ -5,27 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tagledger import constants as C
+from tagledger.schemas import of_batch
 
-# Up to this many batch ids are broadcast.
-BROADCAST_LIMIT = 10_000
 
-
-def recent_batches(queue: DataFrame, limit: int = C.BATCH_LIMIT) -> DataFrame:
-    """Latest batches with their row counts per status. A cheap pass over two
-    columns picks the batches, so only their rows are counted; the picked ids
-    are no more than ``limit``, which bounds the broadcast."""
+def recent_batches(queue: DataFrame, limit: int | None = None) -> DataFrame:
+    """Batches with their row counts per status, latest first. With a ``limit``
+    a cheap pass over two columns picks the batches, so that only their rows are counted."""
     names = {
         "pending": C.PENDING, "running": C.RUNNING, "succeeded": C.SUCCEEDED, "failed": C.FAILED,
         "unsupported": C.UNSUPPORTED, "dry_run": C.SKIPPED_DRYRUN, "rolled_back": C.ROLLED_BACK,
     }
     order = [F.desc("enqueued_at"), "batch_id"]
-    latest = (
-        queue.groupBy("batch_id").agg(F.max("enqueued_at").alias("enqueued_at"))
-        .orderBy(*order).limit(limit).select("batch_id")
-    )
-    picked = F.broadcast(latest) if limit <= BROADCAST_LIMIT else latest
+    if limit is not None:
+        latest = (
+            queue.groupBy("batch_id").agg(F.max("enqueued_at").alias("enqueued_at"))
+            .orderBy(*order).limit(limit).select("batch_id")
+        )
+        queue = queue.join(latest, "batch_id", "left_semi")
     return (
-        queue.join(picked, "batch_id", "left_semi")
+        queue
         .groupBy("batch_id")
         .agg(
             F.max("enqueued_at").alias("enqueued_at"),
@@ -59,15 +57,13 @@ def batch_progress(batches: DataFrame) -> DataFrame:
     )
 
 
-def batch_failure_breakdown(queue: DataFrame, batch_id: str,
-                            limit: int = C.FAILURE_REASON_LIMIT) -> DataFrame:
+def batch_failure_breakdown(queue: DataFrame, batch_id: str, limit: int | None = None) -> DataFrame:
     """Why rows of a batch were not tagged, by product, status and the error
-    text up to its first colon."""
+    text up to its first colon; the ``limit`` most frequent reasons if given."""
     reason = F.coalesce(
         F.nullif(F.trim(F.split("last_error", ":")[0]), F.lit("")), F.lit("unknown"))
-    return (
-        queue.filter((F.col("batch_id") == batch_id)
-                     & F.col("status").isin(C.FAILED, C.UNSUPPORTED))
+    found = (
+        of_batch(queue, batch_id).filter(F.col("status").isin(C.FAILED, C.UNSUPPORTED))
         .groupBy("product", "status", reason.alias("reason"))
         .agg(
             F.count(F.lit(1)).alias("rows"),
@@ -75,9 +71,9 @@ def batch_failure_breakdown(queue: DataFrame, batch_id: str,
             F.min("last_error").alias("sample_reason"),
         )
         .orderBy(F.desc("rows"), "product", "status", "reason")
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)
 
 
 def count_queue_rows(queue: DataFrame, batch_id: str) -> DataFrame:
-    return queue.filter(F.col("batch_id") == batch_id).agg(F.count(F.lit(1)).alias("n"))
+    return of_batch(queue, batch_id).agg(F.count(F.lit(1)).alias("n"))

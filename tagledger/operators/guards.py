@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tagledger.constants import HANDLED_STATUSES
 from tagledger.operators.summary import WORKLOAD_KEY
+from tagledger.schemas import of_batch
 
 
 def _workloads(queue: DataFrame) -> DataFrame:
@@ -25,5 +26,5 @@ def not_handled(workloads: DataFrame, queue: DataFrame, key: str) -> DataFrame:
 
 def not_in_batch(workloads: DataFrame, queue: DataFrame, batch_id: str, key: str) -> DataFrame:
     """Drop workloads already queued for this key in one batch."""
-    queued = queue.filter((F.col("batch_id") == batch_id) & (F.col("tag_key") == key))
+    queued = of_batch(queue, batch_id).filter(F.col("tag_key") == key)
     return workloads.join(_workloads(queued), list(WORKLOAD_KEY), "left_anti")

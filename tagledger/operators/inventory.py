@@ -20,27 +20,37 @@ LISTING_SHAPES = {
     "SQL": "pairs",
     "MODEL_SERVING": "pairs",
     "DLT": "maps",
+    "DATABASE": "pairs",
+    "LAKEBASE": "pairs",
+    "VECTOR_SEARCH": "none",
 }
+# Product shown for a workspace that was out of reach as a whole.
+UNREACHABLE_PRODUCT = "__workspace__"
+UNREADABLE = "tags of this product cannot be read"
 
 
 def _tags(shape: str) -> Column:
     tags = F.col("tags")
     built = {"map": lambda: tags, "pairs": lambda: tags_from_pairs(tags),
-             "maps": lambda: tags_from_maps(tags)}[shape]()
+             "maps": lambda: tags_from_maps(tags), "none": no_tags}[shape]()
     return F.coalesce(built, no_tags())
 
 
 def normalise_listing(listing: DataFrame, product: str) -> DataFrame:
     """One product's raw listing (workspace_id, workload_id, workload_name,
     owner, tags, read_error) with tags as one map. A listing with
-    ``cluster_source`` keeps only clusters that people or the API started."""
+    ``cluster_source`` keeps only clusters that people or the API started. Where a product
+    does not show its tags, its resources are known and their tags are not."""
     if "cluster_source" in listing.columns:
         listing = listing.filter(F.col("cluster_source").isin(*C.INTERACTIVE_CLUSTER_SOURCES))
+    shape = LISTING_SHAPES[product]
+    if shape == "none":
+        listing = listing.withColumn("read_error", F.coalesce("read_error", F.lit(UNREADABLE)))
     failed = F.col("read_error").isNotNull()
     return listing.select(
         "workspace_id", F.lit(product).alias("product"), "workload_id", "workload_name", "owner",
-        F.when(failed, no_tags()).otherwise(_tags(LISTING_SHAPES[product])).alias("tags"),
-        (~failed).alias("tag_read_ok"), "read_error",
+        F.when(failed, no_tags()).otherwise(_tags(shape)).alias("tags"),
+        (~failed).alias("tag_read_ok"), "read_error", F.lit(False).alias("listing_failed"),
     )
 
 
@@ -50,14 +60,14 @@ def failed_listings(errors: DataFrame) -> DataFrame:
     whole = F.col("product").isNull()
     return errors.select(
         "workspace_id",
-        F.coalesce("product", F.lit("__workspace__")).alias("product"),
+        F.coalesce("product", F.lit(UNREACHABLE_PRODUCT)).alias("product"),
         F.when(whole, F.concat(F.lit("__unreachable__"), "workspace_id"))
         .otherwise(F.concat(F.lit("__list_error__"), "product")).alias("workload_id"),
         F.lit(None).cast("string").alias("workload_name"),
         F.lit(None).cast("string").alias("owner"),
         no_tags().alias("tags"), F.lit(False).alias("tag_read_ok"),
         F.concat(F.when(whole, "workspace unreachable: ").otherwise("list failed: "), "error")
-        .alias("read_error"),
+        .alias("read_error"), F.lit(True).alias("listing_failed"),
     )
 
 
@@ -140,7 +150,20 @@ def coverage_totals(summary: DataFrame) -> DataFrame:
         F.sum("resources").alias("resources"), F.sum("untagged").alias("untagged"))
 
 
+def state_of(scan: DataFrame) -> DataFrame:
+    """What one scan says of the state that changes apply to: a row per resource, with
+    its tags or why they are unknown, and a row per listing that failed. A resource that is listed
+    twice counts once."""
+    unreachable = F.col("product") == UNREACHABLE_PRODUCT
+    known = F.struct(F.when(F.col("tag_read_ok"), F.col("tags")).alias("tags"), F.col("read_error").alias("problem"))
+    rows = scan.select(
+        "workspace_id", F.when(~unreachable | is_resource(), F.col("product")).alias("product"),
+        F.when(is_resource(), F.col("workload_id")).alias("workload_id"), known.alias("known"))
+    order = F.struct(F.col("known.problem").isNull(), F.coalesce(F.to_json("known.tags"), F.lit("")))
+    return rows.groupBy("workspace_id", "product", "workload_id").agg(F.max_by("known", order).alias("known")).select(
+        "workspace_id", "product", "workload_id", "known.tags", "known.problem")
+
+
 def tag_state(inventory: DataFrame, by: str = "time") -> DataFrame:
-    """The state that changes apply to: readable resources of the latest scan."""
-    return latest_scan(inventory, by).filter(is_resource() & F.col("tag_read_ok")).select(
-        "workspace_id", "product", "workload_id", "tags")
+    """The state that the latest scan alone shows."""
+    return state_of(latest_scan(inventory, by))

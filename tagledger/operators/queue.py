@@ -51,7 +51,7 @@ def enqueue_rules(summary: DataFrame, queue: DataFrame, rules: Sequence, keys: S
 
 def _with_rule_tags(matched: DataFrame, rules, batch_id: str, requested_by: str,
                     now: dt.datetime) -> DataFrame:
-    tags = F.broadcast(rule_tags(matched.sparkSession, rules))
+    tags = rule_tags(matched.sparkSession, rules)
     joined = matched.join(tags, matched["first_rule"] == tags["rule_idx"])
     return queue_rows(joined, batch_id, requested_by, now)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagledger.constants import FIELD_VALUE_LIMIT, RULE_FIELDS, SUCCEEDED, TAGGABLE
+from tagledger.constants import RULE_FIELDS, SUCCEEDED, TAGGABLE
 from tagledger.functions.predicates import not_taggable_reason
 from tagledger.functions.workload import days_since
 from tagledger.operators.summary import summary_window, workload_rollup
@@ -73,9 +73,12 @@ def product_risk(products: DataFrame) -> DataFrame:
     )
 
 
-def tagged_live_adjustment(queue: DataFrame, key: str) -> DataFrame:
-    """Workloads tagged since the snapshot, from the queue: each id counts once
-    at its highest cost."""
+def tagged_live_adjustment(queue: DataFrame, key: str,
+                           workspaces: Sequence[str] | None = None) -> DataFrame:
+    """Workloads tagged since the snapshot, from the queue (of some workspaces):
+    each id counts once at its highest cost."""
+    if workspaces:
+        queue = queue.filter(F.col("workspace_id").isin(*workspaces))
     return (
         queue.filter((F.col("status") == SUCCEEDED) & (F.col("tag_key") == key))
         .groupBy("workload_id").agg(F.max("list_cost").alias("list_cost"))
@@ -88,7 +91,7 @@ def kpi_live(summary: DataFrame, queue: DataFrame, key: str, as_of: dt.date, day
     """``kpi_summary`` with the live credit taken off, never below 0. The two
     one-row inputs are stacked and folded into one row, so no join is needed."""
     base = kpi_summary(summary, [key], as_of, days, workspaces)
-    live = tagged_live_adjustment(queue, key).select(
+    live = tagged_live_adjustment(queue, key, workspaces).select(
         F.col("cost").alias("live_cost"), F.col("workloads").alias("live_workloads"))
     one = base.unionByName(live, allowMissingColumns=True).agg(
         *[F.max(c).alias(c) for c in
@@ -130,19 +133,19 @@ def reason_rollup(breakdown: DataFrame) -> DataFrame:
 
 def distinct_field_values(summary: DataFrame, field: str, as_of: dt.date, days: int,
                           workspaces: Sequence[str] | None = None,
-                          limit: int = FIELD_VALUE_LIMIT) -> DataFrame:
-    """Values a rule on ``field`` can pick from, in alphabetical order. An
-    unknown field means owner."""
+                          limit: int | None = None) -> DataFrame:
+    """Values a rule on ``field`` can pick from, in alphabetical order, the first
+    ``limit`` if given. An unknown field means owner."""
     column = RULE_FIELDS.get(field, "owner")
-    return (
+    found = (
         summary_window(summary, as_of, days, workspaces)
         .filter(F.col(column).isNotNull() & (F.col(column) != ""))
         .groupBy(F.col(column).alias("value"))
         .agg(_whole(F.sum("list_cost")).alias("cost"),
              F.count_distinct("workload_id").alias("workloads"))
         .orderBy(F.lower("value"), "value")
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)
 
 
 def explore(rows: DataFrame, as_of: dt.date, min_cost: float = 0, active_within: int = 0,

@@ -10,7 +10,7 @@ from tagledger import constants as C
 from tagledger.operators.apply import (
     audit_id, change_state, refused_by_rule, refused_by_state, with_capability, with_state,
 )
-from tagledger.schemas import AUDIT
+from tagledger.schemas import AUDIT, of_batch
 
 CHANGE_KEY = ("product", "workload_id", "tag_key")
 
@@ -24,7 +24,7 @@ def rollback_plan(audit: DataFrame, batch_id: str, anchor: str = "latest",
 
     The latest row is a maximum over a struct, which is reduced before the
     shuffle, so a key with many records needs no sort in one task."""
-    batch = audit.filter((F.col("batch_id") == batch_id) & (F.col("status") == C.SUCCEEDED))
+    batch = of_batch(audit, batch_id).filter(F.col("status") == C.SUCCEEDED)
     record = F.struct("executed_at", "audit_id", "workspace_id", "old_value", "new_value")
     old_from = {"latest": F.max, "earliest": F.min}[anchor](record)
     plan = batch.filter(F.col("action") == C.SET).groupBy(*CHANGE_KEY).agg(
@@ -41,12 +41,16 @@ def rollback_plan(audit: DataFrame, batch_id: str, anchor: str = "latest",
 
 
 def rollback_attempts(plan: DataFrame, tag_state: DataFrame, dry_run: bool = True) -> DataFrame:
-    """The plan with status and error: SUCCEEDED, FAILED, or DRY_RUN."""
+    """The plan with status and error: SUCCEEDED, FAILED, or DRY_RUN. Where a product's tags cannot be
+    read, the value from before is unknown: nothing is restored, and the row says so."""
     if dry_run:
         return plan.withColumns({
             "status": F.lit(C.DRY_RUN), "error": F.lit(None).cast("string")})
     rows = with_state(with_capability(plan.withColumn("is_serverless", F.lit(0))), tag_state)
-    return rows.withColumn("no", F.coalesce(refused_by_rule(), refused_by_state())).select(
+    readable = F.coalesce(F.col("can.rollback"), F.lit(False))
+    unknown = F.when(~readable, F.struct(F.lit(C.FAILED).alias("status"), F.concat(
+        F.lit("PreviousValueUnknown: "), F.col("product"), F.lit(" "), F.col("workload_id")).alias("error")))
+    return rows.withColumn("no", F.coalesce(refused_by_rule(), unknown, refused_by_state(readable))).select(
         *plan.columns,
         F.when(F.col("no").isNull(), C.SUCCEEDED).otherwise(C.FAILED).alias("status"),
         F.col("no.error").alias("error"),

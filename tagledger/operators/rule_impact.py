@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tagledger.constants import RULE_SAMPLE_LIMIT
 from tagledger.functions.predicates import taggable
 from tagledger.functions.rules import complete_rules, value_for_key, with_first_rule
 from tagledger.operators.guards import not_handled
@@ -48,14 +47,14 @@ def rule_impact(summary: DataFrame, queue: DataFrame, keys: Sequence[str], rules
 
 def rule_sample(summary: DataFrame, queue: DataFrame, keys: Sequence[str], rules: Sequence,
                 as_of: dt.date, days: int, workspaces: Sequence[str] | None = None,
-                limit: int = RULE_SAMPLE_LIMIT) -> DataFrame | None:
-    """The costliest workloads the rules would tag and the value each gets for
-    the first key. None when no rule is complete."""
+                limit: int | None = None) -> DataFrame | None:
+    """The workloads the rules would tag, costliest first, and the value each
+    gets for the first key; up to ``limit`` if given. None when no rule is complete."""
     wanted = complete_rules(rules)
     if not wanted:
         return None
     matched = rule_candidates(summary, keys, rules, as_of, days, workspaces).filter("first_rule >= 0")
-    return (
+    found = (
         not_handled(matched, queue, keys[0])
         .select(
             "workload_id", "product", "workspace_id", "workload_name", "owner", "is_serverless",
@@ -63,5 +62,5 @@ def rule_sample(summary: DataFrame, queue: DataFrame, keys: Sequence[str], rules
             value_for_key(wanted, keys[0]).alias("new_tag_value"),
         )
         .orderBy(F.desc("cost"), "product", "workload_id")
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)

@@ -4,28 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagledger.constants import SCORING_DAYS, SUGGESTION_LIMIT
+from tagledger.constants import SCORING_DAYS
 from tagledger.functions.predicates import confident, taggable
 from tagledger.operators.guards import not_handled
 from tagledger.operators.summary import WORKLOAD_KEY, workload_rollup
 
 ANSWER_SCHEMA = "cost_center STRING, confidence DOUBLE, rationale STRING"
 
-# The team slugs offered, and words that point to each.
-TEAM_WORDS = {
-    "data-eng": ("etl", "ingest", "pipeline", "bronze", "silver", "gold"),
-    "data-science": ("model", "train", "notebook", "experiment", "feature"),
-    "marketing": ("marketing", "campaign", "promo", "audience"),
-    "finance": ("finance", "billing", "invoice", "ledger", "economy"),
-    "platform": ("platform", "infra", "monitor", "standard"),
-    "sales-eng": ("sales", "demo", "crm", "poc"),
-}
-
-
 def scoring_workloads(summary: DataFrame, as_of: dt.date, key: str = "cost_center",
                       days: int = SCORING_DAYS) -> DataFrame:
     """Workloads worth scoring: cost in the window and the key still missing."""
@@ -36,41 +25,46 @@ def scoring_workloads(summary: DataFrame, as_of: dt.date, key: str = "cost_cente
     )
 
 
-def prompt() -> Column:
-    """The text a scorer reads for one workload."""
-    def known(column: str) -> Column:
-        return F.coalesce(F.col(column), F.lit("(none)"))
+def prompt(teams: Sequence[str]) -> Column:
+    """The text a scorer reads for one workload: the teams to choose from and
+    what is known, one fact per line (line breaks inside a fact become blanks)."""
+    def fact(label: str, column: str) -> Column:
+        known = F.coalesce(F.col(column), F.lit("(none)"))
+        return F.concat(F.lit(f"{label}: "), F.regexp_replace(known, r"[\r\n]+", " "))
 
-    return F.concat(
-        F.lit("Name the team that should pay for this workload. Workload name: "),
-        known("workload_name"), F.lit("; owner: "), known("owner"), F.lit("; product: "),
-        F.col("product"),
-        F.lit(f". Answer with a slug such as {', '.join(TEAM_WORDS)}, or \"unknown\" with low "
-              "confidence when the signals are weak."),
-    )
+    return F.concat_ws(
+        "\n", F.lit(f"Which of these teams runs the workload: {', '.join(teams)}?"),
+        fact("workload", "workload_name"), fact("owner", "owner"), fact("product", "product"),
+        F.lit('Reply as JSON with cost_center, confidence from 0 to 1 and rationale; '
+              'if no team fits, cost_center is "unknown".'))
 
 
-def keyword_scorer(_prompt: Column) -> Column:
-    """Default scorer: the first team with a word in the name (0.8), else in
-    the owner (0.6), else unknown (0.2). Plain expressions, no model."""
+def keyword_scorer(team_words: Mapping[str, Sequence[str]]) -> Callable[[Column], Column]:
+    """A scorer that looks for whole words in the prompt's facts: the first team
+    with a word in the workload's name (0.8), else in the owner (0.6), else unknown (0.2).
+    Plain expressions, no model. The words are the caller's, in lower case."""
     def answer(team: str, confidence: float, why: str) -> Column:
         return F.lit(json.dumps({"cost_center": team, "confidence": confidence, "rationale": why}))
 
-    scored: Column | None = None
-    for column, confidence in (("workload_name", 0.8), ("owner", 0.6)):
-        for team, words in TEAM_WORDS.items():
-            hit = F.rlike(F.lower(F.col(column)), F.lit("|".join(words)))
-            reply = answer(team, confidence, f"{column} mentions {team} work")
-            scored = F.when(hit, reply) if scored is None else scored.when(hit, reply)
-    return scored.otherwise(answer("unknown", 0.2, "no signal in name or owner"))
+    def score(text: Column) -> Column:
+        scored = answer("unknown", 0.2, "no signal in name or owner")
+        for label, confidence in (("owner", 0.6), ("workload", 0.8)):
+            fact = F.lower(F.regexp_extract(text, rf"(?m)^{label}: (.*)$", 1))
+            for team, words in reversed(team_words.items()):
+                listed = "|".join(rf"\Q{w}\E" for w in words)
+                hit = F.rlike(fact, F.lit(rf"(?:^|[^a-z0-9])(?:{listed})(?:[^a-z0-9]|$)"))
+                scored = F.when(hit, answer(team, confidence, f"{label} mentions {team}")).otherwise(scored)
+        return scored
 
+    return score
 
-def score_workloads(workloads: DataFrame, now: dt.datetime,
-                    scorer: Callable[[Column], Column] = keyword_scorer) -> DataFrame:
+
+def score_workloads(workloads: DataFrame, now: dt.datetime, teams: Sequence[str],
+                    scorer: Callable[[Column], Column]) -> DataFrame:
     """Suggestions table. ``scorer`` turns the prompt column into a JSON answer;
     a pandas UDF does as well as a built-in expression. The answer is parsed
     once; one that is not valid JSON gives nulls."""
-    answered = workloads.withColumn("answer", F.from_json(scorer(prompt()), ANSWER_SCHEMA))
+    answered = workloads.withColumn("answer", F.from_json(scorer(prompt(teams)), ANSWER_SCHEMA))
     return answered.select(
         *WORKLOAD_KEY, "workload_name", "owner", "workspace_id",
         F.col("cost").alias("list_cost"),
@@ -114,9 +108,9 @@ def suggestion_impact(candidates: DataFrame) -> DataFrame:
     )
 
 
-def suggestion_list(candidates: DataFrame, limit: int = SUGGESTION_LIMIT) -> DataFrame:
-    """The costliest candidates and the value each would get."""
-    return (
+def suggestion_list(candidates: DataFrame, limit: int | None = None) -> DataFrame:
+    """The candidates, costliest first, and the value each would get; up to ``limit`` if given."""
+    found = (
         candidates.select(
             *WORKLOAD_KEY, "workspace_id", "is_serverless", "workload_name",
             F.round("cost", 0).alias("cost"), "last_seen",
@@ -124,8 +118,8 @@ def suggestion_list(candidates: DataFrame, limit: int = SUGGESTION_LIMIT) -> Dat
             F.round("confidence", 2).alias("confidence"),
         )
         .orderBy(F.desc("cost"), "product", "workload_id")
-        .limit(limit)
     )
+    return found if limit is None else found.limit(limit)
 
 
 def policy_governed_impact(summary: DataFrame, suggestions: DataFrame, key: str, cutoff: float,

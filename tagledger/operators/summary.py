@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tagledger.constants import SUMMARY_DAYS
 from tagledger.functions import workload as W
@@ -36,7 +36,7 @@ def workload_records(usage: DataFrame) -> DataFrame:
         F.coalesce(F.col("product_features.is_serverless").cast("int"), F.lit(0)).alias("is_serverless"),
         "sku_name",
         W.tag_keys().alias("tag_keys"),
-        F.col("usage_quantity").alias("dbus"),
+        F.col("usage_quantity").cast(QUANTITY).alias("dbus"),
     ).filter(F.col("workload_id").isNotNull())
 
 
@@ -74,11 +74,13 @@ def daily_summary(usage: DataFrame, list_prices: DataFrame, as_of: dt.date,
     shrinks a hot workload before anything is shuffled. Prices are joined to
     that small result, not to raw records; Spark broadcasts them if their size
     allows and otherwise joins by SKU, where skew-join handling applies. The
-    second step takes the maxima and the union of the distinct key sets."""
+    second step takes the maxima and the union of the distinct key sets. The
+    quantity has one type from the start: a product of DECIMAL(27,6) and
+    DECIMAL(10,4) just fits 38 digits and is not rounded."""
     records = workload_records(usage_window(usage, as_of, days))
     condensed = records.groupBy(
         *DAY_KEY, "workload_name", "owner", "is_serverless", "tag_keys", "sku_name",
-    ).agg(_exact_sum("dbus", records).alias("dbus"))
+    ).agg(F.sum("dbus").cast("decimal(27,6)").alias("dbus"))
     priced = condensed.join(current_prices(list_prices, on_duplicate), "sku_name", "left")
     cost = (F.col("dbus") * F.coalesce(F.col("rate"), F.lit(0).cast(RATE))).cast(MONEY)
     key_sets = F.collect_set("tag_keys")
@@ -94,13 +96,6 @@ def daily_summary(usage: DataFrame, list_prices: DataFrame, as_of: dt.date,
     )
 
 
-def _exact_sum(column: str, rows: DataFrame) -> Column:
-    """Sum whose type leaves room for the digits of a rate: a product of
-    DECIMAL(27,6) and DECIMAL(10,4) just fits 38 digits and is not rounded."""
-    kind, total = rows.schema[column].dataType, F.sum(column)
-    return total.cast("decimal(27,6)") if kind == QUANTITY else total
-
-
 def summary_window(summary: DataFrame, as_of: dt.date, days: int,
                    workspaces: Sequence[str] | None = None) -> DataFrame:
     """Summary rows of the last ``days`` days; the literal floor prunes the

@@ -2,66 +2,29 @@
 
 from __future__ import annotations
 
-from dataclasses import astuple, dataclass
-
 from pyspark.sql import DataFrame, functions as F
 
 from tagledger import capability
 
 
-@dataclass(frozen=True)
-class ResourcePlan:
-    product: str
-    resource_type: str
-    id_kind: str
-    call_hint: str
-    serverless_note: str | None = None
-
-
-# Products that can be planned and the id that names the resource.
-RESOURCE_PLANS = (
-    ResourcePlan("JOBS", "Job", "job_id", "set job tags"),
-    ResourcePlan("DLT", "Declarative pipeline", "dlt_pipeline_id", "edit the pipeline definition"),
-    ResourcePlan("SQL", "SQL warehouse", "warehouse_id", "set warehouse tags",
-                 "Serverless SQL is attributed by policy, not by the warehouse tag."),
-    ResourcePlan("MODEL_SERVING", "Serving endpoint", "endpoint_id", "set endpoint tags",
-                 "Tags of serverless serving show up with the next usage."),
-    ResourcePlan("VECTOR_SEARCH", "Search endpoint", "endpoint_id", "set endpoint tags"),
-    ResourcePlan("ALL_PURPOSE", "All-purpose cluster", "cluster_id", "set cluster tags"),
-    ResourcePlan("POOL", "Instance pool", "instance_pool_id", "set pool tags",
-                 "Machines started from the pool inherit its tags."),
-    ResourcePlan("INTERACTIVE", "All-purpose cluster", "cluster_id", "set cluster tags"),
-    ResourcePlan("APPS", "App", "app_id", "assign a budget policy",
-                 "Apps are attributed by a budget policy."),
-    ResourcePlan("LAKEBASE", "Database instance", "database_instance_id", "set instance tags",
-                 "Often without an owner; confirm who owns it first."),
-)
-
-_NO_MAPPING = "No tag-write mapping for product "
-_SERVERLESS_SQL = "Serverless SQL is attributed by a budget policy; tag a provisioned warehouse instead."
-
-
 def tag_plan(requests: DataFrame) -> DataFrame:
-    """Add resource_type, id_kind, call_hint, supported and warning to rows
-    with product and is_serverless. The plan dimension has ten rows."""
-    refused = capability.policy_governed_products() + capability.ui_only_products()
-    reasons = {p: capability.BY_PRODUCT[p].reason for p in refused}
-    dimension = requests.sparkSession.range(1).select(F.inline(F.array(*[
-        F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(
-            ("product", "resource_type", "id_kind", "call_hint", "_note"), astuple(plan))],
-            F.lit(reasons.get(plan.product)).cast("string").alias("_refusal"))
-        for plan in RESOURCE_PLANS])))
-    serverless = F.coalesce(F.col("is_serverless").cast("int") == 1, F.lit(False))
-    known = F.col("id_kind").isNotNull()
-    refusal = F.when(~known, F.concat(F.lit(_NO_MAPPING), F.coalesce("product", F.lit("(none)")))) \
-        .when((F.col("product") == "SQL") & serverless, _SERVERLESS_SQL) \
-        .otherwise(F.col("_refusal"))
-    return (
-        requests.join(F.broadcast(dimension), "product", "left")
-        .withColumns({
-            "supported": refusal.isNull(),
-            "warning": F.coalesce(refusal, F.when(serverless, F.col("_note"))),
-            "resource_type": F.coalesce("resource_type", F.lit("Unknown")),
-        })
-        .drop("_note", "_refusal")
-    )
+    """Add resource_type, id_kind, call_hint, supported and warning to rows with
+    product and is_serverless, from the capability dimension. A product without an id
+    field cannot be planned; one without a direct tag, and a serverless one that
+    differs, is refused with its reason."""
+    can = capability.capability_matrix(requests.sparkSession).select(
+        "product", F.struct("*").alias("_can"))
+    rows = requests.join(F.broadcast(can), "product", "left")
+    can, serverless = F.col("_can"), F.coalesce(F.col("is_serverless").cast("int") == 1, F.lit(False))
+    planned = F.coalesce(can["id_field"] != "", F.lit(False))
+    refused = ~can["direct_tag"] | (can["serverless_differs"] & serverless)
+    refusal = F.when(~planned, F.concat(F.lit("nothing to tag is known for product "), F.coalesce("product", F.lit("(none)")))) \
+        .when(refused, can["reason"])
+    note = F.when(serverless & (can["note"] != ""), can["note"])
+    return rows.withColumns({
+        "resource_type": F.when(planned, can["resource"]).otherwise("unknown"),
+        "id_kind": F.when(planned, can["id_field"]),
+        "call_hint": F.when(planned, F.coalesce(F.nullif(can["write_path"], F.lit("")), can["fallback"])),
+        "supported": refusal.isNull(),
+        "warning": F.coalesce(refusal, note),
+    }).drop("_can")

@@ -3,26 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagledger import constants as C
-
-
-@dataclass(frozen=True)
-class TagProfile:
-    """Limits of one place that tags are written to."""
-
-    name: str
-    max_tags: int = C.MAX_TAGS
-    key_length: tuple[int, int] = C.KEY_LENGTH
-    value_length: tuple[int, int] = C.VALUE_LENGTH
-    allow_reserved_prefixes: bool = False
-
-
-RESOURCE_TAGS = TagProfile("resource")
-WORKSPACE_TAGS = TagProfile("workspace")
+from tagledger.schemas import RESOURCE_KEY
 
 
 def _outside(text: Column, bounds: tuple[int, int]) -> Column:
@@ -30,10 +15,11 @@ def _outside(text: Column, bounds: tuple[int, int]) -> Column:
     return ~F.char_length(text).between(*bounds)
 
 
-def violations(tags: Column, profile: TagProfile = RESOURCE_TAGS,
-               allow_empty: bool = False) -> Column:
+def violations(tags: Column, allow_empty: bool = False, most: int = C.MAX_TAGS,
+               reserved_prefixes: Sequence[str] = C.RESERVED_KEY_PREFIXES) -> Column:
     """Array of (tag_key, rule) structs; empty when the map is fine. An empty
-    map would wipe a resource, so it is refused unless confirmed."""
+    map would wipe a resource, so it is refused unless confirmed. Other places
+    that tags are written to may allow another number or other prefixes."""
     def hit(rule: str, key: Column) -> Column:
         return F.struct(key.alias("tag_key"), F.lit(rule).alias("rule"))
 
@@ -43,14 +29,13 @@ def violations(tags: Column, profile: TagProfile = RESOURCE_TAGS,
     def of_entry(entry: Column) -> Column:
         key, value = entry["key"], entry["value"]
         reserved = F.lit(False)
-        if not profile.allow_reserved_prefixes:
-            for prefix in C.RESERVED_KEY_PREFIXES:
-                reserved = reserved | F.startswith(F.lower(key), F.lit(prefix))
+        for prefix in reserved_prefixes:
+            reserved = reserved | F.startswith(F.lower(key), F.lit(prefix))
         checks = {
-            "key_length": _outside(key, profile.key_length),
+            "key_length": _outside(key, C.KEY_LENGTH),
             "key_reserved": reserved,
             "value_missing": value.isNull(),
-            "value_length": value.isNotNull() & _outside(value, profile.value_length),
+            "value_length": value.isNotNull() & _outside(value, C.VALUE_LENGTH),
         }
         return F.filter(F.array(*[F.when(bad, hit(rule, key)) for rule, bad in checks.items()]),
                         lambda found: found.isNotNull())
@@ -61,21 +46,33 @@ def violations(tags: Column, profile: TagProfile = RESOURCE_TAGS,
     entries = F.when(tags.isNotNull(), F.flatten(F.transform(F.map_entries(tags), of_entry)))
     return F.concat(
         F.coalesce(of_map("empty", missing), none),
-        F.coalesce(of_map("too_many", size > profile.max_tags), none),
+        F.coalesce(of_map("too_many", size > most), none),
         F.coalesce(entries, none),
     )
 
 
-def tag_violations(rows: DataFrame, ids: Sequence[str], tags: str = "tags",
-                   profile: TagProfile = RESOURCE_TAGS, allow_empty: bool = False) -> DataFrame:
-    """One row (ids, tag_key, rule) per violation."""
-    return rows.select(*ids, F.inline(violations(F.col(tags), profile, allow_empty)))
+def tag_violations(rows: DataFrame, ids: Sequence[str], tags: str = "tags", **limits) -> DataFrame:
+    """One row (ids, tag_key, rule) per violation; ``limits`` as for ``violations``."""
+    return rows.select(*ids, F.inline(violations(F.col(tags), **limits)))
 
 
-def checked(rows: DataFrame, profile: TagProfile = RESOURCE_TAGS) -> DataFrame:
+def checked(rows: DataFrame) -> DataFrame:
     """The same rows; computing one whose tag_key and tag_value break a limit
     fails the job, so bad intent is never stored."""
-    found = violations(F.create_map("tag_key", "tag_value"), profile)
+    found = violations(F.create_map("tag_key", "tag_value"))
     message = F.concat(F.lit("tag not allowed: "), F.to_json(found))
     return rows.withColumn(
         "tag_key", F.when(F.size(found) > 0, F.raise_error(message)).otherwise(F.col("tag_key")))
+
+
+def overfull(rows: DataFrame, tag_state: DataFrame, open_rows: DataFrame,
+             most: int = C.MAX_TAGS) -> DataFrame:
+    """Resources (with their count of keys) that would hold more than ``most``
+    tags once ``rows`` and the intent that is already open took effect."""
+    wanted = rows.select(*RESOURCE_KEY, "tag_key")
+    touched = wanted.select(*RESOURCE_KEY).distinct()
+    held = tag_state.select(*RESOURCE_KEY, F.explode(F.map_keys("tags")).alias("tag_key"))
+    others = held.unionByName(open_rows.select(*RESOURCE_KEY, "tag_key")).join(
+        touched, list(RESOURCE_KEY), "left_semi")
+    return wanted.unionByName(others).groupBy(*RESOURCE_KEY).agg(
+        F.count_distinct("tag_key").alias("tags")).filter(F.col("tags") > most)

@@ -25,7 +25,7 @@ def _stored(rows: DataFrame, name: str) -> DataFrame:
     """Write once, read back: what was tried feeds three results and must not
     be computed three times, nor be lost with an executor."""
     path = work_folder(rows.sparkSession, name)
-    rows.write.mode("overwrite").parquet(path)
+    rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -6,96 +6,151 @@
     ledger.enqueue(auto_tag(ledger.read("summary"), ...))
     ledger.drain(now, run_token, "me", dry_run=False)
 
-The queue and the tag state are versioned snapshots, everything else is
-appended to or replaced. One process writes at a time; readers need no lock.
+All tables are versioned: runs on different rows may overlap with each other and
+with enqueues, as each change is made on top of the version it finds and made again
+if that has moved on. A run reads and writes only the directories that its rows are in.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tagledger.operators import inventory as I, queue as Q, suggestions as SG, summary as S
-from tagledger.operators.validate import checked
-from tagledger.plans import flows
-from tagledger.schemas import TABLES
-from tagledger.sources.tables import VersionedTable, append_table, read_table, replace_table
+from tagledger.constants import PENDING, RUNNING
+from tagledger.operators import (
+    apply as A, inventory as I, queue as Q, rollback as R, suggestions as SG, summary as S,
+)
+from tagledger.operators.validate import checked, overfull
+from tagledger.plans.flows import RunResult
+from tagledger.schemas import BUCKET, TABLES, batch_bucket
+from tagledger.sources.tables import PARTITIONED_BY, VersionedTable, directory
 
 
 class Ledger:
-    VERSIONED = ("write_queue", "tag_state")
-    PLAIN = ("summary", "suggestions", "audit", "inventory")
+    NAMES = ("summary", "suggestions", "write_queue", "tag_state", "audit", "inventory")
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _path(self, table: str) -> str:
-        return f"{self.folder}/{table}"
-
-    def _versions(self, table: str) -> VersionedTable:
-        return VersionedTable(self.spark, table, self._path(table))
+    def table(self, name: str) -> VersionedTable:
+        return VersionedTable(self.spark, name, f"{self.folder}/{name}")
 
     def create(self) -> None:
         """Empty tables."""
-        for table in self.VERSIONED:
-            self._versions(table).create(self._empty(table))
-        for table in self.PLAIN:
-            replace_table(self._empty(table), table, self._path(table))
-
-    def _empty(self, table: str) -> DataFrame:
-        return self.spark.createDataFrame([], TABLES[table])
-
-    def read(self, table: str) -> DataFrame:
-        if table in self.VERSIONED:
-            return self._versions(table).read()
-        return read_table(self.spark, table, self._path(table))
+        for name in self.NAMES:
+            self.table(name).create(self.spark.createDataFrame([], TABLES[name]))
+
+    def read(self, name: str) -> DataFrame:
+        return self.table(name).read()
+
+    def vacuum(self) -> None:
+        """Remove what no current version uses, and what runs have set down. Nobody may be working."""
+        for name in self.NAMES:
+            self.table(name).vacuum()
+        runs = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/runs")
+        runs.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(runs, True)
+
+    def _directories(self, name: str, rows: DataFrame) -> set[str]:
+        """The directories of a table that rows belong to. There are at most as many as
+        buckets, products or days."""
+        column = PARTITIONED_BY[name]
+        value = batch_bucket(F.col("batch_id")) if column == BUCKET else F.col(column)
+        return {directory(name, r[0]) for r in rows.select(value).distinct().collect()}
 
     def refresh_summary(self, usage: DataFrame, list_prices: DataFrame, as_of: dt.date,
-                        on_duplicate: str = "error") -> None:
-        replace_table(S.daily_summary(usage, list_prices, as_of, on_duplicate=on_duplicate),
-                      "summary", self._path("summary"))
-
-    def refresh_suggestions(self, as_of: dt.date, now: dt.datetime,
-                            scorer=SG.keyword_scorer) -> None:
+                        on_duplicate: str = "error", changed: Sequence[dt.date] | None = None) -> None:
+        """Build the summary, or only the days whose usage has ``changed``."""
+        table, only = self.table("summary"), None
+        if changed is not None:
+            usage = usage.filter(F.col("usage_date").isin(list(changed)))
+            only = {directory("summary", day) for day in changed}
+        table.update(lambda _: S.daily_summary(usage, list_prices, as_of, on_duplicate=on_duplicate), only)
+
+    def refresh_suggestions(self, as_of: dt.date, now: dt.datetime, teams: Sequence[str],
+                            scorer: Callable[[Column], Column]) -> None:
         workloads = SG.scoring_workloads(self.read("summary"), as_of)
-        replace_table(SG.score_workloads(workloads, now, scorer), "suggestions",
-                      self._path("suggestions"))
+        self.table("suggestions").replace(SG.score_workloads(workloads, now, teams, scorer))
 
     def record_scan(self, listings: Mapping[str, DataFrame], scan_id: str, scanned_at: dt.datetime,
-                    errors: DataFrame | None = None) -> None:
-        """Append one scan, and make what it found the tag state."""
-        append_table(I.inventory_sweep(listings, scan_id, scanned_at, errors), "inventory",
-                     self._path("inventory"))
-        self._versions("tag_state").replace(I.tag_state(self.read("inventory")))
+                    errors: DataFrame | None = None, workspaces: Sequence[str] | None = None) -> None:
+        """Store one scan, in place of an earlier try of the same scan, and bring the tag state up to date.
+        ``workspaces`` says which were scanned (None: all); what is known of others, and of
+        products without a listing, stays."""
+        inventory, mine = self.table("inventory"), {directory("inventory", scan_id)}
+        inventory.update(lambda _: I.inventory_sweep(listings, scan_id, scanned_at, errors), mine)
+        fresh = I.state_of(inventory.read(mine))
+        scanned = F.col("product").isNull() | F.col("product").isin(*listings)
+        if workspaces is not None:
+            scanned = scanned & F.col("workspace_id").isin(*workspaces)
+        only = {directory("tag_state", p) for p in (None, *listings)}
+        only |= self._directories("tag_state", fresh)
+        self.table("tag_state").update(lambda held: held.filter(~scanned).unionByName(fresh), only)
 
     def enqueue(self, rows: DataFrame) -> None:
-        """Store intent; a tag that breaks a limit refuses the whole batch."""
-        self._versions("write_queue").append(checked(rows))
+        """Store intent. A tag that breaks a limit, or a resource that would get too many
+        tags, refuses the whole batch."""
+        queue = self.read("write_queue").filter(F.col("status").isin(PENDING, RUNNING))
+        full = overfull(rows, self.read("tag_state").filter("workload_id IS NOT NULL"), queue).limit(3).collect()
+        if full:
+            raise ValueError(f"too many tags for {len(full)} or more resources, such as {full[0].asDict()}")
+        self.table("write_queue").append(checked(rows))
+
+    def claim(self, now: dt.datetime, run_token: str, workspace_id: str | None = None,
+              batch_id: str | None = None) -> None:
+        """Mark what a run may take as its own, and publish that."""
+        free = Q.claimable(now, workspace_id, batch_id)
+        if batch_id:
+            free = free & (F.col(BUCKET) == batch_bucket(F.lit(batch_id)))
+        self.table("write_queue").update(
+            lambda rows: Q.claim(rows, now, run_token, workspace_id, batch_id),
+            lambda rows: self._directories("write_queue", rows.filter(free)))
+
+    def apply_claimed(self, now: dt.datetime, run_token: str, executed_by: str,
+                      dry_run: bool = True) -> RunResult:
+        """Carry out what the run has claimed."""
+        taken = Q.claimed_rows(self.read("write_queue"), run_token)
+        tried = self._stored(A.attempts(taken, self.read("tag_state"), dry_run), run_token)
+        outcomes = A.outcomes(tried, now)
+        return self._settle(
+            tried, A.audit_rows(tried, now, executed_by, run_token),
+            lambda state: A.applied_state(state, tried),
+            lambda rows: A.apply_outcomes(rows, outcomes, among=Q.claimed_by(run_token)))
 
     def drain(self, now: dt.datetime, run_token: str, executed_by: str, dry_run: bool = True,
-              workspace_id: str | None = None, batch_id: str | None = None) -> flows.RunResult:
+              workspace_id: str | None = None, batch_id: str | None = None) -> RunResult:
         """Claim and apply. The claim is published first, so a run that starts
         meanwhile finds nothing to take; a run that dies leaves RUNNING rows,
         which are free again after half an hour."""
-        queue = self._versions("write_queue")
-        before = queue.read()
-        queue.replace(Q.claim(before, now, run_token, workspace_id, batch_id))
-        return self._settle(flows.run_writer(
-            before, self.read("tag_state"), now, run_token, executed_by, dry_run, workspace_id, batch_id))
+        self.claim(now, run_token, workspace_id, batch_id)
+        return self.apply_claimed(now, run_token, executed_by, dry_run)
 
     def rollback(self, batch_id: str, now: dt.datetime, run_token: str, executed_by: str,
                  dry_run: bool = True, anchor: str = "latest",
-                 skip_rolled_back: bool = False) -> flows.RunResult:
-        return self._settle(flows.run_rollback(
-            self.read("write_queue"), self.read("tag_state"), self.read("audit"), batch_id, now,
-            run_token, executed_by, dry_run, anchor, skip_rolled_back))
-
-    def _settle(self, run: flows.RunResult) -> flows.RunResult:
+                 skip_rolled_back: bool = False) -> RunResult:
+        plan = R.rollback_plan(self.read("audit"), batch_id, anchor, skip_rolled_back)
+        tried = self._stored(R.rollback_attempts(plan, self.read("tag_state"), dry_run), run_token)
+        return self._settle(
+            tried, R.rollback_audit(tried, now, executed_by, run_token),
+            lambda state: R.rolled_back_state(state, tried),
+            lambda rows: R.mark_rolled_back(rows, batch_id, tried, now))
+
+    def _stored(self, rows: DataFrame, run_token: str) -> DataFrame:
+        """Write once, read back: what was tried feeds three tables and must not
+        be computed three times, nor be lost with an executor."""
+        path = f"{self.folder}/runs/{run_token}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def _settle(self, tried: DataFrame, audit: DataFrame, state: Callable[[DataFrame], DataFrame],
+                queue: Callable[[DataFrame], DataFrame]) -> RunResult:
         """Audit first, then the state, then the queue: whatever a crash cuts
-        off, no change is without its record and the rows are tried again."""
-        append_table(run.audit, "audit", self._path("audit"))
-        self._versions("tag_state").replace(run.tag_state)
-        self._versions("write_queue").replace(run.queue)
-        return run
+        off, no change is without its record and the rows are tried again. Each is a change of
+        the version that is current by then."""
+        if not tried.isEmpty():
+            self.table("audit").append(audit)
+            self.table("tag_state").update(state, self._directories("tag_state", tried))
+            self.table("write_queue").update(queue, self._directories("write_queue", tried))
+        return RunResult(self.read("write_queue"), self.read("tag_state"), audit, tried)

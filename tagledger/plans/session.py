@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,12 +30,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for tables that cut a plan in two. On a cluster it lies in
-    the shared folder that ``spark.checkpoint.dir`` names; a folder of this
-    machine serves only a local session that names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    """A new folder for tables that cut a plan in two: in the shared folder that
+    ``spark.checkpoint.dir`` names, or else below the warehouse. It is removed when the
+    application ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+    return path

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 MONEY = T.DecimalType(38, 10)
 QUEUE_MONEY = T.DecimalType(38, 6)
@@ -114,13 +114,18 @@ INVENTORY = T.StructType([
     T.StructField("tag_read_ok", T.BooleanType()),
     T.StructField("read_error", T.StringType()),
     T.StructField("raw_state", T.StringType()),
+    T.StructField("listing_failed", T.BooleanType()),
 ])
 
+# What is known of each resource. ``problem`` says why its tags could not be
+# read. A row without workload_id stands for a listing that failed, and one without product
+# as well for a workspace out of reach.
 TAG_STATE = T.StructType([
     T.StructField("workspace_id", T.StringType()),
     T.StructField("product", T.StringType()),
     T.StructField("workload_id", T.StringType()),
     T.StructField("tags", TAGS),
+    T.StructField("problem", T.StringType()),
 ])
 
 # One outcome per queue row that was worked on.
@@ -146,6 +151,23 @@ REQUIRED = {
     "inventory": ("scan_id", "scanned_at", "workspace_id", "product", "workload_id"),
 }
 
+# Batches are stored in this many directories, so that one can be looked up.
+BATCH_BUCKETS = 256
+BUCKET = "batch_bucket"
+
+
+def batch_bucket(batch_id: Column) -> Column:
+    return F.pmod(F.xxhash64(batch_id), F.lit(BATCH_BUCKETS)).cast("int")
+
+
+def of_batch(rows: DataFrame, batch_id: str) -> DataFrame:
+    """Rows of one batch; of a stored table, only its bucket is read."""
+    mine = F.col("batch_id") == batch_id
+    if BUCKET in rows.columns:
+        mine = mine & (F.col(BUCKET) == batch_bucket(F.lit(batch_id)))
+    return rows.filter(mine)
+
+
 TABLES = {
     "usage": USAGE,
     "list_prices": LIST_PRICES,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tagledger.constants import PENDING, RUNNING
 from tagledger.operators.apply import apply_outcomes, newest_outcomes
-from tagledger.schemas import OUTCOMES
+from tagledger.schemas import OUTCOMES, batch_bucket
+from tagledger.sources.tables import VersionedTable, directory
 
 ROUND = "round"
 
@@ -38,12 +40,40 @@ def start_status_stream(spark: SparkSession, arriving: str, folder: str, checkpo
     return timed.start()
 
 
-def current_queue(queue: DataFrame, folder: str) -> DataFrame:
-    """The queue snapshot with all outcomes so far. Publishing the result as a
-    new snapshot, and starting a new folder, keeps the log short."""
-    spark = queue.sparkSession
+def _rounds(spark: SparkSession, folder: str, after: int) -> DataFrame:
     rounds = spark.read.schema(f"{_ddl()}, {ROUND} LONG").parquet(folder)
-    return apply_outcomes(queue, rounds, round_column=ROUND)
+    return rounds.filter(F.col(ROUND) > after)
+
+
+def _open() -> Column:
+    return F.col("status").isin(PENDING, RUNNING)
+
+
+def current_queue(queue: DataFrame, folder: str, after: int = -1) -> DataFrame:
+    """The queue snapshot with the outcomes of all rounds after ``after``. Only rows that are still open can
+    have one, so settled rows are not shuffled."""
+    return apply_outcomes(queue, _rounds(queue.sparkSession, folder, after), round_column=ROUND, among=_open())
+
+
+def folded_round(table: VersionedTable, folder: str) -> int:
+    """The last round that is part of the stored queue."""
+    return table.notes().get(f"folded {folder}", -1)
+
+
+def fold_rounds(table: VersionedTable, folder: str) -> int:
+    """Make the finished rounds part of the stored queue, each once: how far it got is noted in the
+    same version. Only directories that have outcomes are written. Returns the last round folded."""
+    spark = table.spark
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{ROUND}=*/_SUCCESS")
+    found = done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(done)
+    last = max((int(f.getPath().getParent().getName().split("=")[1]) for f in found or ()), default=-1)
+    after = folded_round(table, folder)
+    if last > after:
+        rounds = _rounds(spark, folder, after).filter(F.col(ROUND) <= last)
+        buckets = rounds.select(batch_bucket(F.col("batch_id")).alias("b")).distinct().collect()
+        table.update(lambda queue: apply_outcomes(queue, rounds, round_column=ROUND, among=_open()),
+                     {directory("write_queue", r["b"]) for r in buckets}, {f"folded {folder}": last})
+    return max(last, after)
 
 
 def _ddl() -> str:

@@ -20,14 +20,20 @@ PRODUCTS = (
 )
 STATUSES = ("PENDING", "RUNNING", "SUCCEEDED", "FAILED", "UNSUPPORTED", "SKIPPED_DRYRUN", "ROLLED_BACK")
 LISTED = {"JOBS": "JOBS", "ALL_PURPOSE": "ALL_PURPOSE", "SQL": "SQL", "MODEL_SERVING": "MODEL_SERVING",
-          "DLT": "DLT", "AGENT_BRICKS": "POOL"}
-HOSTILE = "O'Brien%_\\-- drop"
+          "DLT": "DLT", "AGENT_BRICKS": "POOL", "DATABASE": "DATABASE", "LAKEBASE": "LAKEBASE",
+          "VECTOR_SEARCH": "VECTOR_SEARCH"}
+HOSTILE = "Zoë's 5%_off\\--;"
+TEAM_WORDS = {
+    "growth": ("promo", "campaign"),
+    "accounts": ("economy", "ledger"),
+    "core": ("standard", "infra"),
+}
 RULES = (
     {"field": "owner", "op": "contains", "value": "ECO", "tags": {"cost_center": "data-eng", "team": "de"}},
     {"field": "product", "op": "equals", "value": "jobs", "tags": {"cost_center": "platform"}},
     {"field": "name", "op": "matches", "value": "*ring-brand#1?", "tags": {"cost_center": "marketing"}},
     {"field": "name", "op": "contains", "value": "d_r", "tags": {"cost_center": "never"}},
-    {"field": "owner", "op": "equals", "value": HOSTILE, "tags": {"cost_center": "never"}},
+    {"field": "name", "op": "equals", "value": HOSTILE.upper(), "tags": {"cost_center": "odd"}},
     {"field": "workspace", "op": "equals", "value": "", "tags": {"cost_center": "incomplete"}},
 )
 
@@ -70,7 +76,7 @@ def usage(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag")
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     pk, wid = F.col("l_partkey"), F.col("wid")
-    name = F.when(pk % 10 >= 3, _part_name())
+    name = F.when(pk % 10 >= 3, F.when(pk % 53 == 4, HOSTILE).otherwise(_part_name()))
     owner = F.when(pk % 25 >= 7, _owner())
 
     def only(*products: str):
@@ -242,6 +248,7 @@ def listings(spark: SparkSession, sf: str, scan: tuple = NEW_SCAN) -> dict[str,
         "map": tag_map(env=F.coalesce(dev, env), cost_center=cost),
         "pairs": known(entry("env", env), entry("cost_center", cost), entry("env", dev)),
         "maps": F.array(tag_map(env=env, cost_center=cost), tag_map(env=dev)),
+        "none": F.lit(None).cast("string"),
     }
     from tagledger.operators.inventory import LISTING_SHAPES
 

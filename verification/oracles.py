@@ -6,9 +6,8 @@ of array logic, histories are window functions, tag maps are rows.
 
 from __future__ import annotations
 
-from tagledger.constants import RESERVED_KEY_PREFIXES
-
-RESERVED = "(" + " OR ".join(f"starts_with(lower(k), '{p}')" for p in RESERVED_KEY_PREFIXES) + ")"
+RESERVED = "(starts_with(lower(k), 'aws:') OR starts_with(lower(k), 'databricks'))"
+HOSTILE = "'Zoë''s 5%_off\\--;'"
 PRODUCTS = ("['JOBS','ALL_PURPOSE','SQL','DATABASE','MODEL_SERVING','LAKEBASE','VECTOR_SEARCH',"
             "'DLT','APPS','AI_GATEWAY','INTERACTIVE','LAKEFLOW_CONNECT','AGENT_BRICKS']")
 STATUSES = "['PENDING','RUNNING','SUCCEEDED','FAILED','UNSUPPORTED','SKIPPED_DRYRUN','ROLLED_BACK']"
@@ -59,7 +58,8 @@ cte("usage", f"""
   SELECT DATE '2024-01-01' + CAST(l_orderkey % 120 AS INTEGER) AS usage_date,
          {ws('l_partkey')} AS workspace_id, {product('l_partkey')} AS product,
          {wid('l_partkey')} AS workload_id,
-         CASE WHEN l_partkey % 10 >= 3 THEN p_name || '-' || p_brand END AS given_name,
+         CASE WHEN l_partkey % 10 >= 3 THEN CASE WHEN l_partkey % 53 = 4 THEN {HOSTILE}
+              ELSE p_name || '-' || p_brand END END AS given_name,
          CASE WHEN l_partkey % 25 >= 7 THEN lower(p_type) || '@corp.example' END AS owner,
          CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END AS is_serverless,
          p_brand AS sku_name, CAST(l_quantity AS DECIMAL(18,6)) AS dbus,
@@ -140,12 +140,12 @@ cte("cand", f"""
     AND NOT EXISTS (SELECT 1 FROM handled h
                     WHERE h.product = wl.product AND h.workload_id = wl.workload_id)""",
     "wl", "suggestions", "handled")
-FIRST_RULE = """CASE
+FIRST_RULE = f"""CASE
     WHEN contains(lower(coalesce(owner, '')), 'eco') THEN 0
     WHEN lower(product) = 'jobs' THEN 1
     WHEN regexp_matches(lower(coalesce(workload_name, '')), '^.*ring-brand#1.$') THEN 2
     WHEN contains(lower(coalesce(workload_name, '')), 'd_r') THEN 3
-    WHEN lower(coalesce(owner, '')) = lower('O''Brien%_\\-- drop') THEN 4
+    WHEN lower(coalesce(workload_name, '')) = lower({HOSTILE}) THEN 4
     ELSE -1 END"""
 cte("ruled", f"""
   SELECT *, {FIRST_RULE} AS first_rule FROM wl WHERE cc = 0 AND cost > 0 AND {TAGGABLE}""", "wl")
@@ -156,7 +156,7 @@ cte("ruled_open", """
 cte("rule_tags", """
   SELECT * FROM (VALUES (0, 'cost_center', 'data-eng'), (0, 'team', 'de'), (1, 'cost_center', 'platform'),
                         (2, 'cost_center', 'marketing'), (3, 'cost_center', 'never'),
-                        (4, 'cost_center', 'never')) AS t(rule_idx, tag_key, tag_value)""")
+                        (4, 'cost_center', 'odd')) AS t(rule_idx, tag_key, tag_value)""")
 cte("by_product", """
   SELECT product, round(sum(cost), 0) AS total_cost,
          round(sum(CASE WHEN cc = 0 THEN cost ELSE 0 END), 0) AS untagged_cost,
@@ -176,10 +176,29 @@ SELECT round(sum(cost), 0) AS total_cost,
 FROM {source}""", source)
 
 
+def kpi_live(costs: str, credits: str) -> str:
+    return query(f"""
+SELECT total AS total_cost, remaining AS untagged_cost, greatest(0, n - workloads) AS untagged_workloads,
+       coalesce(round(100.0 * CAST(remaining AS DOUBLE) / CAST(nullif(total, 0) AS DOUBLE), 1), 0) AS pct_untagged,
+       credit AS tagged_live_cost, workloads AS tagged_live_workloads,
+       coalesce(round(100.0 * CAST(credit AS DOUBLE) / CAST(nullif(credit + remaining, 0) AS DOUBLE), 1), 0)
+         AS pct_tagged_live
+FROM (SELECT k.*, l.workloads, coalesce(l.cost, 0) AS credit, greatest(0, missing - coalesce(l.cost, 0)) AS remaining
+      FROM (SELECT round(sum(cost), 0) AS total, round(sum(CASE WHEN cc = 0 THEN cost ELSE 0 END), 0) AS missing,
+                   count(DISTINCT CASE WHEN cc = 0 THEN workload_id END) AS n FROM {costs}) k, {credits} l)""",
+                 costs, credits)
+
+
 cte("live", """
   SELECT count(*) AS workloads, round(sum(c), 0) AS cost
   FROM (SELECT workload_id, max(list_cost) AS c FROM queue
         WHERE status = 'SUCCEEDED' AND tag_key = 'cost_center' GROUP BY workload_id)""", "queue")
+cte("live_ws", """
+  SELECT count(*) AS workloads, round(sum(c), 0) AS cost
+  FROM (SELECT workload_id, max(list_cost) AS c FROM queue
+        WHERE status = 'SUCCEEDED' AND tag_key = 'cost_center' AND workspace_id IN ('1','3','5')
+        GROUP BY workload_id)""", "queue")
+cte("wl90_ws", rollup(90, "AND workspace_id IN ('1','3','5')"), "summary")
 cte("breakdown", f"""
   SELECT product, reason, count(*) AS workloads, round(sum(cost), 0) AS cost
   FROM (SELECT *, CASE WHEN product IN {GOVERNED} THEN 'POLICY_GOVERNED'
@@ -199,7 +218,7 @@ cte("requests", f"""
   FROM part""")
 PLANNED = ("product IN ('JOBS','SQL','MODEL_SERVING','VECTOR_SEARCH','ALL_PURPOSE','LAKEBASE') "
            "AND NOT (product = 'SQL' AND is_serverless = 1)")
-NEW_ROW = ("workspace_id, product, workload_id, workload_name, is_serverless, tag_key, tag_value, "
+NEW_ROW = (f"'batch-new' AS batch_id, {NOW} AS enqueued_at, 'me' AS requested_by, workspace_id, product, workload_id, workload_name, is_serverless, tag_key, tag_value, "
            "list_cost, 'PENDING' AS status, 0 AS attempts")
 
 # Apply: histories as window functions, tags as rows.
@@ -214,17 +233,40 @@ cte("state_tags", f"""
        ) AS t(tag_key, tag_value)
   WHERE p_size > 2 AND {wid('p_partkey')} IS NOT NULL""")
 cte("resources", f"""
-  SELECT {ws('p_partkey')} AS workspace_id, {product('p_partkey')} AS product,
+  SELECT true AS there, {ws('p_partkey')} AS workspace_id, {product('p_partkey')} AS product,
          {wid('p_partkey')} AS workload_id
   FROM part WHERE p_size > 2 AND {wid('p_partkey')} IS NOT NULL""")
 FREE = (f"(status = 'PENDING' OR (status = 'RUNNING' AND executed_at < {NOW} - INTERVAL 30 MINUTE))")
 cte("claimed", f"SELECT * FROM queue WHERE {FREE}", "queue")
+REASON = """CASE product WHEN 'AI_GATEWAY' THEN 'Only a budget policy reaches gateway spend.'
+    WHEN 'APPS' THEN 'Only a budget policy reaches app spend.'
+    WHEN 'LAKEFLOW_CONNECT' THEN 'Only a budget policy reaches connector spend.'
+    WHEN 'INTERACTIVE' THEN 'Nothing here carries tags by itself; a person decides.'
+    WHEN 'DLT' THEN 'Its tags belong to the pipeline''s own settings.' END"""
+SERVERLESS_SQL = "'A serverless warehouse follows its budget policy, whatever its tags say.'"
+
+
+def refusal(serverless: str) -> str:
+    """Why a product, the serverless flag or an id rules a write out."""
+    return f"""CASE WHEN product = 'AGENT_BRICKS' THEN 'no way to write tags of product AGENT_BRICKS'
+         WHEN product = 'SQL' AND {serverless} THEN {SERVERLESS_SQL}
+         WHEN product = 'JOBS' AND starts_with(workload_id, 'w') THEN 'InvalidId: job id must be an integer, not ' || workload_id
+         ELSE {REASON} END"""
+
+
+MISSING = "'ResourceDoesNotExist: ' || product || ' ' || workload_id"
+
+
+def audit_id(run: str, action: str) -> str:
+    return f"sha256(CAST(to_json(['{run}', '{action}', batch_id, workload_id, product, tag_key]) AS VARCHAR))"
+
+
 cte("judged", f"""
-  SELECT c.*, CASE
+  SELECT c.*, coalesce({refusal("is_serverless = 1")}, CASE WHEN r.there IS NULL THEN {MISSING} END) AS error, CASE
            WHEN c.product NOT IN {DIRECT} THEN 'UNSUPPORTED'
            WHEN c.product = 'SQL' AND c.is_serverless = 1 THEN 'UNSUPPORTED'
            WHEN c.product = 'JOBS' AND starts_with(c.workload_id, 'w') THEN 'FAILED'
-           WHEN r.product IS NULL THEN 'FAILED' ELSE 'SUCCEEDED' END AS result,
+           WHEN r.there IS NULL THEN 'FAILED' ELSE 'SUCCEEDED' END AS result,
          s.tag_value AS stored
   FROM claimed c
   LEFT JOIN resources r USING (workspace_id, product, workload_id)
@@ -256,7 +298,8 @@ cte("audit", f"""
          CASE WHEN l_suppkey % 3 <> 0 THEN 'old-' || (l_suppkey % 5) END AS old_value,
          'cc-' || (l_orderkey % 4) AS new_value,
          CASE WHEN l_linenumber = 6 THEN 'ROLLBACK' ELSE 'SET' END AS action,
-         CASE WHEN l_linenumber = 5 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status
+         CASE WHEN l_linenumber = 5 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, 'writer' AS executed_by,
+         CASE WHEN l_linenumber = 5 THEN 'PermissionDenied: no access' END AS error
   FROM (SELECT *, l_partkey AS pk FROM lineitem) WHERE {wid('pk')} IS NOT NULL""")
 
 
@@ -281,24 +324,30 @@ cte("plan_remaining", undo("DESC", """AND NOT EXISTS (
       AND a.status = 'SUCCEEDED' AND a.product = l.product AND a.workload_id = l.workload_id
       AND a.tag_key = l.tag_key)"""), "sets")
 cte("undone", f"""
-  SELECT p.*, CASE WHEN p.product NOT IN {DIRECT} THEN 'FAILED'
-                   WHEN p.product = 'JOBS' AND starts_with(p.workload_id, 'w') THEN 'FAILED'
-                   WHEN r.product IS NULL THEN 'FAILED' ELSE 'SUCCEEDED' END AS status
-  FROM plan p LEFT JOIN resources r USING (workspace_id, product, workload_id)""", "plan", "resources")
+  SELECT *, CASE WHEN error IS NULL THEN 'SUCCEEDED' ELSE 'FAILED' END AS status
+  FROM (SELECT p.*, coalesce({refusal("false")},
+                 CASE WHEN product = 'VECTOR_SEARCH' THEN 'PreviousValueUnknown: VECTOR_SEARCH ' || workload_id
+                      WHEN r.there IS NULL THEN {MISSING} END) AS error
+        FROM plan p LEFT JOIN resources r USING (workspace_id, product, workload_id))""", "plan", "resources")
+UNDONE_AUDIT = f"""
+SELECT {audit_id('run-1', 'ROLLBACK')} AS audit_id, batch_id, {NOW} AS executed_at, 'me' AS executed_by, workspace_id,
+       product, workload_id, tag_key, new_value AS old_value, old_value AS new_value, 'ROLLBACK' AS action, status, error
+FROM undone"""
 
 # Inventory: last duplicate of a key wins.
 cte("listed", f"""
   SELECT pk, scan.id AS scan_id, scan.made AS scanned_at, {ws('pk')} AS workspace_id,
          CASE pk % 13 WHEN 0 THEN 'JOBS' WHEN 1 THEN 'ALL_PURPOSE' WHEN 2 THEN 'SQL'
-              WHEN 4 THEN 'MODEL_SERVING' WHEN 7 THEN 'DLT' WHEN 12 THEN 'POOL' END AS product,
+              WHEN 3 THEN 'DATABASE' WHEN 4 THEN 'MODEL_SERVING' WHEN 5 THEN 'LAKEBASE'
+              WHEN 6 THEN 'VECTOR_SEARCH' WHEN 7 THEN 'DLT' WHEN 12 THEN 'POOL' END AS product,
          {wid('pk')} AS workload_id, p_name || '-' || p_brand AS workload_name,
-         lower(p_type) || '@corp.example' AS owner, pk % 11 <> 0 AS ok,
+         lower(p_type) || '@corp.example' AS owner, pk % 11 <> 0 AND pk % 13 <> 6 AS ok,
          CASE WHEN pk % 6 = 1 THEN 'dev' WHEN pk % 4 <> 0 THEN 'prod' END AS env,
          CASE WHEN pk % scan.step = 0 THEN 'cc-' || (pk % 3) END AS cc
   FROM (SELECT *, p_partkey AS pk FROM part)
   CROSS JOIN (VALUES ('scan-f00', TIMESTAMP '2024-04-22 06:00:00', 10, false),
                      ('scan-a11', TIMESTAMP '2024-04-29 06:00:00', 5, true)) AS scan(id, made, step, new)
-  WHERE pk % 13 IN (0, 1, 2, 4, 7, 12) AND {wid('pk')} IS NOT NULL
+  WHERE pk % 13 IN (0, 1, 2, 3, 4, 5, 6, 7, 12) AND {wid('pk')} IS NOT NULL
     AND NOT (scan.new AND p_size = 7) AND NOT (pk % 13 = 1 AND (pk // 13) % 3 = 2)""")
 cte("inventory", f"""
   SELECT scan_id, scanned_at, workspace_id, product, workload_id, workload_name, owner, ok,
@@ -308,7 +357,8 @@ cte("inventory", f"""
          CASE WHEN ok THEN (CASE WHEN cc IS NULL THEN 0 ELSE 1 END)
                          + (CASE WHEN env IS NULL THEN 0 ELSE 1 END) ELSE 0 END AS tag_count,
          product <> 'DLT' AS direct_tag, CASE WHEN product = 'DLT' THEN 'UI_ONLY' ELSE 'DIRECT' END AS fallback,
-         CASE WHEN NOT ok THEN 'PermissionDenied: ' || pk END AS read_error
+         CASE WHEN pk % 11 = 0 THEN 'PermissionDenied: ' || pk
+              WHEN pk % 13 = 6 THEN 'tags of this product cannot be read' END AS read_error
   FROM listed
   UNION ALL
   SELECT 'scan-a11', TIMESTAMP '2024-04-29 06:00:00', CAST(n_nationkey AS VARCHAR),
@@ -341,20 +391,13 @@ cte("batches", """
   FROM queue GROUP BY batch_id ORDER BY enqueued_at DESC, batch_id LIMIT 25""", "queue")
 
 AFTER = """CASE WHEN b AND o.result IS NOT NULL THEN o.result ELSE q.status END"""
-SCORES = {
-    "data-eng": "etl|ingest|pipeline|bronze|silver|gold",
-    "data-science": "model|train|notebook|experiment|feature",
-    "marketing": "marketing|campaign|promo|audience",
-    "finance": "finance|billing|invoice|ledger|economy",
-    "platform": "platform|infra|monitor|standard",
-    "sales-eng": "sales|demo|crm|poc",
-}
+SCORES = {"growth": "promo|campaign", "accounts": "economy|ledger", "core": "standard|infra"}
 
 
 def _score(name_result: str, owner_result: str, otherwise: str) -> str:
     """CASE over name words, then owner words; {t} stands for the team."""
     arms = [
-        f"WHEN regexp_matches(lower({column}), '{words}') THEN {result.format(t=team)}"
+        f"WHEN regexp_matches(lower({column}), '(?:^|[^a-z0-9])(?:{words})(?:[^a-z0-9]|$)') THEN {result.format(t=team)}"
         for column, result in (("workload_name", name_result), ("owner", owner_result))
         for team, words in SCORES.items()
     ]
@@ -365,14 +408,67 @@ cte("scored", f"""
   SELECT product, workload_id, workload_name, owner, workspace_id, cost AS list_cost,
          {_score("'{t}'", "'{t}'", "'unknown'")} AS suggested_cost_center,
          {_score('0.8', '0.6', '0.2')} AS confidence,
-         {_score("'workload_name mentions {t} work'", "'owner mentions {t} work'",
+         {_score("'workload mentions {t}'", "'owner mentions {t}'",
                  "'no signal in name or owner'")} AS rationale
   FROM wl WHERE cc = 0 AND cost > 0""", "wl")
-PROMPT = ("'Name the team that should pay for this workload. Workload name: ' "
-          "|| coalesce(workload_name, '(none)') || '; owner: ' || coalesce(owner, '(none)') "
-          "|| '; product: ' || product || '. Answer with a slug such as data-eng, data-science, "
-          "marketing, finance, platform, sales-eng, or \"unknown\" with low confidence when the "
-          "signals are weak.'")
+PROMPT = """'Which of these teams runs the workload: growth, accounts, core?' || chr(10)
+  || 'workload: ' || coalesce(workload_name, '(none)') || chr(10) || 'owner: ' || coalesce(owner, '(none)') || chr(10)
+  || 'product: ' || product || chr(10) || 'Reply as JSON with cost_center, confidence from 0 to 1 and rationale; '
+  || 'if no team fits, cost_center is "unknown".'"""
+MATRIX = """(VALUES
+  ('ALL_PURPOSE', 'cluster', 'DIRECT', '', 'cluster_id', ''),
+  ('AI_GATEWAY', 'model gateway', 'BUDGET_POLICY', 'Only a budget policy reaches gateway spend.', '', ''),
+  ('APPS', 'app', 'BUDGET_POLICY', 'Only a budget policy reaches app spend.', 'app_id', ''),
+  ('DATABASE', 'database warehouse', 'DIRECT', '', '', ''),
+  ('DLT', 'pipeline', 'UI_ONLY', 'Its tags belong to the pipeline''s own settings.', 'dlt_pipeline_id', ''),
+  ('INTERACTIVE', 'shared session', 'EXCEPTION_QUEUE', 'Nothing here carries tags by itself; a person decides.',
+   'cluster_id', ''),
+  ('JOBS', 'job', 'DIRECT', '', 'job_id', ''),
+  ('LAKEBASE', 'database instance', 'DIRECT', '', 'database_instance_id',
+   'Check who owns the instance before tagging it.'),
+  ('LAKEFLOW_CONNECT', 'ingestion connector', 'BUDGET_POLICY', 'Only a budget policy reaches connector spend.', '', ''),
+  ('MODEL_SERVING', 'serving endpoint', 'DIRECT', '', 'endpoint_id', 'Earlier usage of the endpoint keeps its old tags.'),
+  ('POOL', 'instance pool', 'DIRECT', 'Never billed by itself: jobs and clusters that use the pool are.',
+   'instance_pool_id', 'Clusters take over the pool''s tags when they next start.'),
+  ('SQL', 'warehouse', 'DIRECT', 'A serverless warehouse follows its budget policy, whatever its tags say.',
+   'warehouse_id', ''),
+  ('VECTOR_SEARCH', 'search endpoint', 'DIRECT', 'Its tags can be written but not read, so what they were is unknown.',
+   'endpoint_id', '')) AS m(product, thing, fallback, reason, id_field, note)"""
+cte("matrix", f"""
+  SELECT product, upper(thing[1]) || thing[2:] || ' usage' AS label,
+         CASE WHEN product = 'VECTOR_SEARCH' THEN '' WHEN fallback = 'DIRECT' THEN 'listed with the ' || thing
+              WHEN fallback = 'UI_ONLY' THEN 'listed with its clusters' ELSE '' END AS read_path,
+         CASE WHEN fallback = 'DIRECT' THEN 'write the tags of the ' || thing ELSE '' END AS write_path,
+         CASE WHEN fallback = 'DIRECT' THEN product ELSE '' END AS tag_method, fallback = 'DIRECT' AS direct_tag,
+         false AS create_time_only, fallback IN ('BUDGET_POLICY', 'EXCEPTION_QUEUE') AS policy_driven,
+         fallback = 'UI_ONLY' AS ui_only, fallback = 'DIRECT' AND product <> 'VECTOR_SEARCH' AS rollback,
+         fallback, reason, product = 'SQL' AS serverless_differs, thing, id_field, note FROM {MATRIX}""")
+# What the latest scan shows: workspaces out of reach or without a list of warehouses, and unreadable tags.
+cte("scanned", f"""
+  SELECT *, coalesce({refusal("is_serverless = 1")},
+           CASE WHEN n_regionkey % 2 = 1 THEN 'Unknown: workspace unreachable: timeout'
+                WHEN product = 'SQL' THEN 'Unknown: list failed: timeout'
+                WHEN pk IS NULL THEN {MISSING}
+                WHEN NOT ok AND product <> 'VECTOR_SEARCH' THEN 'TagsUnreadable: PermissionDenied: ' || pk END) AS error
+  FROM (SELECT c.*, l.pk, l.ok, l.cc, n.n_regionkey FROM claimed c
+        LEFT JOIN (SELECT * FROM listed WHERE scan_id = 'scan-a11') l USING (workspace_id, product, workload_id)
+        LEFT JOIN nation n ON CAST(n.n_nationkey AS VARCHAR) = c.workspace_id)""", "claimed", "listed")
+cte("scanned_result", """
+  SELECT *, CASE WHEN error IS NULL THEN 'SUCCEEDED'
+                 WHEN product IN ('AGENT_BRICKS','AI_GATEWAY','APPS','LAKEFLOW_CONNECT','INTERACTIVE','DLT')
+                   OR product = 'SQL' AND is_serverless = 1 THEN 'UNSUPPORTED' ELSE 'FAILED' END AS result
+  FROM scanned""", "scanned")
+cte("scanned_tried", """
+  SELECT *, CASE WHEN result = 'SUCCEEDED' AND product <> 'VECTOR_SEARCH' THEN
+              coalesce(lag(tag_value) OVER (
+                PARTITION BY workspace_id, product, workload_id, tag_key, result ORDER BY enqueued_at, batch_id),
+                CASE WHEN tag_key = 'cost_center' THEN cc END) END AS old_value FROM scanned_result""", "scanned_result")
+# Two runs that overlap and a rollback: their batches share no resource.
+cte("run_rows", """
+  SELECT *, result = 'SUCCEEDED' AND product <> 'VECTOR_SEARCH' AND coalesce(stored = tag_value, false) AS noop
+  FROM judged WHERE batch_id IN ('batch-0', 'batch-1')""", "judged")
+cte("run_changes", "SELECT * FROM run_rows WHERE result = 'SUCCEEDED' AND NOT noop", "run_rows")
+cte("run_back", "SELECT * FROM run_changes WHERE batch_id = 'batch-1' AND product <> 'VECTOR_SEARCH'", "run_changes")
 cte("payload", """
   SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'AWS:' || source WHEN 1 THEN repeat('k', 128)
                       WHEN 2 THEN '' ELSE lang END AS k1, text AS v1,
@@ -417,18 +513,8 @@ SELECT product, CASE WHEN pct_untagged >= 95 THEN 'high' WHEN pct_untagged >= 70
                          / (SELECT CAST(max(untagged_cost) AS DOUBLE) FROM by_product), 0)) AS bar
 FROM by_product""", "by_product")
     o["tagged_live_adjustment"] = query("SELECT * FROM live", "live")
-    o["kpi_live"] = query(f"""
-WITH k AS (
-  SELECT round(sum(cost), 0) AS total, round(sum(CASE WHEN cc = 0 THEN cost ELSE 0 END), 0) AS missing,
-         count(DISTINCT CASE WHEN cc = 0 THEN workload_id END) AS n FROM wl90),
-l AS (SELECT k.*, live.workloads, coalesce(live.cost, 0) AS credit,
-             greatest(0, missing - coalesce(live.cost, 0)) AS remaining FROM k, live)
-SELECT total AS total_cost, remaining AS untagged_cost, greatest(0, n - workloads) AS untagged_workloads,
-       coalesce(round(100.0 * CAST(remaining AS DOUBLE) / CAST(nullif(total, 0) AS DOUBLE), 1), 0) AS pct_untagged,
-       credit AS tagged_live_cost, workloads AS tagged_live_workloads,
-       coalesce(round(100.0 * CAST(credit AS DOUBLE) / CAST(nullif(credit + remaining, 0) AS DOUBLE), 1), 0)
-         AS pct_tagged_live FROM l""".replace("\nWITH k AS", "\nSELECT * FROM (WITH k AS") + ")",
-                          "wl90", "live")
+    for name, costs, credits in (("kpi_live", "wl90", "live"), ("kpi_live_workspaces", "wl90_ws", "live_ws")):
+        o[name] = kpi_live(costs, credits)
     o["not_taggable_breakdown"] = query("SELECT * FROM breakdown", "breakdown")
     o["reason_rollup"] = query(
         "SELECT reason, sum(workloads) AS workloads, sum(cost) AS cost FROM breakdown GROUP BY reason",
@@ -451,6 +537,14 @@ WHERE cost >= 10 AND {AS_OF} - last_seen <= 14
   AND (contains(lower(coalesce(workload_name, workload_id)), 'eco') OR contains(lower(coalesce(owner, '')), 'eco'))""",
                          "wl")
     o["rule_matches"] = query("SELECT product, workload_id, first_rule FROM ruled", "ruled")
+    o["rule_matches_many"] = query(f"""
+SELECT product, workload_id, coalesce(t.pos, b.pos, -1) AS first_rule
+FROM (SELECT * FROM wl WHERE cc = 0 AND cost > 0 AND {TAGGABLE}) w
+LEFT JOIN (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS pos FROM (SELECT DISTINCT p_type FROM part)) t
+  ON lower(w.owner) = lower(t.p_type) || '@corp.example'
+LEFT JOIN (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 + (SELECT count(DISTINCT p_type) FROM part) AS pos
+           FROM (SELECT DISTINCT p_brand FROM part)) b
+  ON ends_with(lower(w.workload_name), lower(b.p_brand))""", "wl")
     o["rule_impact"] = query("""
 SELECT count(*) AS total_untagged, round(sum(cost), 0) AS total_untagged_cost,
        count(*) FILTER (first_rule >= 0) AS matched_count,
@@ -512,20 +606,29 @@ SELECT {NEW_ROW} FROM (
 SELECT count(*) FILTER (origin = 'rule') AS rule_rows, count(*) FILTER (origin = 'suggestion') AS suggestion_rows,
        count(*) AS total_rows FROM auto""", "auto")
     o["tag_plan"] = query(f"""
-SELECT product, is_serverless, {PLANNED} AS supported,
-       CASE product WHEN 'JOBS' THEN 'job_id' WHEN 'DLT' THEN 'dlt_pipeline_id' WHEN 'SQL' THEN 'warehouse_id'
-            WHEN 'MODEL_SERVING' THEN 'endpoint_id' WHEN 'VECTOR_SEARCH' THEN 'endpoint_id'
-            WHEN 'ALL_PURPOSE' THEN 'cluster_id' WHEN 'INTERACTIVE' THEN 'cluster_id'
-            WHEN 'APPS' THEN 'app_id' WHEN 'LAKEBASE' THEN 'database_instance_id' END AS id_kind,
-       count(*) AS requests FROM requests GROUP BY ALL""", "requests")
+SELECT r.product, is_serverless, refusal IS NULL AS supported, id_kind, resource_type, call_hint,
+       coalesce(refusal, CASE WHEN is_serverless = 1 AND note <> '' THEN note END) AS warning, count(*) AS requests
+FROM (SELECT q.product, is_serverless, m.note, nullif(m.id_field, '') AS id_kind,
+             CASE WHEN m.id_field <> '' THEN m.thing ELSE 'unknown' END AS resource_type,
+             CASE WHEN m.id_field <> '' THEN coalesce(nullif(m.write_path, ''), m.fallback) END AS call_hint,
+             CASE WHEN coalesce(m.id_field, '') = '' THEN 'nothing to tag is known for product ' || q.product
+                  WHEN NOT m.direct_tag OR (q.product = 'SQL' AND is_serverless = 1) THEN m.reason END AS refusal
+      FROM requests q LEFT JOIN matrix m ON m.product = q.product) r GROUP BY ALL""", "requests", "matrix")
+    columns = """label, read_path, write_path, tag_method, direct_tag, create_time_only, policy_driven, ui_only, rollback,
+       fallback, reason, serverless_differs"""
     o["capability_of_usage"] = query(f"""
-SELECT product, product IN {DIRECT} AS direct_tag, product IN {GOVERNED} AS policy_driven,
-       product = 'DLT' AS ui_only, product IN {DIRECT} AND product <> 'VECTOR_SEARCH' AS rollback,
-       product = 'SQL' AS serverless_differs,
-       CASE WHEN product IN {DIRECT} THEN 'DIRECT' WHEN product = 'DLT' THEN 'UI_ONLY'
-            WHEN product = 'INTERACTIVE' THEN 'EXCEPTION_QUEUE' ELSE 'BUDGET_POLICY' END AS fallback,
-       sum(dbus) AS dbus
-FROM summary WHERE product <> 'AGENT_BRICKS' GROUP BY product""", "summary")
+SELECT s.product, {columns}, dbus FROM (SELECT product, sum(dbus) AS dbus FROM summary GROUP BY product) s
+LEFT JOIN matrix m ON m.product = s.product""", "summary", "matrix")
+    o["capability_matrix"] = query(f"""
+SELECT m.product, {columns}, coalesce(parts, 0) AS parts FROM matrix m LEFT JOIN (
+  SELECT CASE WHEN {product('p_partkey')} = 'AGENT_BRICKS' THEN 'POOL' ELSE {product('p_partkey')} END AS product,
+         count(*) AS parts FROM part GROUP BY 1) p ON p.product = m.product""", "matrix")
+    for name, scope in (("claim_workspace", "workspace_id = '3'"), ("claim_batch", "batch_id = 'batch-0'")):
+        o[name] = query(f"""
+SELECT batch_id, workspace_id, workload_id, product, tag_key, CASE WHEN f THEN 'RUNNING' ELSE status END AS status,
+       CASE WHEN f THEN 'run-1' ELSE last_error END AS last_error,
+       CASE WHEN f THEN {NOW} ELSE executed_at END AS executed_at
+FROM (SELECT *, coalesce({FREE}, false) AND {scope} AS f FROM queue)""", "queue")
     o["claim"] = query(f"""
 SELECT batch_id, workload_id, product, tag_key, CASE WHEN f THEN 'RUNNING' ELSE status END AS status,
        CASE WHEN f THEN 'run-1' ELSE last_error END AS last_error,
@@ -534,15 +637,20 @@ FROM (SELECT *, coalesce({FREE}, false) AS f FROM queue)""", "queue")
     o["drain_order"] = query(f"""
 SELECT batch_id, workload_id, product, tag_key, list_cost FROM claimed ORDER BY list_cost DESC NULLS LAST""", "claimed")
     o["apply_attempts"] = query("""
-SELECT batch_id, workload_id, product, tag_key, result AS status, old_value,
+SELECT batch_id, workload_id, product, tag_key, result AS status, error, old_value,
        CASE WHEN result = 'SUCCEEDED' THEN tag_value END AS new_value, noop FROM tried_flags""", "tried_flags")
+    o["apply_scanned"] = query("""
+SELECT batch_id, workload_id, product, tag_key, result AS status, error, old_value,
+       CASE WHEN result = 'SUCCEEDED' THEN tag_value END AS new_value,
+       result = 'SUCCEEDED' AND product <> 'VECTOR_SEARCH' AND coalesce(old_value = tag_value, false) AS noop
+FROM scanned_tried""", "scanned_tried")
     o["apply_dry_run"] = query("""
 SELECT batch_id, workload_id, product, tag_key,
        CASE WHEN result = 'SUCCEEDED' AND NOT (product <> 'VECTOR_SEARCH' AND coalesce(stored = tag_value, false))
             THEN 'SKIPPED_DRYRUN' ELSE result END AS status FROM judged""", "judged")
     o["apply_queue"] = query(LIVE_QUEUE.format(source="tried"), "queue", "tried")
-    o["apply_audit"] = query("""
-SELECT batch_id, workspace_id, product, workload_id, tag_key, old_value,
+    o["apply_audit"] = query(f"""
+SELECT {audit_id('run-1', 'SET')} AS audit_id, {NOW} AS executed_at, 'me' AS executed_by, error, batch_id, workspace_id, product, workload_id, tag_key, old_value,
        CASE WHEN result = 'SUCCEEDED' THEN tag_value END AS new_value, 'SET' AS action, result AS status
 FROM tried_flags WHERE result = 'FAILED' OR (result = 'SUCCEEDED' AND NOT noop)""", "tried_flags")
     o["apply_state"] = query("""
@@ -553,9 +661,8 @@ FULL JOIN writes w USING (workspace_id, product, workload_id, tag_key)""", "stat
     o["rollback_plan"] = query("SELECT * FROM plan", "plan")
     o["rollback_plan_earliest"] = query("SELECT * FROM plan_first", "plan_first")
     o["rollback_plan_remaining"] = query("SELECT * FROM plan_remaining", "plan_remaining")
-    o["rollback_audit"] = query("""
-SELECT batch_id, workspace_id, product, workload_id, tag_key, new_value AS old_value, old_value AS new_value,
-       'ROLLBACK' AS action, status FROM undone""", "undone")
+    o["rollback_trial"] = query("SELECT *, 'DRY_RUN' AS status, NULL AS error FROM plan", "plan")
+    o["rollback_audit"] = query(UNDONE_AUDIT, "undone")
     o["rollback_state"] = query("""
 SELECT workspace_id, product, workload_id, tag_key,
        CASE WHEN u.product IS NULL THEN s.tag_value ELSE u.old_value END AS tag_value
@@ -609,17 +716,35 @@ UNION ALL SELECT doc_id, k, 'key_length' FROM pairs WHERE length(k) NOT BETWEEN
 UNION ALL SELECT doc_id, k, 'key_reserved' FROM pairs WHERE {RESERVED}
 UNION ALL SELECT doc_id, k, 'value_missing' FROM pairs WHERE v IS NULL
 UNION ALL SELECT doc_id, k, 'value_length' FROM pairs WHERE length(v) > 255""", "pairs")
-    o["queue_append"] = query("""
-SELECT status, tag_key, count(*) AS rows, sum(list_cost) AS list_cost FROM (
-  SELECT status, tag_key, list_cost FROM queue UNION ALL
-  SELECT 'PENDING', tag_key, CAST(cost AS DECIMAL(38,6)) FROM ruled JOIN rule_tags ON rule_idx = first_rule)
-GROUP BY status, tag_key""", "queue", "ruled", "rule_tags")
-    o["audit_append"] = query("""
-SELECT action, status, count(*) AS rows FROM (
-  SELECT action, status FROM audit UNION ALL SELECT 'ROLLBACK', status FROM undone) GROUP BY ALL""",
-                              "audit", "undone")
-    o["inventory_append"] = query(
-        "SELECT scan_id, count(*) AS rows, sum(tag_count) AS tags FROM inventory GROUP BY scan_id", "inventory")
+    o["queue_append"] = query(f"""
+SELECT batch_id, enqueued_at, requested_by, workspace_id, product, workload_id, workload_name, is_serverless, tag_key,
+       tag_value, list_cost, status, attempts, last_error, executed_at FROM queue
+UNION ALL SELECT {NEW_ROW.replace('list_cost', 'cost AS list_cost')}, NULL, NULL
+FROM ruled JOIN rule_tags ON rule_idx = first_rule""", "queue", "ruled", "rule_tags")
+    o["audit_append"] = query(f"""
+SELECT audit_id, batch_id, executed_at, executed_by, workspace_id, product, workload_id, tag_key, old_value, new_value,
+       action, status, error FROM audit UNION ALL {UNDONE_AUDIT}""", "audit", "undone")
+    o["inventory_append"] = o["inventory_rows"]
+    o["ledger_run"] = query(f"""
+SELECT 'queue' AS kind, q.batch_id, q.workspace_id, q.product, q.workload_id, q.tag_key,
+       CASE WHEN b.batch_id IS NOT NULL THEN 'ROLLED_BACK' ELSE coalesce(r.result, q.status) END AS status,
+       NULL AS old_value, NULL AS new_value
+FROM queue q LEFT JOIN run_rows r USING (batch_id, product, workload_id, tag_key)
+LEFT JOIN run_back b USING (batch_id, product, workload_id, tag_key)
+UNION ALL SELECT 'queue', 'late', workspace_id, product, workload_id, tag_key, 'PENDING', NULL, NULL
+FROM queue WHERE batch_id = 'batch-0' AND status = 'ROLLED_BACK'
+UNION ALL SELECT 'state', NULL, workspace_id, product, workload_id, tag_key, NULL, NULL, coalesce(w.tag_value, s.tag_value)
+FROM (SELECT * FROM state_tags WHERE tag_value IS NOT NULL) s
+FULL JOIN (SELECT workspace_id, product, workload_id, tag_key, tag_value FROM run_changes
+           WHERE batch_id = 'batch-0' OR product = 'VECTOR_SEARCH') w USING (workspace_id, product, workload_id, tag_key)
+UNION ALL SELECT 'SET', batch_id, workspace_id, product, workload_id, tag_key, result,
+       CASE WHEN result = 'SUCCEEDED' AND product <> 'VECTOR_SEARCH' THEN stored END,
+       CASE WHEN result = 'SUCCEEDED' THEN tag_value END
+FROM run_rows WHERE result = 'FAILED' OR (result = 'SUCCEEDED' AND NOT noop)
+UNION ALL SELECT 'ROLLBACK', batch_id, workspace_id, product, workload_id, tag_key,
+       CASE WHEN product = 'VECTOR_SEARCH' THEN 'FAILED' ELSE 'SUCCEEDED' END, tag_value,
+       CASE WHEN product <> 'VECTOR_SEARCH' THEN stored END
+FROM run_changes WHERE batch_id = 'batch-1'""", "queue", "run_rows", "run_back", "run_changes", "state_tags")
     o["suggestions_sink"] = query("""
 SELECT suggested_cost_center, count(*) AS rows, sum(list_cost) AS list_cost FROM scored
 GROUP BY suggested_cost_center""", "scored")

@@ -11,18 +11,19 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tagledger import capability
+from tagledger import capability, constants as C
 from tagledger.operators import (
     apply as A, batches as B, guards as G, inventory as I, queue as Q, reports as R,
     rollback as RB, rule_impact as RI, suggestions as SG, summary as S, validate as V,
 )
 from tagledger.operators.tag_plan import tag_plan
 from tagledger.plans import flows
+from tagledger.plans.ledger import Ledger
 from tagledger.plans.session import work_folder
 from tagledger.sources import tables
 from tagledger.streaming.status import current_queue, start_status_stream
 from verification import fixtures as X
-from verification.fixtures import AS_OF, NOW, RULES
+from verification.fixtures import AS_OF, NOW, RULES, TEAM_WORDS
 
 KEY = "cost_center"
 DAYS = 30
@@ -169,6 +170,12 @@ def kpi_live(spark, sf):
     return R.kpi_live(_summary(spark, sf), X.queue(spark, sf), KEY, AS_OF, 90)
 
 
+@register("total_cost:m untagged_cost:m untagged_workloads:i pct_untagged:d tagged_live_cost:m "
+          "tagged_live_workloads:i pct_tagged_live:d")
+def kpi_live_workspaces(spark, sf):
+    return R.kpi_live(_summary(spark, sf), X.queue(spark, sf), KEY, AS_OF, 90, ["1", "3", "5"])
+
+
 @register("product:s reason:s workloads:i cost:m")
 def not_taggable_breakdown(spark, sf):
     return R.not_taggable_breakdown(_summary(spark, sf), KEY, AS_OF, DAYS)
@@ -191,7 +198,7 @@ def taggable_by_reason(spark, sf):
 def _field_values(field: str) -> None:
     @register("value:s cost:m workloads:i", f"field_values_{field}")
     def values(spark, sf):
-        return R.distinct_field_values(_summary(spark, sf), field, AS_OF, DAYS)
+        return R.distinct_field_values(_summary(spark, sf), field, AS_OF, DAYS, limit=C.FIELD_VALUE_LIMIT)
 
 
 for _field in ("owner", "workspace", "product", "name"):
@@ -215,6 +222,19 @@ def rule_matches(spark, sf):
     return RI.rule_candidates(_summary(spark, sf), [KEY], RULES, AS_OF, DAYS)
 
 
+def _many_rules(spark, sf) -> list[dict]:
+    """A rule for each part type and brand; there are as many as the tables have of those."""
+    part, tags = X.table(spark, sf, "part"), {"cost_center": "x"}
+    values = {c: sorted(r[0] for r in part.select(c).distinct().collect()) for c in ("p_type", "p_brand")}
+    return [{"field": "owner", "op": "equals", "value": f"{v}@corp.example", "tags": tags} for v in values["p_type"]] + [
+        {"field": "name", "op": "matches", "value": f"*{v}", "tags": tags} for v in values["p_brand"]]
+
+
+@register("product:s workload_id:s first_rule:i")
+def rule_matches_many(spark, sf):
+    return RI.rule_candidates(_summary(spark, sf), [KEY], _many_rules(spark, sf), AS_OF, DAYS)
+
+
 @register("total_untagged:i total_untagged_cost:m matched_count:i matched_cost:m")
 def rule_impact(spark, sf):
     return RI.rule_impact(_summary(spark, sf), X.queue(spark, sf), [KEY], RULES, AS_OF, DAYS)
@@ -223,7 +243,8 @@ def rule_impact(spark, sf):
 @register("workload_id:s product:s workspace_id:s workload_name:s owner:s is_serverless:i cost:m "
           "last_seen:s new_tag_value:s")
 def rule_sample(spark, sf):
-    return RI.rule_sample(_summary(spark, sf), X.queue(spark, sf), [KEY], RULES, AS_OF, DAYS)
+    return RI.rule_sample(_summary(spark, sf), X.queue(spark, sf), [KEY], RULES, AS_OF, DAYS,
+                          limit=C.RULE_SAMPLE_LIMIT)
 
 
 @register("product:s open_workloads:i")
@@ -236,13 +257,14 @@ def handled_guard(spark, sf):
 
 @register("product:s workload_id:s prompt:s")
 def scoring_prompts(spark, sf):
-    return SG.scoring_workloads(_summary(spark, sf), AS_OF).withColumn("prompt", SG.prompt())
+    return SG.scoring_workloads(_summary(spark, sf), AS_OF).withColumn("prompt", SG.prompt(list(TEAM_WORDS)))
 
 
 @register("product:s workload_id:s workload_name:s owner:s workspace_id:s list_cost:m "
           "suggested_cost_center:s confidence:d rationale:s")
 def score_workloads(spark, sf):
-    return SG.score_workloads(SG.scoring_workloads(_summary(spark, sf), AS_OF), NOW)
+    return SG.score_workloads(SG.scoring_workloads(_summary(spark, sf), AS_OF), NOW, list(TEAM_WORDS),
+                              SG.keyword_scorer(TEAM_WORDS))
 
 
 @register("suggested_cost_center:s rows:i list_cost:m")
@@ -266,7 +288,7 @@ def suggestion_impact(spark, sf):
 @register("product:s workload_id:s workspace_id:s is_serverless:i workload_name:s cost:m last_seen:s "
           "new_tag_value:s confidence:d")
 def suggestion_list(spark, sf):
-    return SG.suggestion_list(_candidates(spark, sf))
+    return SG.suggestion_list(_candidates(spark, sf), C.SUGGESTION_LIMIT)
 
 
 @register("workloads:i cost:m")
@@ -277,7 +299,7 @@ def policy_governed_impact(spark, sf):
 
 # Queue.
 
-NEW_ROWS = ("workspace_id:s product:s workload_id:s workload_name:s is_serverless:i tag_key:s "
+NEW_ROWS = ("batch_id:s enqueued_at:t requested_by:s workspace_id:s product:s workload_id:s workload_name:s is_serverless:i tag_key:s "
             "tag_value:s list_cost:m status:s attempts:i")
 
 
@@ -323,17 +345,32 @@ def auto_tag_counts(spark, sf):
     return Q.auto_tag_counts(auto_tag(spark, sf))
 
 
-@register("product:s is_serverless:i supported:b id_kind:s requests:i", "tag_plan")
+@register("product:s is_serverless:i supported:b id_kind:s resource_type:s call_hint:s warning:s requests:i", "tag_plan")
 def plan_requests(spark, sf):
     return tag_plan(X.requests(spark, sf)).groupBy(
-        "product", "is_serverless", "supported", "id_kind").agg(F.count(F.lit(1)).alias("requests"))
+        "product", "is_serverless", "supported", "id_kind", "resource_type", "call_hint", "warning",
+    ).agg(F.count(F.lit(1)).alias("requests"))
+
 
+MATRIX = ("product:s label:s read_path:s write_path:s tag_method:s direct_tag:b create_time_only:b policy_driven:b "
+          "ui_only:b rollback:b fallback:s reason:s serverless_differs:b")
 
-@register("product:s direct_tag:b policy_driven:b ui_only:b rollback:b serverless_differs:b "
-          "fallback:s dbus:m")
+
+@register(MATRIX + " dbus:m")
 def capability_of_usage(spark, sf):
+    """All usage, also of products that the matrix does not know."""
     cost = _summary(spark, sf).groupBy("product").agg(F.sum("dbus").alias("dbus"))
-    return cost.join(F.broadcast(capability.capability_matrix(spark)), "product")
+    return cost.join(F.broadcast(capability.capability_matrix(spark)), "product", "left")
+
+
+@register(MATRIX + " parts:i")
+def capability_matrix(spark, sf):
+    """Every product with the number of parts that stand for it, pools included."""
+    parts = X.table(spark, sf, "part").select(X.product(F.col("p_partkey")).alias("product"))
+    parts = parts.withColumn("product", F.when(F.col("product") == "AGENT_BRICKS", "POOL").otherwise(F.col("product")))
+    found = parts.groupBy("product").agg(F.count(F.lit(1)).alias("parts"))
+    return capability.capability_matrix(spark).join(found, "product", "left").withColumn(
+        "parts", F.coalesce("parts", F.lit(0)))
 
 
 @register("batch_id:s workload_id:s product:s tag_key:s status:s last_error:s executed_at:t")
@@ -341,6 +378,19 @@ def claim(spark, sf):
     return Q.claim(X.queue(spark, sf), NOW, RUN)
 
 
+CLAIMED = "batch_id:s workspace_id:s workload_id:s product:s tag_key:s status:s last_error:s executed_at:t"
+
+
+@register(CLAIMED)
+def claim_workspace(spark, sf):
+    return Q.claim(X.queue(spark, sf), NOW, RUN, workspace_id="3")
+
+
+@register(CLAIMED)
+def claim_batch(spark, sf):
+    return Q.claim(X.queue(spark, sf), NOW, RUN, batch_id=BATCH)
+
+
 @register("batch_id:s workload_id:s product:s tag_key:s list_cost:m")
 def drain_order(spark, sf):
     claimed = Q.claim(X.queue(spark, sf), NOW, RUN)
@@ -359,11 +409,21 @@ def _tag_rows(state: DataFrame) -> DataFrame:
                         F.explode("tags").alias("tag_key", "tag_value"))
 
 
-@register("batch_id:s workload_id:s product:s tag_key:s status:s old_value:s new_value:s noop:b")
+ATTEMPT = "batch_id:s workload_id:s product:s tag_key:s status:s error:s old_value:s new_value:s noop:b"
+
+
+@register(ATTEMPT)
 def apply_attempts(spark, sf):
     return _attempts(spark, sf)
 
 
+@register(ATTEMPT)
+def apply_scanned(spark, sf):
+    """On the state that the latest scan shows, with its failed listings and unreadable tags."""
+    claimed = Q.claimed_rows(Q.claim(X.queue(spark, sf), NOW, RUN), RUN)
+    return A.attempts(claimed, I.tag_state(X.inventory(spark, sf)), False)
+
+
 @register("batch_id:s workload_id:s product:s tag_key:s status:s")
 def apply_dry_run(spark, sf):
     return A.outcomes(_attempts(spark, sf, dry_run=True), NOW)
@@ -378,8 +438,11 @@ def apply_queue(spark, sf):
     return _writer(spark, sf).queue
 
 
-@register("batch_id:s workspace_id:s product:s workload_id:s tag_key:s old_value:s new_value:s "
-          "action:s status:s")
+AUDIT_ROW = ("audit_id:s batch_id:s executed_at:t executed_by:s workspace_id:s product:s workload_id:s tag_key:s "
+             "old_value:s new_value:s action:s status:s error:s")
+
+
+@register(AUDIT_ROW)
 def apply_audit(spark, sf):
     return _writer(spark, sf).audit
 
@@ -419,8 +482,12 @@ def _rollback(spark, sf):
                               NOW, RUN, "me", dry_run=False)
 
 
-@register("batch_id:s workspace_id:s product:s workload_id:s tag_key:s old_value:s new_value:s "
-          "action:s status:s")
+@register(PLAN + " status:s error:s")
+def rollback_trial(spark, sf):
+    return RB.rollback_attempts(RB.rollback_plan(X.audit(spark, sf), BATCH), X.tag_state(spark, sf))
+
+
+@register(AUDIT_ROW)
 def rollback_audit(spark, sf):
     return _rollback(spark, sf).audit
 
@@ -440,7 +507,7 @@ def rollback_queue(spark, sf):
 @register("batch_id:s enqueued_at:t requested_by:s rows:i workloads:i cost:m pending:i running:i "
           "succeeded:i failed:i unsupported:i dry_run:i rolled_back:i")
 def recent_batches(spark, sf):
-    return B.recent_batches(X.queue(spark, sf))
+    return B.recent_batches(X.queue(spark, sf), C.BATCH_LIMIT)
 
 
 @register("batch_id:s rows:i cost:m pct:i reverting:b in_flight:b residual:b not_tagged:i")
@@ -450,7 +517,7 @@ def batch_progress(spark, sf):
 
 @register("product:s status:s reason:s rows:i cost:m sample_reason:s")
 def batch_failure_breakdown(spark, sf):
-    return B.batch_failure_breakdown(X.queue(spark, sf), BATCH)
+    return B.batch_failure_breakdown(X.queue(spark, sf), BATCH, C.FAILURE_REASON_LIMIT)
 
 
 @register("n:i")
@@ -460,12 +527,19 @@ def count_queue_rows(spark, sf):
 
 # Inventory.
 
-@register("scan_id:s scanned_at:t workspace_id:s product:s workload_id:s workload_name:s owner:s "
-          "tags:s tag_count:i direct_tag:b fallback:s tag_read_ok:b read_error:s")
-def inventory_rows(spark, sf):
+INVENTORY_ROW = ("scan_id:s scanned_at:t workspace_id:s product:s workload_id:s workload_name:s owner:s tags:s "
+                 "tag_count:i direct_tag:b fallback:s tag_read_ok:b read_error:s")
+
+
+def _shown_tags(rows: DataFrame) -> DataFrame:
     shown = F.transform(F.array_sort(F.map_entries("tags")),
                         lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return X.inventory(spark, sf).withColumn("tags", F.array_join(shown, ","))
+    return rows.withColumn("tags", F.array_join(shown, ","))
+
+
+@register(INVENTORY_ROW)
+def inventory_rows(spark, sf):
+    return _shown_tags(X.inventory(spark, sf))
 
 
 INVENTORY_SUMMARY = "product:s resources:i untagged:i tagged:i read_failed:i fallback:s"
@@ -516,28 +590,26 @@ def tag_violations(spark, sf):
 
 # Sinks and the stream.
 
-@register("status:s tag_key:s rows:i list_cost:m")
+@register(NEW_ROWS + " last_error:s executed_at:t")
 def queue_append(spark, sf):
     path = work_folder(spark, "write_queue")
     tables.append_table(X.queue(spark, sf), "write_queue", path)
-    tables.append_table(enqueue_rules(spark, sf), "write_queue", path)
-    return tables.read_table(spark, "write_queue", path).groupBy("status", "tag_key").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("list_cost").alias("list_cost"))
+    tables.append_table(Q.enqueue_rules(
+        _summary(spark, sf), X.queue(spark, sf), RULES, [KEY], AS_OF, DAYS, "batch-new", "me", NOW), "write_queue", path)
+    return tables.read_table(spark, "write_queue", path)
 
 
-@register("action:s status:s rows:i")
+@register(AUDIT_ROW)
 def audit_append(spark, sf):
     path = work_folder(spark, "audit")
     tables.append_table(X.audit(spark, sf), "audit", path)
-    tables.append_table(rollback_audit(spark, sf), "audit", path)
-    return tables.read_table(spark, "audit", path).groupBy("action", "status").agg(
-        F.count(F.lit(1)).alias("rows"))
+    tables.append_table(_rollback(spark, sf).audit, "audit", path)
+    return tables.read_table(spark, "audit", path)
 
 
-@register("scan_id:s rows:i tags:i")
+@register(INVENTORY_ROW)
 def inventory_append(spark, sf):
-    return _stored(X.inventory(spark, sf), "inventory").groupBy("scan_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("tag_count").alias("tags"))
+    return _shown_tags(_stored(X.inventory(spark, sf), "inventory"))
 
 
 @register("batch_id:s workload_id:s product:s tag_key:s status:s attempts:i")
@@ -552,3 +624,26 @@ def status_stream(spark, sf):
         start_status_stream(spark, f"{base}/arriving", f"{base}/rounds", f"{base}/checkpoint",
                             every=None).awaitTermination()
     return current_queue(X.queue(spark, sf), f"{base}/rounds")
+
+
+@register("kind:s batch_id:s workspace_id:s product:s workload_id:s tag_key:s status:s old_value:s new_value:s")
+def ledger_run(spark, sf):
+    """Two runs that overlap, an enqueue between them and a rollback, on stored tables."""
+    ledger = Ledger(spark, work_folder(spark, "ledger"))
+    ledger.create()
+    ledger.table("tag_state").replace(X.tag_state(spark, sf))
+    ledger.table("write_queue").append(X.queue(spark, sf))
+    ledger.claim(NOW, "run-1", batch_id="batch-0")
+    ledger.claim(NOW, "run-2", batch_id="batch-1")
+    ledger.apply_claimed(NOW, "run-2", "me", dry_run=False)
+    late = ledger.read("write_queue").filter("batch_id = 'batch-0' AND status = 'ROLLED_BACK'")
+    ledger.enqueue(late.withColumns({"batch_id": F.lit("late"), "status": F.lit("PENDING")}))
+    ledger.apply_claimed(NOW, "run-1", "me", dry_run=False)
+    ledger.rollback("batch-1", NOW + dt.timedelta(minutes=1), "run-3", "me", dry_run=False)
+    none = F.lit(None).cast("string")
+    shown = ("batch_id", "workspace_id", "product", "workload_id", "tag_key", "status", "old_value", "new_value")
+    queue = ledger.read("write_queue").withColumns({"old_value": none, "new_value": none}).select(F.lit("queue").alias("kind"), *shown)
+    state = _tag_rows(ledger.read("tag_state")).withColumns(
+        {"batch_id": none, "status": none, "old_value": none, "new_value": F.col("tag_value")}).select(F.lit("state").alias("kind"), *shown)
+    audit = ledger.read("audit").select(F.col("action").alias("kind"), *shown)
+    return queue.unionByName(state).unionByName(audit)
