@@ -22,6 +22,8 @@ from tagledger.operators import (  # noqa: E402
     apply as A, batches as B, inventory as I, queue as Q, reports as R, rollback as RB,
     rule_impact as RI, suggestions as SG, summary as S, validate as V,
 )
+from tagledger import constants as C  # noqa: E402
+from tagledger.plans.ledger import Ledger  # noqa: E402
 from tagledger.plans.session import local_session, work_folder  # noqa: E402
 from tagledger.sources import tables  # noqa: E402
 from verification import fixtures as X  # noqa: E402
@@ -73,14 +75,16 @@ def main() -> None:
         "kpi_live": lambda: R.kpi_live(t("summary"), t("write_queue"), KEY, AS_OF, DAYS),
         "by_product": lambda: R.by_product(t("summary"), [KEY], AS_OF, DAYS),
         "not_taggable": lambda: R.not_taggable_breakdown(t("summary"), KEY, AS_OF, DAYS),
-        "field_values": lambda: R.distinct_field_values(t("summary"), "name", AS_OF, DAYS),
+        "field_values": lambda: R.distinct_field_values(
+            t("summary"), "name", AS_OF, DAYS, limit=C.FIELD_VALUE_LIMIT),
         "rule_impact": lambda: RI.rule_impact(
             t("summary"), t("write_queue"), [KEY], RULES, AS_OF, DAYS),
         "rule_sample": lambda: RI.rule_sample(
-            t("summary"), t("write_queue"), [KEY], RULES, AS_OF, DAYS),
-        "score_workloads": lambda: SG.score_workloads(SG.scoring_workloads(t("summary"), AS_OF), NOW),
+            t("summary"), t("write_queue"), [KEY], RULES, AS_OF, DAYS, limit=C.RULE_SAMPLE_LIMIT),
+        "score_workloads": lambda: SG.score_workloads(
+            SG.scoring_workloads(t("summary"), AS_OF), NOW, list(X.TEAM_WORDS), SG.keyword_scorer(X.TEAM_WORDS)),
         "suggestion_impact": lambda: SG.suggestion_impact(candidates()),
-        "suggestion_list": lambda: SG.suggestion_list(candidates()),
+        "suggestion_list": lambda: SG.suggestion_list(candidates(), C.SUGGESTION_LIMIT),
         "enqueue_rules": lambda: Q.enqueue_rules(
             t("summary"), t("write_queue"), RULES, [KEY], AS_OF, DAYS, "batch-new", "me", NOW),
         "auto_tag": lambda: Q.auto_tag(
@@ -89,18 +93,34 @@ def main() -> None:
         "claim": lambda: Q.claim(t("write_queue"), NOW, RUN),
         "apply_attempts": lambda: A.attempts(claimed(), t("tag_state"), dry_run=False),
         "rollback_plan": lambda: RB.rollback_plan(t("audit"), BATCH),
-        "recent_batches": lambda: B.recent_batches(t("write_queue")),
-        "failure_breakdown": lambda: B.batch_failure_breakdown(t("write_queue"), BATCH),
+        "recent_batches": lambda: B.recent_batches(t("write_queue"), C.BATCH_LIMIT),
+        "failure_breakdown": lambda: B.batch_failure_breakdown(t("write_queue"), BATCH, C.FAILURE_REASON_LIMIT),
         "inventory_report": lambda: I.inventory_report(t("inventory")),
         "tag_violations": lambda: V.tag_violations(X.tag_payloads(spark, sf), ["doc_id"]),
     }
-    jobs = {"summary_build": build_summary}
+    ledger = Ledger(spark, f"{base}/ledger")
+
+    def fill_ledger() -> None:
+        """Set-up of each drain: the queue and the state as they were."""
+        for name in ("write_queue", "tag_state"):
+            ledger.table(name).replace(t(name))
+
+    ledger.create()
+    set_up = {"drain_batch": fill_ledger}
+    jobs = {
+        "summary_build": build_summary,
+        "drain_batch": lambda: ledger.drain(NOW, RUN, "me", dry_run=False, batch_id=BATCH),
+        "rollback_batch": lambda: ledger.rollback(BATCH, NOW, RUN, "me", dry_run=False),
+    }
     jobs.update({name: (lambda make=make: drain(make())) for name, make in frames.items()})
     seconds = {}
     for name, job in jobs.items():
+        prepare = set_up.get(name, lambda: None)
+        prepare()
         job()
         taken = []
         for _ in range(runs):
+            prepare()
             start = time.perf_counter()
             job()
             taken.append(time.perf_counter() - start)

@@ -6,7 +6,8 @@ import __spark_entry__ as entry
 from conftest import SF
 from verification.compare import compare, duck
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name not in entry.LLM_QUERIES}
 
 
 @pytest.fixture(scope="module")

@@ -58,7 +58,11 @@ def test_reports(sweep):
     assert rows(I.coverage(summary), "product", "coverage_pct") == [
         ("ALL_PURPOSE", 100), ("DLT", 50), ("JOBS", 33), ("SQL", 33)]
     assert rows(I.coverage_totals(summary)) == [(10, 4)]
-    assert rows(I.tag_state(sweep), "product", "workload_id").count(("DLT", "2")) == 0
+    state = {(r["workspace_id"], r["product"], r["workload_id"]): r for r in I.tag_state(sweep).collect()}
+    assert state["1", "DLT", "2"]["problem"] == "boom" and state["1", "DLT", "2"]["tags"] is None
+    assert state["1", "POOL", None]["problem"] == "list failed: timeout"
+    assert state["2", None, None]["problem"] == "workspace unreachable: no route"
+    assert state["1", "JOBS", "1"]["tags"] == {"a": "1", "b": "2"} and len(state) == 11
     assert ("POOL", 1, 0) in rows(I.sweep_counts(sweep))
 
 
@@ -69,3 +73,20 @@ def test_latest_scan_by_time_or_by_id(spark, sweep):
     assert rows(I.inventory_meta(both), "scan_id", "resources") == [("scan-a", 12)]
     assert rows(I.inventory_meta(both, by="id"), "scan_id", "resources") == [("scan-z", 3)]
     assert rows(I.inventory_meta(both.filter("false"))) == []
+
+
+def test_ids_that_look_like_markers_are_resources(spark):
+    found = I.inventory_sweep({"JOBS": listing(spark, "tags map<string,string>", ("__real", {"a": "1"}, None))}, *SCAN)
+    assert rows(I.inventory_summary(found), "product", "resources") == [("JOBS", 1)]
+    assert rows(I.tag_state(found), "workload_id", "problem") == [("__real", None)]
+
+
+def test_a_resource_listed_twice_counts_once_in_the_state(spark):
+    twice = listing(spark, "tags map<string,string>", ("1", {"a": "1"}, None), ("1", None, "boom"))
+    assert rows(I.tag_state(I.inventory_sweep({"JOBS": twice}, *SCAN)), "workload_id", "problem") == [("1", None)]
+
+
+def test_products_that_hide_their_tags_are_known_all_the_same(spark):
+    hidden = listing(spark, "tags string", ("9", None, None))
+    state = I.tag_state(I.inventory_sweep({"VECTOR_SEARCH": hidden}, *SCAN)).first()
+    assert state["workload_id"] == "9" and state["tags"] is None and state["problem"] == I.UNREADABLE

@@ -1,12 +1,13 @@
 """Whole life of the tables on the given data, stored between steps."""
 
 import datetime as dt
+from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import AS_OF, NOW, SF, rows
-from tagledger.operators import queue as Q, reports as R
+from tagledger.operators import queue as Q, reports as R, suggestions as SG
 from tagledger.plans.ledger import Ledger
 from verification import fixtures as X
 
@@ -22,7 +23,7 @@ def ledger(spark, tmp_path_factory):
     made = Ledger(spark, str(tmp_path_factory.mktemp("ledger")))
     made.create()
     made.refresh_summary(X.usage(spark, SF), X.list_prices(spark, SF), AS_OF)
-    made.refresh_suggestions(AS_OF, NOW)
+    made.refresh_suggestions(AS_OF, NOW, list(X.TEAM_WORDS), SG.keyword_scorer(X.TEAM_WORDS))
     made.record_scan(X.listings(spark, SF), *X.NEW_SCAN, errors=X.listing_errors(spark, SF))
     return made
 
@@ -78,7 +79,174 @@ def test_one_scan_is_read_from_its_own_directory(ledger):
 def test_claim_is_visible_before_the_run_ends(ledger):
     ledger.enqueue(ledger.read("write_queue").filter("batch_id = 'b2'").withColumns(
         {"batch_id": F.lit("b9"), "status": F.lit("PENDING")}))
-    queue = ledger._versions("write_queue")
-    queue.replace(Q.claim(queue.read(), NOW, "dead"))
+    ledger.claim(NOW, "dead", batch_id="b9")
     assert ledger.drain(NOW + dt.timedelta(minutes=30), "next", "me", False, batch_id="b9").tried.count() == 0
     assert ledger.drain(NOW + dt.timedelta(minutes=31), "next", "me", False, batch_id="b9").tried.count() > 0
+
+
+# Runs that overlap, on small tables of their own.
+
+def intent(make, batch, *ids, product="JOBS", workspace="1", key=KEY, value="v"):
+    return make("write_queue", *[
+        dict(batch_id=batch, enqueued_at=NOW, workspace_id=workspace, product=product, workload_id=i, is_serverless=0,
+             tag_key=key, tag_value=value, status="PENDING", attempts=0) for i in ids])
+
+
+@pytest.fixture
+def small(spark, make, folder):
+    made = Ledger(spark, folder)
+    made.create()
+    made.table("tag_state").replace(make("tag_state", *[
+        dict(workspace_id=w, product="JOBS", workload_id=str(i), tags={}) for w in "12" for i in range(1, 5)]))
+    return made
+
+
+def statuses(ledger):
+    return rows(ledger.read("write_queue"), "batch_id", "workload_id", "status")
+
+
+def test_intent_stored_during_a_run_stays(make, small):
+    small.enqueue(intent(make, "b1", "1"))
+    small.claim(NOW, "run-1")
+    small.enqueue(intent(make, "b2", "2"))
+    small.apply_claimed(NOW, "run-1", "me", dry_run=False)
+    assert statuses(small) == [("b1", "1", "SUCCEEDED"), ("b2", "2", "PENDING")]
+
+
+def test_runs_inside_each_other_lose_nothing(make, small):
+    small.enqueue(intent(make, "b1", "1"))
+    small.enqueue(intent(make, "b2", "2"))
+    small.claim(NOW, "run-1", batch_id="b1")
+    small.drain(NOW, "run-2", "me", dry_run=False, batch_id="b2")
+    small.apply_claimed(NOW, "run-1", "me", dry_run=False)
+    assert statuses(small) == [("b1", "1", "SUCCEEDED"), ("b2", "2", "SUCCEEDED")]
+    tagged = {r[2] for r in tag_rows(small.read("tag_state"))}
+    assert tagged == {"1", "2"}
+    assert rows(small.read("audit"), "batch_id", "status") == [("b1", "SUCCEEDED"), ("b2", "SUCCEEDED")]
+
+
+def test_a_version_that_moved_on_is_merged_into(make, small):
+    """Somebody else publishes between reading and publishing: the change is made again."""
+    small.enqueue(intent(make, "b1", "1"))
+    table, others = small.table("write_queue"), [intent(make, "b2", "2"), intent(make, "b3", "3")]
+
+    def change(found):
+        if others:
+            small.table("write_queue").append(others.pop())
+        return found.withColumn("status", F.lit("FAILED"))
+
+    table.update(change)
+    assert statuses(small) == [("b1", "1", "FAILED"), ("b2", "2", "FAILED"), ("b3", "3", "FAILED")]
+
+
+def test_a_failed_refresh_leaves_the_table_as_it_was(spark, make, small):
+    kept = make("suggestions", dict(product="JOBS", workload_id="1"))
+    small.table("suggestions").replace(kept)
+    small.table("summary").replace(make("summary", dict(
+        usage_date=AS_OF, workspace_id="1", product="JOBS", workload_id="1", tag_keys=[], list_cost=D(1))))
+    with pytest.raises(Exception, match="no scorer"):
+        small.refresh_suggestions(AS_OF, NOW, ["x"], lambda prompt: F.raise_error(F.lit("no scorer")).cast("string"))
+    assert small.read("suggestions").count() == 1
+
+
+def test_changed_days_only(make, small):
+    day = AS_OF - dt.timedelta(days=1)
+    price = make("list_prices", dict(sku_name="A", pricing={"default": D(1)}))
+
+    def usage(*days):
+        return make("usage", *[dict(usage_date=d, workspace_id="1", billing_origin_product="JOBS", usage_metadata={"job_id": "1"},
+                                    sku_name="A", usage_quantity=D(q), usage_unit="DBU") for d, q in days])
+
+    small.refresh_summary(usage((AS_OF, 1), (day, 1)), price, AS_OF)
+    before = small.table("summary")._state(small.table("summary").version())["parts"]
+    small.refresh_summary(usage((AS_OF, 5), (day, 7)), price, AS_OF, changed=[day])
+    after = small.table("summary")._state(small.table("summary").version())["parts"]
+    assert rows(small.read("summary"), "usage_date", "list_cost") == [(day, D(7)), (AS_OF, D(1))]
+    assert [p for p in before if before[p] != after[p]] == [f"usage_date={day}"]
+
+
+def test_a_drain_writes_only_its_directories(make, small):
+    for i in range(1, 4):
+        small.enqueue(intent(make, f"b{i}", str(i)))
+    table = small.table("write_queue")
+    before = table._state(table.version())["parts"]
+    small.drain(NOW, "run", "me", dry_run=False, batch_id="b2")
+    after = table._state(table.version())["parts"]
+    assert len(before) == 3 and len([p for p in before if before[p] != after[p]]) == 1
+
+
+def test_one_batch_is_read_from_its_own_directory(small):
+    from tagledger.operators import batches as B, rollback as RB
+
+    for found in (B.count_queue_rows(small.read("write_queue"), "b"), RB.rollback_plan(small.read("audit"), "b")):
+        assert found.count() >= 0
+    small.table("audit").append(small.spark.createDataFrame(
+        [("a", "b", NOW, "1", "JOBS", "1", "k", "SET", "SUCCEEDED")], "audit_id string, batch_id string, executed_at timestamp, "
+        "workspace_id string, product string, workload_id string, tag_key string, action string, status string"))
+    plan = RB.rollback_plan(small.read("audit"), "b")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch_bucket" in plan
+
+
+def listed(spark, *cells):
+    return spark.createDataFrame([(w, i, None, None, t, None) for w, i, t in cells],
+                                 "workspace_id string, workload_id string, workload_name string, owner string, "
+                                 "tags map<string,string>, read_error string")
+
+
+def test_scans_of_some_workspaces_keep_the_rest(spark, make, small):
+    scan = dt.datetime(2024, 4, 29)
+    for _ in range(2):  # a repeated scan changes nothing
+        small.record_scan({"JOBS": listed(spark, ("2", "9", {"a": "1"}))}, "s1", scan, workspaces=["2"])
+        found = rows(small.read("tag_state"), "workspace_id", "workload_id")
+        assert found == [("1", "1"), ("1", "2"), ("1", "3"), ("1", "4"), ("2", "9")]
+        assert small.read("inventory").count() == 1
+    errors = spark.createDataFrame([("1", None, "no route")], "workspace_id string, product string, error string")
+    small.record_scan({"JOBS": listed(spark)}, "s2", scan, errors=errors, workspaces=["1"])
+    small.enqueue(intent(make, "b1", "1"))
+    small.enqueue(intent(make, "b2", "9", workspace="2"))
+    small.enqueue(intent(make, "b3", "8", workspace="2"))
+    small.drain(NOW, "run", "me", dry_run=False)
+    assert rows(small.read("write_queue"), "batch_id", "status", "last_error") == [
+        ("b1", "FAILED", "Unknown: workspace unreachable: no route"), ("b2", "SUCCEEDED", None),
+        ("b3", "FAILED", "ResourceDoesNotExist: JOBS 8")]
+
+
+def test_every_direct_tag_product_can_be_applied(spark, make, small):
+    from tagledger import capability
+    from tagledger.operators.inventory import LISTING_SHAPES
+
+    shapes = {"map": "map<string,string>", "pairs": "array<struct<key:string,value:string>>", "none": "string"}
+    products = capability.direct_tag_products()
+    listings = {p: spark.createDataFrame([("1", "7", None, None, None, None)], "workspace_id string, workload_id string, "
+                                         "workload_name string, owner string, tags " + shapes[LISTING_SHAPES[p]] +
+                                         ", read_error string") for p in products}
+    small.record_scan(listings, "s", dt.datetime(2024, 4, 29))
+    for p in products:
+        small.enqueue(intent(make, f"b-{p}", "7", product=p))
+    small.drain(NOW, "run", "me", dry_run=False)
+    assert rows(small.read("write_queue").groupBy("status").count()) == [("SUCCEEDED", len(products))]
+    small.rollback("b-VECTOR_SEARCH", NOW + dt.timedelta(minutes=1), "back", "me", dry_run=False)
+    assert rows(small.read("audit").filter("action = 'ROLLBACK'"), "status", "error") == [
+        ("FAILED", "PreviousValueUnknown: VECTOR_SEARCH 7")]
+
+
+def test_no_resource_gets_too_many_tags(make, small):
+    for i in range(20):
+        small.enqueue(intent(make, f"b{i % 2}", "1", key=f"k{i}")) if i % 10 == 9 else None
+    small.enqueue(intent(make, "c", "1", key="k0"))
+    many = [intent(make, "d", "1", key=f"x{i}") for i in range(17)]
+    rows_ = many[0]
+    for part in many[1:]:
+        rows_ = rows_.unionByName(part)
+    small.enqueue(rows_)
+    small.enqueue(intent(make, "e", "1", key="x3"))
+    with pytest.raises(ValueError, match="too many tags"):
+        small.enqueue(intent(make, "f", "1", key="one-more"))
+    small.enqueue(intent(make, "f", "2", key="one-more"))
+
+
+def test_unused_folders_go(make, small):
+    small.enqueue(intent(make, "b1", "1"))
+    small.drain(NOW, "run", "me", dry_run=False)
+    small.vacuum()
+    assert statuses(small) == [("b1", "1", "SUCCEEDED")]

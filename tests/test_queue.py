@@ -2,6 +2,7 @@ import datetime as dt
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import AS_OF, NOW, rows
 from tagledger import constants as C
@@ -118,7 +119,7 @@ def test_single_and_selected(spark, make):
     assert rows(Q.enqueue_single(requests, "b", "me", NOW),
                 "workload_id", "workload_name", "is_serverless", "tag_key", "tag_value", "list_cost") == [
         ("7", "7", 1, "a", "1", None), ("7", "7", 1, "b", "2", None)]
-    nasty = "O'Brien%_\\-- drop"
+    nasty = "Zoë's 5%_off\\--;"
     selection = spark.createDataFrame([
         (None, "JOBS", "7", "", 1, nasty, 1.5), ("1", "JOBS", "", "n", 0, "v", 1.0),
         ("1", "JOBS", None, "n", 0, "v", 1.0), ("1", "JOBS", "8", "n", 0, "", 1.0), ("1", "JOBS", "9", "n", None, "v", None),
@@ -162,19 +163,22 @@ def test_scoring(spark, summary):
          ("JOBS", "3", None, None, "1", D(1))],
         "product string, workload_id string, workload_name string, owner string, workspace_id string, "
         "cost decimal(38,10)")
-    assert rows(SG.score_workloads(named, NOW), "workload_id", "suggested_cost_center", "confidence") == [
-        ("1", "data-eng", 0.8), ("2", "sales-eng", 0.6), ("3", "unknown", 0.2)]
-    prompts = [r[0] for r in named.select(SG.prompt()).collect()]
-    assert "Workload name: (none); owner: (none); product: JOBS" in prompts[2]
+    words = {"loaders": ("etl", "a.b"), "sellers": ("crm", "tl")}
+    assert rows(SG.score_workloads(named, NOW, list(words), SG.keyword_scorer(words)),
+                "workload_id", "suggested_cost_center", "confidence") == [
+        ("1", "loaders", 0.8), ("2", "sellers", 0.6), ("3", "unknown", 0.2)]
+    prompts = [r[0] for r in named.select(SG.prompt(list(words))).collect()]
+    assert "workload: (none)\nowner: (none)\nproduct: JOBS" in prompts[2] and "loaders, sellers" in prompts[0]
+    parts = named.withColumn("workload_name", F.lit("petlands axb"))
+    assert rows(SG.score_workloads(parts.limit(1), NOW, list(words), SG.keyword_scorer(words)),
+                "suggested_cost_center") == [("unknown",)], "parts of words do not count"
 
 
 def test_own_scorer_and_bad_answers(spark, summary):
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
     def scorer(prompts):
         return prompts.map(lambda p: '{"cost_center": "x", "confidence": 0.9}' if "JOBS" in p else "sorry, no")
 
-    found = SG.score_workloads(SG.scoring_workloads(summary, AS_OF), NOW, scorer)
+    found = SG.score_workloads(SG.scoring_workloads(summary, AS_OF), NOW, ["x"], scorer)
     assert rows(found.distinct(), "product", "suggested_cost_center", "confidence") == [
         ("APPS", None, None), ("JOBS", "x", 0.9), ("JOBS", "x", 0.9), ("SQL", None, None), ("SQL", None, None)]

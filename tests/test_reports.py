@@ -98,8 +98,8 @@ def test_confidence_floor_takes_in_the_boundary_only(spark):
 
 
 def test_sentinels(spark):
-    df = spark.createDataFrame([("__x",), ("_x",), ("x__",)], "workload_id string")
-    assert rows(df.filter(is_resource())) == [("_x",), ("x__",)]
+    df = spark.createDataFrame([("__x", False), ("_x", None), ("__y", True)], "workload_id string, listing_failed boolean")
+    assert rows(df.filter(is_resource()), "workload_id") == [("__x",), ("_x",)]
 
 
 def test_field_values(summary):

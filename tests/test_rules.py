@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tagledger.functions import rules as R
 
-HOSTILE = "O'Brien%_\\-- drop"
+HOSTILE = "Zoë's 5%_off\\--;"
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +54,7 @@ def test_first_rule_wins_across_kinds(workloads):
         {"field": "name", "op": "contains", "value": "etl", "tags": {"k": "0"}},
         {"field": "product", "op": "equals", "value": "sql", "tags": {"k": "1"}},
         {"field": "product", "op": "equals", "value": "SQL", "tags": {"k": "2"}},
-        {"field": "owner", "op": "contains", "value": "o'brien", "tags": {"k": "3"}},
+        {"field": "owner", "op": "contains", "value": "zoë's", "tags": {"k": "3"}},
         {"field": "workspace", "op": "equals", "value": "7", "tags": {"k": "4"}},
     ])
     found = dict(R.with_first_rule(workloads, rules).select("workload_id", "first_rule").collect())
@@ -128,3 +128,19 @@ def test_globs_and_substrings_agree_with_plain_python(spark):
         assert list(row[1:]) == [bool(r.fullmatch(row[0].lower())) for r in as_regex], row[0]
     for row in parts.collect():
         assert list(row[1:]) == [p in row[0].lower() for p in patterns], row[0]
+
+
+@pytest.mark.parametrize("count", [2, 22, 200])
+def test_the_winner_does_not_depend_on_how_many_rules_there_are(spark, count):
+    """The Kelvin sign lowers to k, whoever does the lowering; the first of two equal rules wins."""
+    rng = random.Random(count)
+    values = ["\u212a", "k"] + [rng.choice("kKxYz\u212aÉ") * rng.randrange(1, 4) for _ in range(count - 2)]
+    rules = [R.Rule(rng.choice(("owner", "name")) if i > 1 else "owner", "equals", v, {"k": "v"}) for i, v in enumerate(values)]
+    people = ["k", "K", "\u212a", "kk", "xX", "É", "é", "nobody", None]
+    df = spark.createDataFrame([(o, n) for o in people for n in people], "owner string, workload_name string")
+    in_turn = F.lit(-1)
+    for i, rule in reversed(list(enumerate(rules))):
+        in_turn = F.when(R.rule_match(rule), i).otherwise(in_turn)
+    found = R.with_first_rule(df, rules).select("owner", "first_rule", in_turn.alias("expected")).collect()
+    assert all(r["first_rule"] == r["expected"] for r in found)
+    assert {r["first_rule"] for r in found if r["owner"] in ("k", "K", "\u212a")} == {0}

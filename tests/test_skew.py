@@ -47,7 +47,7 @@ def test_hot_resource_is_split_between_tasks(spark):
         F.lit(0).alias("is_serverless"), F.lit("k").alias("tag_key"),
         F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("tag_value"))
     state = queue.select("workspace_id", "product", "workload_id").distinct().withColumn(
-        "tags", F.create_map(F.lit("k"), F.lit("start")))
+        "tags", F.create_map(F.lit("k"), F.lit("start"))).withColumn("problem", F.lit(None).cast("string"))
     plan, found = final_plan(A.attempts(queue, state, dry_run=False))
     assert "skew=true" in plan
     assert len(found) == n

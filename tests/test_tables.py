@@ -1,6 +1,5 @@
 import datetime as dt
 from decimal import Decimal as D
-from types import SimpleNamespace
 
 import pytest
 
@@ -25,7 +24,7 @@ def test_append_fills_orders_and_checks_columns(spark, make, folder):
         c for c in REQUIRED["write_queue"] if c not in ("status", "tag_value")])
     T.append_table(few, "write_queue", path)
     stored = T.read_table(spark, "write_queue", path)
-    assert stored.schema.simpleString() == TABLES["write_queue"].simpleString()
+    assert stored.drop("batch_bucket").schema.simpleString() == TABLES["write_queue"].simpleString()
     assert rows(stored, "workload_id", "last_error", "list_cost") == [("1", None, None), ("2", None, None)]
     with pytest.raises(Exception, match="write_queue.tag_value must not be null"):
         T.append_table(make("write_queue", intent("3", tag_value=None)), "write_queue", path)
@@ -85,6 +84,20 @@ def test_status_stream(spark, make, folder):
     assert rows(queue.read(), "workload_id", "status") == [("1", C.SUCCEEDED), ("2", C.SUCCEEDED), ("3", C.PENDING)]
 
 
+def test_rounds_are_folded_into_the_queue_once(spark, make, folder):
+    queue = T.VersionedTable(spark, "write_queue", f"{folder}/queue")
+    queue.create(make("write_queue", intent("1"), intent("2")))
+    keep = ST._keep_round(f"{folder}/rounds")
+    keep(outcome(make, "1", C.RUNNING, 1), 0)
+    assert ST.fold_rounds(queue, f"{folder}/rounds") == 0
+    keep(outcome(make, "1", C.SUCCEEDED, 2), 1)
+    now = ST.current_queue(queue.read(), f"{folder}/rounds", ST.folded_round(queue, f"{folder}/rounds"))
+    for _ in range(2):
+        assert ST.fold_rounds(queue, f"{folder}/rounds") == 1
+        assert rows(queue.read(), "workload_id", "status", "attempts") == [("1", C.SUCCEEDED, 2), ("2", C.PENDING, None)]
+    assert rows(now, "workload_id", "status", "attempts") == [("1", C.SUCCEEDED, 2), ("2", C.PENDING, None)]
+
+
 def test_replayed_round_overwrites_itself(spark, make, folder):
     keep = ST._keep_round(folder)
     for _ in range(2):
@@ -104,14 +117,17 @@ def test_stream_on_a_timer(spark, make, folder):
     assert rows(ST.current_queue(make("write_queue", intent("1")), f"{folder}/rounds"), "status") == [(C.SUCCEEDED,)]
 
 
-def session(master, **settings):
-    return SimpleNamespace(conf=SimpleNamespace(get=settings.get), sparkContext=SimpleNamespace(master=master))
+def test_work_folder(spark, folder):
+    first, second = (work_folder(spark, "x") for _ in range(2))
+    assert first != second and "/x-" in first
+    assert first.startswith(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir"))
 
 
-def test_work_folder(spark):
-    shared = {"spark.checkpoint.dir": "/shared/work/"}
-    for master in ("local[8]", "yarn"):
-        assert work_folder(session(master, **shared), "x").startswith("/shared/work/x-")
-    with pytest.raises(ValueError):
-        work_folder(session("yarn"), "x")
-    assert "x-" in work_folder(spark, "x")
+def test_names_of_directories(spark, make, folder):
+    names = ["s 1", "a=b/c", "50%", "x:y"]
+    for name in names:
+        path = f"{folder}/{abs(hash(name))}"
+        T.replace_table(make("inventory", dict(scan_id=name, scanned_at=NOW, workspace_id="1", product="JOBS", workload_id="1")),
+                        "inventory", path)
+        import os
+        assert T.directory("inventory", name) in os.listdir(path)
