@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tagledger.llm import simple8b
-from tagledger.llm.shared import map_batches, store, work_path
+from tagledger.llm.shared import TEXTS, map_batches, store, work_path
 
 MAGIC = b"TLS8BIT1"
 END_ID = 0
@@ -34,7 +34,9 @@ FILE_IDS = 2_000_000
 #: Most tasks that read files.
 READ_TASKS = 10_000
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+#: Ids that are packed at a time.
+PACKED = 64 * simple8b.BLOCK
 MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
 #: White space that a cut before a blank would tear apart.
 TORN = re.compile(r"\s (?=\s|\Z)")
@@ -57,6 +59,7 @@ class Encoder:
         self.merge = self.model.model.tokenize
         self.pieces: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
+        self.seen, self.marks = bytearray(1 << 20), 0
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -73,18 +76,28 @@ class Encoder:
         ids = self.units.get(unit)
         if ids is None:
             ids = array("I", [t.id for t in self.merge(unit)]).tobytes()
-            if len(self.units) < REMEMBERED:
-                self.units[unit] = ids
+            self._remember(self.units, unit, ids)
         return ids
 
+    def _remember(self, known: dict[str, bytes], text: str, ids: bytes) -> None:
+        """From its second time on, as most pieces never come again."""
+        place = hash(text) & 0xFFFFF
+        if self.seen[place]:
+            if len(known) < REMEMBERED:
+                known[text] = ids
+        else:
+            self.seen[place] = 1
+            self.marks += 1
+            if self.marks > 300_000:
+                self.seen, self.marks = bytearray(1 << 20), 0
+
     def _piece(self, piece: str) -> bytes:
         word = piece[1:] if piece[:1] == " " else piece
         if word.isascii() and word.isalpha():  # its own split leaves it whole
             ids = self._unit("\u0120" + word if piece[:1] == " " else word)
         else:
             ids = b"".join([self._unit(u) for u, _ in self.split(piece)])
-        if len(self.pieces) < REMEMBERED:
-            self.pieces[piece] = ids
+        self._remember(self.pieces, piece, ids)
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -109,7 +122,10 @@ def _filesystem(uri: str):
 
 def file_bytes(before: int, doc_ids: list[int | None], payloads: list[bytes]) -> bytes:
     ids = np.frombuffer(b"".join(payloads), "<u4")
-    words, offsets = simple8b.encode(ids)
+    parts = [simple8b.encode(ids[i:i + PACKED]) for i in range(0, len(ids), PACKED)]
+    words = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint64)
+    ends = np.cumsum([0] + [len(p[0]) for p in parts])
+    offsets = np.concatenate([p[1][:-1] + e for p, e in zip(parts, ends)] + [ends[-1:]])
     head = np.array([before, len(ids), len(doc_ids), len(offsets) - 1, simple8b.BLOCK], "<i8")
     return b"".join([
         MAGIC, head.tobytes(), offsets.astype("<i8").tobytes(), words.astype("<u8").tobytes(),
@@ -173,7 +189,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")) \
         .repartitionByRange(F.col("doc_id").asc_nulls_first()) \
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return store(map_batches(ordered, run, MANIFEST), "manifest")
+    return store(map_batches(ordered, run, MANIFEST, TEXTS), "manifest")
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
