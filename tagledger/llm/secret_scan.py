@@ -2,8 +2,8 @@
 
 Three patterns give the base spans. Beside them, every long run of key characters
 is tested for being drawn evenly from its inferred alphabet: chi-squared of the
-symbol counts, runs above and below the alphabet's middle, and serial
-correlation, each as a normal deviate; their squares add up to a distance from
+symbols and of digits against letters, runs above and below the alphabet's middle, and
+serial correlation, each as a normal deviate; their squares add up to a distance from
 randomness. Runs of letters alone are the background of ordinary words, per band
 of length; a run with letters and digits gets the share of its background that looks as
 random as its p-value, and Benjamini-Hochberg over all of these keeps the false
@@ -25,10 +25,11 @@ PATTERNS = {
     "hex": ("[0-9a-f]+", 0, 24),
 }
 RUN = "[A-Za-z0-9+/_-]{20,}"
-# Alphabets: a pattern, the number of symbols, the last code of the lower half. The first that fits counts.
+# Alphabets of keys, all with digits: a pattern, the number of symbols, how many are digits, the last code of the
+# lower half. The first that fits is the inferred encoding; ordinary words are held against it just the same.
 ALPHABETS = (
-    ("[0-9]+", 10, "4"), ("[0-9a-f]+|[0-9A-F]+", 16, "7"), ("[A-Z2-7]+", 32, "J"), ("[a-z]+", 26, "m"),
-    ("[a-z0-9]+", 36, "h"), ("[A-Z0-9]+", 36, "H"), ("[A-Za-z]+", 52, "Z"), ("[A-Za-z0-9]+", 62, "U"), (".*", 64, "U"),
+    ("[0-9]+", 10, 10, "4"), ("[0-9a-f]+|[0-9A-F]+", 16, 10, "7"), ("[A-Z2-7]+", 32, 6, "J"),
+    ("[a-z0-9]+", 36, 10, "h"), ("[A-Z0-9]+", 36, 10, "H"), ("[A-Za-z0-9]+", 62, 10, "U"), (".*", 64, 10, "U"),
 )
 BANDS, BAND = 16, 8
 BINS, STEP = 64, 0.5
@@ -60,7 +61,7 @@ def _alphabet(run: Column, value) -> Column:
 
 
 def _deviates(x: Column) -> Column:
-    """The squared deviates of the three tests, added up, for a struct of what they need."""
+    """The squared deviates of the tests, added up, for a struct of what they need."""
     codes, symbols, mean = x["codes"], x["symbols"], x["mean"]
     n = F.size(codes).cast("double")
     zero = F.struct(F.lit(-1).alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("sum"))
@@ -77,7 +78,10 @@ def _deviates(x: Column) -> Column:
     lagged = F.aggregate(F.transform(codes, lambda c, i: F.coalesce(
         (c - mean) * (F.get(codes, i - 1) - mean), F.lit(0.0))), F.lit(0.0), lambda a, c: a + c)
     serial = F.when(spread > 0, lagged / spread * F.sqrt(n)).otherwise(F.sqrt(n))
-    return F.pow(F.greatest(chi, F.lit(0.0)), 2) + F.pow(runs, 2) + F.pow(serial, 2)
+    share = x["digits"] / symbols
+    found = F.size(F.filter(codes, lambda c: (c >= ord("0")) & (c <= ord("9"))))
+    digits = F.when(share < 1, F.pow(found - n * share, 2) / (n * share * (1 - share))).otherwise(0.0)
+    return F.pow(F.greatest(chi, F.lit(0.0)), 2) + digits + F.pow(runs, 2) + F.pow(serial, 2)
 
 
 def _cell(x: Column) -> Column:
@@ -111,7 +115,8 @@ def _scan(docs: DataFrame) -> DataFrame:
         ).alias("runs"))
     described = F.transform("runs", lambda x: F.struct(
         x["at"]["start"].alias("start"), x["at"]["stop"].alias("stop"), x["codes"].alias("codes"),
-        _alphabet(x["run"], lambda a: a[1]).alias("symbols"), _alphabet(x["run"], lambda a: ord(a[2])).alias("middle"),
+        _alphabet(x["run"], lambda a: a[1]).alias("symbols"), _alphabet(x["run"], lambda a: a[2]).alias("digits"),
+        _alphabet(x["run"], lambda a: ord(a[3])).alias("middle"),
         (F.aggregate(x["codes"], F.lit(0), lambda a, c: a + c) / F.size(x["codes"])).alias("mean"),
         x["run"].rlike("[0-9]").alias("digit"), x["run"].rlike("[A-Za-z]").alias("letter")))
     tested = F.transform(described, lambda x: F.struct(
