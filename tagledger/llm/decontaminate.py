@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tagledger.llm.licenses import WORD_BYTES
-from tagledger.llm.shared import map_batches
+from tagledger.llm.shared import TEXTS, map_batches
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -212,7 +212,7 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
                     [pa.array([r[k] for r in rows], pa.float64() if 2 <= k <= 4 else pa.int64()) for k in range(6)],
                     names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-        part = map_batches(texts, run, SCHEMA)
+        part = map_batches(texts, run, SCHEMA, TEXTS)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
@@ -228,5 +228,5 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array([not held.leaks(t) for t in batch.column(place).to_pylist()], pa.bool_()))
 
-        docs = map_batches(docs, run, docs.schema)
+        docs = map_batches(docs, run, docs.schema, TEXTS)
     return docs

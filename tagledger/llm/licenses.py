@@ -9,7 +9,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tagledger.llm.shared import map_batches
+from tagledger.llm.shared import TEXTS, map_batches
 
 # The phrases of the contract with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -146,4 +146,4 @@ def scan_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)] + [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA, TEXTS)

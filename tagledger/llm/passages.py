@@ -29,7 +29,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tagledger.llm.shared import map_batches, store
+from tagledger.llm.shared import TEXTS, map_batches, store
 
 LENGTH = 100
 GRAM = 32
@@ -414,10 +414,10 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = store(map_batches(map_batches(texts, _extract(ranges), MESSAGE_DDL).repartition("key"), _index, FOUND_DDL), "index")
-    packed = map_batches(texts, _zipped, "doc long, mark long, packed binary")
+    found = store(map_batches(map_batches(texts, _extract(ranges), MESSAGE_DDL, 4 * TEXTS).repartition("key"), _index, FOUND_DDL), "index")
+    packed = map_batches(texts, _zipped, "doc long, mark long, packed binary", TEXTS)
     edges = _by_text(found.where("anchor IS NOT NULL"), "at", "n", "anchor", "crowded")
     fetched = packed.join(edges, ["doc", "mark"]).select("doc", "mark", "packed", "x")
-    compared = store(map_batches(map_batches(fetched, _fetch(ranges), MESSAGE_DDL).repartition("key"), _compare, FOUND_DDL), "edges")
+    compared = store(map_batches(map_batches(fetched, _fetch(ranges), MESSAGE_DDL, 2 * TEXTS).repartition("key"), _compare, FOUND_DDL), "edges")
     covered = _by_text(found.where("anchor IS NULL").unionByName(compared), "at", "n")
-    return map_batches(packed.join(covered, ["doc", "mark"], "left").select("doc", "packed", "x"), _cut_all(keep_text), OUT_DDL)
+    return map_batches(packed.join(covered, ["doc", "mark"], "left").select("doc", "packed", "x"), _cut_all(keep_text), OUT_DDL, TEXTS)

@@ -45,13 +45,21 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow``, with this package on the workers' path wherever the driver started."""
+def map_batches(df: DataFrame, function, schema, rows: int | None = None) -> DataFrame:
+    """``mapInArrow``, with this package on the workers' path wherever the driver started. ``rows`` cuts
+    Spark's batches into pieces of so many rows, which bounds what a worker holds of long columns."""
     root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-    return df.mapInArrow(function, schema)
+    if rows is None:
+        return df.mapInArrow(function, schema)
+    return df.mapInArrow(lambda batches: function(
+        b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)), schema)
+
+
+#: Texts that a worker takes in hand at a time.
+TEXTS = 1000
 
 
 class UnionFind:

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tagledger.llm.shared import UnionFind, components, map_batches, store
+from tagledger.llm.shared import TEXTS, UnionFind, components, map_batches, store
 
 RADIUS = 3
 BLOCKS = 6
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = [fingerprint(shingle_hashes(words_of(t), shingle)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long", TEXTS)
 
 
 class BKTree:
@@ -209,7 +209,7 @@ def sketched(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 names=["doc_id", "mark", "fp", "samples", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), "text")
-    return map_batches(rows, run, "doc_id long, mark long, fp long, samples array<long>, sketch binary")
+    return map_batches(rows, run, "doc_id long, mark long, fp long, samples array<long>, sketch binary", TEXTS)
 
 
 def _mark():

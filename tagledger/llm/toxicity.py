@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagledger.llm.shared import map_batches, store
+from tagledger.llm.shared import TEXTS, map_batches, store
 
 #: Labelled documents that the model is fitted on, about; drawn by hash of doc_id.
 MAX_LABELLED = 20_000
@@ -142,11 +142,11 @@ def _weights(sample: DataFrame) -> dict[str, float]:
     n1, n0 = (first.where(f"toxic = {t}").count() for t in (1, 0))
     if not n1 or not n0:
         return {}
-    counts = map_batches(first.select("text", "toxic"), _count_units, "unit string, toxic long, clean long").groupBy(
+    counts = map_batches(first.select("text", "toxic"), _count_units, "unit string, toxic long, clean long", TEXTS).groupBy(
         "unit").agg(F.sum("toxic").alias("y1"), F.sum("clean").alias("y0")).where(F.col("y1") + F.col("y0") >= SUPPORT)
     prior = PRIOR * (F.col("y1") + F.col("y0")) / (n1 + n0)
     a, b = F.col("y1") + prior, F.col("y0") + prior
-    odds = F.log(a / (n1 + PRIOR - a)) - F.log(b / (n0 + PRIOR - b))
+    odds = F.log(a / (n1 + PRIOR + 1 - a)) - F.log(b / (n0 + PRIOR + 1 - b))
     sure = counts.select("unit", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).where(F.abs("z") >= SURE)
     return {r["unit"]: r["odds"] for r in sure.select("unit", "odds").collect()}
 
@@ -165,7 +165,8 @@ def _measured(rows: DataFrame, model: Model) -> DataFrame:
                     (pa.int64(), pa.int64(), pa.float64(), pa.float64()))],
                 names=["toxic", "n", "found", "total", "evidence"])
 
-    return map_batches(rows.select("text", "toxic"), run, "toxic int, n long, found long, total double, evidence double")
+    return map_batches(rows.select("text", "toxic"), run,
+                       "toxic int, n long, found long, total double, evidence double", TEXTS)
 
 
 def _curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -229,7 +230,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                  pa.array(worst, pa.float64()), pa.array(passages, passage)],
                 names=["doc_id", "score", "n_passages", "worst", "passages"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA, TEXTS)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -249,4 +250,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             scans = (scorer.scan(t) for t in batch.column(place).to_pylist())
             yield batch.filter(pa.array([scorer.model.score(scorer.model.evidence(n, f)) < 0.5 for n, f in scans], pa.bool_()))
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs, run, docs.schema, TEXTS)
