@@ -72,7 +72,8 @@ def _trade(p: list[float], size: list[float], a: int, b: int, u: float) -> int |
 def _settle(p, size, u, last: int | None, rest: list[int]) -> None:
     """The end of a source; ``rest`` has large ones first. Half of them trade, then the one
     still open is drawn and the smaller half makes up for what that adds or takes (on
-    average nothing); then the smaller half does the same."""
+    average nothing); then the smaller half does the same. Where the smaller ones together
+    are too few words for that, coming near the target goes before their expectation."""
     while rest or last is not None:
         half = (len(rest) + 1) // 2
         for i in rest[:half]:
