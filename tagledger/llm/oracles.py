@@ -1,5 +1,20 @@
-"""DuckDB SQL of the registered queries that SQL can express."""
+"""DuckDB SQL of the registered queries that SQL can express. The others hash, draw, learn or
+follow state, and are tested against plain Python instead."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_STRIPPED = "trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+ORACLES: dict[str, str] = {
+    "op9_lines": f"""
+WITH pieces AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place FROM pieces),
+keyed AS (SELECT *, {_LOWER.format(x=_STRIPPED)} AS key FROM lines),
+repeated AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20
+             GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT k.*, coalesce(r.last <> k.doc_id, false) AS dropped FROM keyed k LEFT JOIN repeated r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
+}
