@@ -29,8 +29,9 @@ from tagledger.llm.shared import TEXTS, map_batches, store
 MAX_LABELLED = 20_000
 HELD_OUT = 5
 PREFIXES = (6, 4, 3)
-#: Weight of the prior in documents, least documents of a unit, least deviate of its log-odds.
-PRIOR, SUPPORT, SURE = 100.0, 3, 3.0
+#: Weight of the prior in documents, least documents of a unit, least deviate of its log-odds and least log-odds:
+#: with many labels, words that all texts share get small odds that are sure, and would add up in long texts.
+PRIOR, SUPPORT, SURE, LEAST = 100.0, 3, 3.5, 2.0
 #: What a word without a sure unit adds; a scan needs a negative mean.
 DRIFT = -0.25
 #: Words whose scores a worker remembers.
@@ -147,7 +148,8 @@ def _weights(sample: DataFrame) -> dict[str, float]:
     prior = PRIOR * (F.col("y1") + F.col("y0")) / (n1 + n0)
     a, b = F.col("y1") + prior, F.col("y0") + prior
     odds = F.log(a / (n1 + PRIOR + 1 - a)) - F.log(b / (n0 + PRIOR + 1 - b))
-    sure = counts.select("unit", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).where(F.abs("z") >= SURE)
+    sure = counts.select("unit", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).where(
+        (F.abs("z") >= SURE) & (F.abs("odds") >= LEAST))
     return {r["unit"]: r["odds"] for r in sure.select("unit", "odds").collect()}
 
 
@@ -195,9 +197,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     second = sample.where("second")
     clean = _measured(second, Model(weights)).where("toxic = 0").agg(
         F.sum("n").alias("n"), F.sum("found").alias("found"), F.sum("total").alias("total")).first()
-    # one made-up segment of the least score that counts keeps the law proper where there are none
-    found, total, n = (clean["found"] or 0) + 1, (clean["total"] or 0.0) + 1.0, (clean["n"] or 0) + 1
-    model = Model(weights, k=found / n, decay=found / total)
+    # no segment scores below LEAST, and above it their scores fall off; a made-up one keeps the law proper
+    # where there are none
+    found, n = (clean["found"] or 0) + 1, (clean["n"] or 0) + 1
+    decay = found / ((clean["total"] or 0.0) - (found - 1) * LEAST + 1.0)
+    model = Model(weights, k=found / n * math.exp(decay * LEAST), decay=decay)
     width = 0.25
     rows = _measured(second, model).groupBy(
         F.least(F.floor(F.col("evidence") / width), F.lit(BINS)).alias("bin")).agg(
