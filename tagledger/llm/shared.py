@@ -52,10 +52,15 @@ def map_batches(df: DataFrame, function, schema, rows: int | None = None) -> Dat
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-    if rows is None:
-        return df.mapInArrow(function, schema)
-    return df.mapInArrow(lambda batches: function(
-        b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)), schema)
+
+    def run(batches):
+        try:
+            yield from function(batches if rows is None else (
+                b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)))
+        finally:  # workers live on; what this task's batches held need not
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 #: Texts that a worker takes in hand at a time.

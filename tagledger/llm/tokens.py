@@ -34,7 +34,7 @@ FILE_IDS = 2_000_000
 #: Most tasks that read files.
 READ_TASKS = 10_000
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Ids that are packed at a time.
 PACKED = 64 * simple8b.BLOCK
 MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
@@ -201,6 +201,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
         starts[part], at = at, at + totals[part]
 
     def run(batches):
+        _TOKENIZERS.clear()  # a worker that has written files needs its memory for reading
         filesystem, _ = _filesystem(folder)
         for batch in batches:
             for part, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
