@@ -31,7 +31,7 @@ HELD_OUT = 5
 PREFIXES = (6, 4, 3)
 #: Weight of the prior in documents, least documents of a unit, least deviate of its log-odds and least log-odds:
 #: with many labels, words that all texts share get small odds that are sure, and would add up in long texts.
-PRIOR, SUPPORT, SURE, LEAST = 100.0, 3, 3.5, 2.0
+PRIOR, SUPPORT, SURE, LEAST = 50.0, 3, 3.5, 2.0
 #: What a word without a sure unit adds; a scan needs a negative mean.
 DRIFT = -0.25
 #: Words whose scores a worker remembers.
