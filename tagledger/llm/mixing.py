@@ -209,5 +209,6 @@ def mixed(docs: DataFrame) -> DataFrame:
         "doc_id", "source", "__mark").agg(F.sum("size").alias("size"))
     taken = mix(units).where("copies > 0").select(
         F.col("doc_id").alias("__id"), F.col("__mark").alias("__m"), "copies")
-    joined = marked.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")))
+    # what is taken grows with the documents, so it is never broadcast
+    joined = marked.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")))
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("__n")).select(*docs.columns)
