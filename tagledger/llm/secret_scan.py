@@ -24,6 +24,7 @@ PATTERNS = {
     "access": ("AKIA[A-Z0-9]+", 0, 20),
     "hex": ("[0-9a-f]+", 0, 24),
 }
+NEEDED = {"assign": (":", "="), "access": ("AKIA",)}
 RUN = "[A-Za-z0-9+/_-]{20,}"
 # Alphabets of keys, all with digits: a pattern, the number of symbols, how many are digits, the last code of the
 # lower half. The first that fits is the inferred encoding; ordinary words are held against it just the same.
@@ -91,13 +92,25 @@ def _cell(x: Column) -> Column:
     return band * BINS + bin_
 
 
+def _matches(kind: str, group: int) -> Column:
+    """All matches of a pattern. Texts without a character or string that it cannot do without are not searched."""
+    found = F.regexp_extract_all("text", F.lit(PATTERNS[kind][0]), F.lit(group))
+    needed = NEEDED.get(kind)
+    if not needed:
+        return found
+    there = F.contains(F.col("text"), F.lit(needed[0]))
+    for other in needed[1:]:
+        there = there | F.contains(F.col("text"), F.lit(other))
+    return F.when(there, found).otherwise(F.array().cast("array<string>"))
+
+
 def _scan(docs: DataFrame) -> DataFrame:
     """Per row: base spans as (start, kind, stop), the background's cells, and candidates
     as (start, stop, cell)."""
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(
         "*", F.regexp_extract_all("text", F.lit(RUN), F.lit(0)).alias("runs"),
-        *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"all_{k}") for k, (p, _, _) in PATTERNS.items()],
-        *[F.regexp_extract_all("text", F.lit(p), F.lit(g)).alias(f"group_{k}") for k, (p, g, _) in PATTERNS.items()])
+        *[_matches(k, 0).alias(f"all_{k}") for k in PATTERNS],
+        *[_matches(k, g).alias(f"group_{k}") for k, (_, g, _) in PATTERNS.items()])
 
     def good(kind: str) -> Column:
         pattern, _, least = PATTERNS[kind]
