@@ -17,15 +17,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagledger.llm.shared import store
 
-# The kinds with their patterns, and the least length of a group of them.
+# The kinds with their patterns, and the least length of a group of them. Access and hex ask for
+# their length at once: a shorter match cannot hide a long one, as it ends where its run of characters ends.
 KINDS = ("assign", "access", "hex", "random")
 PATTERNS = {
     "assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    "access": ("AKIA[A-Z0-9]+", 0, 20),
-    "hex": ("[0-9a-f]+", 0, 24),
+    "access": ("AKIA[A-Z0-9]{16,}", 0, 20),
+    "hex": ("[0-9a-f]{24,}", 0, 24),
 }
 NEEDED = {"assign": (":", "="), "access": ("AKIA",)}
 RUN = "[A-Za-z0-9+/_-]{20,}"
+#: Whole runs with a digit and a letter.
+MIXED = "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])" + RUN
 # Alphabets of keys, all with digits: a pattern, the number of symbols, how many are digits, the last code of the
 # lower half. The first that fits is the inferred encoding; ordinary words are held against it just the same.
 ALPHABETS = (
@@ -108,7 +111,8 @@ def _scan(docs: DataFrame) -> DataFrame:
     """Per row: base spans as (start, kind, stop), the background's cells, and candidates
     as (start, stop, cell)."""
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select(
-        "*", F.regexp_extract_all("text", F.lit(RUN), F.lit(0)).alias("runs"),
+        "*", F.regexp_extract_all("text", F.lit(RUN), F.lit(0)).alias("words"),
+        F.regexp_extract_all("text", F.lit(MIXED), F.lit(0)).alias("mixed"),
         *[_matches(k, 0).alias(f"all_{k}") for k in PATTERNS],
         *[_matches(k, g).alias(f"group_{k}") for k, (_, g, _) in PATTERNS.items()])
 
@@ -119,27 +123,26 @@ def _scan(docs: DataFrame) -> DataFrame:
         return F.transform(F.filter(pairs, lambda x: F.char_length(x["g"]) >= least), lambda x: F.struct(
             x["at"]["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["at"]["stop"].alias("stop")))
 
-    parts = found.select(
+    plain = F.filter("words", lambda r: ~r.rlike("[0-9]"))
+    places = _spans(F.col("text"), MIXED, F.col("mixed"))  # only the few mixed runs need places
+    return found.select(
         "doc_id", F.array_sort(F.concat(*[good(k) for k in PATTERNS])).alias("base"),
-        F.arrays_zip(
-            F.col("runs").alias("run"), _spans(F.col("text"), RUN, F.col("runs")).alias("at"),
-            F.transform("runs", lambda r: F.transform(
-                F.sequence(F.lit(1), F.char_length(r)), lambda i: F.ascii(F.substring(r, i, F.lit(1))))).alias("codes")
-        ).alias("runs"))
-    described = F.transform("runs", lambda x: F.struct(
-        x["at"]["start"].alias("start"), x["at"]["stop"].alias("stop"), x["codes"].alias("codes"),
-        _alphabet(x["run"], lambda a: a[1]).alias("symbols"), _alphabet(x["run"], lambda a: a[2]).alias("digits"),
-        _alphabet(x["run"], lambda a: ord(a[3])).alias("middle"),
-        (F.aggregate(x["codes"], F.lit(0), lambda a, c: a + c) / F.size(x["codes"])).alias("mean"),
-        x["run"].rlike("[0-9]").alias("digit"), x["run"].rlike("[A-Za-z]").alias("letter")))
-    tested = F.transform(described, lambda x: F.struct(
-        x["start"].alias("start"), x["stop"].alias("stop"), _cell(x).alias("cell"), x["digit"].alias("digit"),
-        x["letter"].alias("letter")))
-    return parts.select("doc_id", "base", tested.alias("runs")).select(
-        "doc_id", "base",
-        F.transform(F.filter("runs", lambda x: ~x["digit"]), lambda x: x["cell"]).alias("background"),
-        F.transform(F.filter("runs", lambda x: x["digit"] & x["letter"]), lambda x: F.struct(
-            x["start"], x["stop"], x["cell"])).alias("candidates"))
+        F.transform(plain, lambda r: _described(r)).alias("plain"),
+        F.transform("mixed", lambda r: _described(r)).alias("mixed"), places.alias("places"),
+    ).select(
+        "doc_id", "base", F.transform("plain", lambda x: _cell(x)).alias("background"),
+        F.transform(F.arrays_zip("places", "mixed"), lambda x: F.struct(
+            x["places"]["start"].alias("start"), x["places"]["stop"].alias("stop"),
+            _cell(x["mixed"]).alias("cell"))).alias("candidates"))
+
+
+def _described(run: Column) -> Column:
+    """A run as a struct of what its tests need."""
+    codes = F.transform(F.sequence(F.lit(1), F.char_length(run)), lambda i: F.ascii(F.substring(run, i, F.lit(1))))
+    return F.transform(F.array(codes), lambda c: F.struct(
+        c.alias("codes"), _alphabet(run, lambda a: a[1]).alias("symbols"), _alphabet(run, lambda a: a[2]).alias("digits"),
+        _alphabet(run, lambda a: ord(a[3])).alias("middle"),
+        (F.aggregate(c, F.lit(0), lambda a, x: a + x) / F.size(c)).alias("mean")))[0]
 
 
 def _limits(scanned: DataFrame) -> dict[int, int]:
