@@ -102,6 +102,39 @@ def test_one_document_of_each_group_stays(spark):
     assert simhash.one_per_group(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_similar_texts_are_linked_by_exact_similarity(spark):
+    """Pairs about 0.8, of few and of many words, against all pairs of shingle sets."""
+    rows = [(0, prose(9), "a")]
+    rows.append((1, " ".join(rows[0][1].split()[:8]), "a"))  # 5 and 4 shingles
+    for size in (10, 30, 70, 200):
+        for _ in range(30):
+            words = [f"{rng.randrange(10**6)}" for _ in range(size)]
+            rows.append((len(rows), " ".join(words), "a"))
+            rows.append((len(rows), " ".join(words[round(size * rng.choice((0.05, 0.1, 0.15, 0.2, 0.25))):]), "a"))
+            rows.append((len(rows), " ".join(words + [f"{rng.randrange(10**6)}" for _ in range(round(size * 0.15))]), "a"))
+    sets = [set(simhash.shingle_hashes(simhash.words_of(t), 5).tolist()) for _, t, _ in rows]
+    prints = [simhash.fingerprint(simhash.shingle_hashes(simhash.words_of(t), 5)) & (2**64 - 1) for _, t, _ in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 10 * shared >= 8 * (len(sets[i]) + len(sets[j]) - shared) or (prints[i] ^ prints[j]).bit_count() <= 3:
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {}
+    for r in simhash.similar_documents(frame(spark, rows)).collect():
+        groups.setdefault(r["root"], set()).add(r["doc_id"])
+    expected = {}
+    for i in range(len(rows)):
+        expected.setdefault(find(i), set()).add(i)
+    assert find(1) == 0 and sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
 def test_passages(spark, documents):
     assert run(spark, "op3_passages") == brute.passages(documents)
 
