@@ -6,7 +6,8 @@ item's BM25 that a passage holds, and one threshold suits all. Passages
 are overlapping windows of a document, twice as long as the longest item, so one of
 them holds any copy whole. A window whose bounds cannot reach the threshold costs a
 running sum; the others walk the postings. What is retrieved is verified: enough
-five-word runs of the item's question and of its answer stand in the passage.
+five-word runs of the item's question and of its answer stand in the passage, or, as one
+edit breaks most runs of a short part, enough of its words in order where the copy lies.
 Items are indexed in shards of bounded size; each is broadcast on its own.
 """
 
@@ -16,6 +17,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -70,12 +72,14 @@ class Index:
     """BM25 over word pairs of items (id, text). Items of fewer than two words have no pairs and are never found."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.ids, self.parts, counts = [], [], []
+        self.ids, self.parts, self.whole, counts = [], [], [], []
         for item_id, text in items:
             words = words_of(text)
             if len(words) > 1:
                 self.ids.append(item_id)
-                self.parts.append(tuple(map(shingles, question_and_answer(text))))
+                question, answer = question_and_answer(text)
+                self.parts.append((shingles(question), shingles(answer)))
+                self.whole.append((question, answer))
                 counts.append((len(words), Counter(zip(words, words[1:]))))
         df = Counter(t for _, c in counts for t in c)
         n, mean = len(counts), sum(x for x, _ in counts) / max(1, len(counts))
@@ -171,6 +175,9 @@ class Index:
             for item, score in hits:
                 question, answer = (
                     (len(part & _runs(passage, part)) / len(part) if part else 1.0) for part in self.parts[item])
+                if question < OVERLAP or answer < OVERLAP:
+                    in_order = words_in_order(*self.whole[item], passage)
+                    question, answer = max(question, in_order[0]), max(answer, in_order[1])
                 best = out.get(item)
                 if question >= OVERLAP and answer >= OVERLAP and (best is None or score > best[0]):
                     out[item] = (score, question, answer, start)
@@ -183,6 +190,23 @@ def _runs(words: list[bytes], like: set[tuple[bytes, ...]]) -> set[tuple[bytes,
     return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)}
 
 
+def words_in_order(question: list[bytes], answer: list[bytes], passage: list[bytes]) -> tuple[float, float]:
+    """The shares of the question's and of the answer's words that stand in order in the stretch of the passage
+    where the copy lies: around the longest run of the item's words, an eighth longer on either side."""
+    item = question + answer
+    matcher = SequenceMatcher(None, item, passage, autojunk=False)
+    best = matcher.find_longest_match()
+    slack = max(2, len(item) // 8)
+    low = max(0, best.b - best.a - slack)
+    matcher.set_seq2(passage[low:best.b - best.a + len(item) + slack])
+    counts = [0, 0]
+    for block in matcher.get_matching_blocks():
+        first = max(0, min(block.a + block.size, len(question)) - block.a)
+        counts[0] += first
+        counts[1] += block.size - first
+    return tuple(n / len(part) if part else 1.0 for n, part in zip(counts, (question, answer)))
+
+
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 

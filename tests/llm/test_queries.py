@@ -369,6 +369,23 @@ def test_leaks(spark):
     assert decontaminate.without_leaks(frame(spark, rows), items.limit(0)).count() == len(rows)
 
 
+def test_copies_with_an_edited_answer_are_leaks(spark):
+    """One changed, dropped or added word in answers of 2 to 13 words; the same questions without the answer are clean."""
+    items, rows, leaks = [], [], []
+    for i, size in enumerate(list(range(2, 14)) * 2):
+        question, answer = prose(14), prose(size).split()
+        items.append((i, f"{question}. {' '.join(answer)}."))
+        at = size // 2
+        for k, edited in enumerate((answer[:at] + ["changed"] + answer[at + 1:], answer[:at] + answer[at + 1:],
+                                    answer[:at] + ["added"] + answer[at:])):
+            rows.append((100 * i + k, f"{prose(40)} {question}. {' '.join(edited)}. {prose(70)}", "a"))
+            leaks.append((100 * i + k, i))
+        other = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+        rows.append((100 * i + 50, f"{other} {question}. {other}", "a"))
+    found = decontaminate.leaked(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == leaks
+
+
 def test_shards_of_the_index_find_the_same(spark, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = [(i, prose(20) + " " + ITEMS[i][1] + " " + prose(20), "a") for i in range(30)]
