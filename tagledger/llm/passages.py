@@ -41,15 +41,13 @@ PLACE = np.uint64((1 << 20) - 1)
 CROWD = 64
 #: Hash ranges per shuffle partition, which evens them out.
 RANGES = 8
-#: Low bits of a position; above them are bits of the text's hash, which tell rows with one doc_id apart.
-AT_BITS, MARK_BITS = 40, 16
 NO_ID = -(1 << 63)
 _SEED = np.random.Generator(np.random.PCG64(0x5EED))
 _TABLE = _SEED.integers(0, 1 << 64, 256, np.uint64)
 _BASE = np.uint64(int(_SEED.integers(0, 1 << 64, dtype=np.uint64)) | 5)
 _POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full(BUFFER + LENGTH, _BASE)]))
 _UNDO = np.cumprod(np.concatenate([[np.uint64(1)], np.full(BUFFER + LENGTH, np.uint64(pow(int(_BASE), -1, 1 << 64)))]))
-ENTRY = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("n", "<i8")])
+ENTRY = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("mark", "<i8"), ("at", "<i8"), ("n", "<i8")])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -114,8 +112,9 @@ def entries(texts: list[bytes], docs: list[int], marks: list[int]) -> np.ndarray
             anchor, whole, owner, offset, count = found
             part = np.empty(len(anchor), ENTRY)
             part["anchor"], part["whole"], part["n"] = anchor, whole >> np.uint64(16), count
-            part["doc"] = np.array([s[1] for s in slices], np.int64)[owner]
-            part["at"] = np.array([s[2] for s in slices], np.int64)[owner] + offset
+            for k, name in enumerate(("doc", "mark", "at"), 1):
+                part[name] = np.array([s[k] for s in slices], np.int64)[owner]
+            part["at"] += offset
             out.append(part)
 
     for text, doc, mark in zip(texts, docs, marks):
@@ -126,7 +125,7 @@ def entries(texts: list[bytes], docs: list[int], marks: list[int]) -> np.ndarray
             if slices and size + len(piece) > BUFFER:
                 flush()
                 slices, size = [], 0
-            slices.append((piece, doc, (mark << AT_BITS) + at))
+            slices.append((piece, doc, mark, at))
             size += len(piece)
             if len(piece) == len(text):
                 break
@@ -144,11 +143,13 @@ def merge(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(shared):
         return both, both[:0]
     group = both[shared]
-    order = np.lexsort((group["at"], group["doc"], group["whole"], group["anchor"]))
+    order = np.lexsort((group["at"], group["mark"], group["doc"], group["whole"], group["anchor"]))
     group = group[order]
     both[shared] = group
     again = np.concatenate([[False], (group["anchor"][1:] == group["anchor"][:-1]) & (group["whole"][1:] == group["whole"][:-1])])
-    place = np.concatenate([[False], again[1:] & (group["doc"][1:] == group["doc"][:-1]) & (group["at"][1:] == group["at"][:-1])])
+    place = again.copy()
+    for name in ("doc", "mark", "at"):
+        place[1:] &= group[name][1:] == group[name][:-1]
     keep = np.ones(len(both), bool)
     keep[shared[again]] = False
     return both[keep], group[again & ~place]
@@ -178,7 +179,7 @@ def pack(run: np.ndarray) -> bytes:
     low = int(run["doc"].min()) if len(run) else 0
     head = np.array([len(run), low], "<i8").tobytes()
     body = []
-    for column in (run["anchor"], run["whole"], (run["doc"] - low).view("<u8"), run["at"].astype("<u8"), run["n"].astype("<u8")):
+    for column in (run["anchor"], run["whole"], (run["doc"] - low).view("<u8"), run["mark"].view("<u8"), run["at"].astype("<u8"), run["n"].astype("<u8")):
         planes = np.ascontiguousarray(column.astype("<u8")).view(np.uint8).reshape(-1, 8).T
         used = max([k + 1 for k in range(8) if planes[k].any()], default=0)
         body.append(bytes([used]) + planes[:used].tobytes())
@@ -199,20 +200,22 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 MESSAGE = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int64()),
-                     ("anchor", pa.int64()), ("data", pa.binary())])
-MESSAGE_DDL = "key long, doc long, at long, n long, anchor long, data binary"
+                     ("anchor", pa.int64()), ("data", pa.binary()), ("mark", pa.int64())])
+MESSAGE_DDL = "key long, doc long, at long, n long, anchor long, data binary, mark long"
 #: anchor is null for covered stretches; crowded is of entries whose anchor has very many surroundings.
-FOUND_DDL = "doc long, at long, n long, anchor long, crowded boolean"
-FOUND = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("anchor", pa.int64()), ("crowded", pa.bool_())])
+FOUND_DDL = "doc long, at long, n long, anchor long, crowded boolean, mark long"
+FOUND = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("anchor", pa.int64()), ("crowded", pa.bool_()),
+                   ("mark", pa.int64())])
 
 
 def _joined(found: np.ndarray) -> np.ndarray:
     """Stretches in order of place, where overlapping strings of one text are one entry."""
     if not len(found):
         return found
-    found = found[np.lexsort((found["at"], found["doc"]))]
+    found = found[np.lexsort((found["at"], found["mark"], found["doc"]))]
     stop = found["at"] + found["n"]
-    new = np.concatenate([[True], (found["doc"][1:] != found["doc"][:-1]) | (found["at"][1:] > stop[:-1])])
+    new = np.concatenate([[True], (found["doc"][1:] != found["doc"][:-1])
+                          | (found["mark"][1:] != found["mark"][:-1]) | (found["at"][1:] > stop[:-1])])
     heads = np.flatnonzero(new)
     out = found[heads].copy()
     out["n"] = np.maximum.reduceat(stop, heads) - out["at"]
@@ -233,7 +236,8 @@ def _messages(firsts: np.ndarray, repeats: np.ndarray, ranges: int) -> pa.Record
         pa.array([p for p, _ in runs] + (gone["doc"] % max(1, ranges)).tolist(), pa.int64()),
         pa.array([None] * r + gone["doc"].tolist(), pa.int64()), pa.array([None] * r + gone["at"].tolist(), pa.int64()),
         pa.array([None] * r + gone["n"].tolist(), pa.int64()), pa.nulls(r + g, pa.int64()),
-        pa.array([d for _, d in runs] + [None] * g, pa.binary())], schema=MESSAGE)
+        pa.array([d for _, d in runs] + [None] * g, pa.binary()),
+        pa.array([None] * r + gone["mark"].tolist(), pa.int64())], schema=MESSAGE)
 
 
 def _extract(ranges: int):
@@ -249,7 +253,8 @@ def _extract(ranges: int):
 
 
 def mark_of(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text) & ((1 << MARK_BITS) - 1)
+    """Tells texts with one doc_id apart. Signed 64 bits."""
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
 def _found(repeats: np.ndarray, anchors=None, crowded=None) -> pa.RecordBatch:
@@ -257,7 +262,7 @@ def _found(repeats: np.ndarray, anchors=None, crowded=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array(repeats["doc"]), pa.array(repeats["at"]), pa.array(repeats["n"]),
         pa.nulls(n, pa.int64()) if anchors is None else pa.array(anchors.view(np.int64)),
-        pa.nulls(n, pa.bool_()) if crowded is None else pa.array(crowded)], schema=FOUND)
+        pa.nulls(n, pa.bool_()) if crowded is None else pa.array(crowded), pa.array(repeats["mark"])], schema=FOUND)
 
 
 def _passed_on(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -265,7 +270,8 @@ def _passed_on(batch: pa.RecordBatch) -> pa.RecordBatch:
     keep = batch.filter(pc.and_(pc.is_valid(batch.column(1)), pc.is_null(batch.column(4))))
     n = keep.num_rows
     return pa.RecordBatch.from_arrays(
-        [keep.column(1), keep.column(2), keep.column(3), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], schema=FOUND)
+        [keep.column(1), keep.column(2), keep.column(3), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), keep.column(6)],
+        schema=FOUND)
 
 
 def _index(batches):
@@ -290,7 +296,7 @@ def _index(batches):
             yield _found(part[several], part["anchor"][several], count[several] > CROWD)
 
 
-def _window_entries(context: list[bytes], docs, ats, counts, anchors) -> np.ndarray:
+def _window_entries(context: list[bytes], docs, ats, counts, anchors, marks) -> np.ndarray:
     """An entry per string of contexts: classed by the string, whole is its anchor."""
     out = []
     for at in range(0, len(context), 2000):
@@ -304,6 +310,7 @@ def _window_entries(context: list[bytes], docs, ats, counts, anchors) -> np.ndar
         made["anchor"] = _mix(_stretch(_sums(data), place, place + LENGTH))
         made["whole"] = np.repeat(np.array(anchors[at:at + 2000], np.int64).view(np.uint64), n) >> np.uint64(16)
         made["doc"] = np.repeat(np.array(docs[at:at + 2000], np.int64), n)
+        made["mark"] = np.repeat(np.array(marks[at:at + 2000], np.int64), n)
         made["at"] = np.repeat(np.array(ats[at:at + 2000], np.int64), n) + inner
         made["n"] = 1
         out.append(made)
@@ -319,15 +326,15 @@ def _fetch(ranges: int):
             for doc, mark, packed, edges in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 text = unzip.decompress(packed)
                 for e in edges:
-                    at = e["at"] & ((1 << AT_BITS) - 1)
-                    row = (doc, e["at"], e["n"], e["anchor"], text[at:at + e["n"] - 1 + LENGTH])
+                    row = (doc, e["at"], e["n"], e["anchor"], text[e["at"]:e["at"] + e["n"] - 1 + LENGTH], mark)
                     (crowd if e["crowded"] else plain).append(row)
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[3] for r in plain], pa.int64()), pa.array([r[0] for r in plain], pa.int64()),
                 pa.array([r[1] for r in plain], pa.int64()), pa.array([r[2] for r in plain], pa.int64()),
-                pa.array([r[3] for r in plain], pa.int64()), pa.array([r[4] for r in plain], pa.binary())], schema=MESSAGE)
+                pa.array([r[3] for r in plain], pa.int64()), pa.array([r[4] for r in plain], pa.binary()),
+                pa.array([r[5] for r in plain], pa.int64())], schema=MESSAGE)
             if crowd:
-                made = _window_entries([r[4] for r in crowd], *([r[k] for r in crowd] for k in (0, 1, 2, 3)))
+                made = _window_entries([r[4] for r in crowd], *([r[k] for r in crowd] for k in (0, 1, 2, 3, 5)))
                 yield _messages(*merge(made, np.empty(0, ENTRY)), ranges)
 
     return run
@@ -344,7 +351,7 @@ def _compare(batches):
                 yield _found(_joined(repeats))
         plain = batch.filter(pc.is_valid(batch.column(4)))
         if plain.num_rows:
-            made = _window_entries(plain.column(5).to_pylist(), *(plain.column(i).to_pylist() for i in (1, 2, 3, 4)))
+            made = _window_entries(plain.column(5).to_pylist(), *(plain.column(i).to_pylist() for i in (1, 2, 3, 4, 6)))
             made, repeats = merge(made, np.empty(0, ENTRY))
             yield _found(_joined(repeats))
             for repeats in edges.add(made):
@@ -386,12 +393,11 @@ OUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 def _cut_all(keep_text: bool):
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
-        low = (1 << AT_BITS) - 1
         for batch in batches:
             rows = []
             for doc, packed, covered in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))):
                 text = unzip.decompress(packed)
-                removed, spans, kept = cut(text, [(c["at"] & low, c["n"]) for c in covered or []])
+                removed, spans, kept = cut(text, [(c["at"], c["n"]) for c in covered or []])
                 rows.append((None if doc == NO_ID else doc, len(text), removed, spans,
                              kept if keep_text else hashlib.sha256(kept).digest()))
             yield pa.RecordBatch.from_arrays(
@@ -402,8 +408,7 @@ def _cut_all(keep_text: bool):
 
 
 def _by_text(found: DataFrame, *columns: str) -> DataFrame:
-    return found.select("doc", F.shiftright("at", AT_BITS).alias("mark"), F.struct(*columns).alias("x")).groupBy(
-        "doc", "mark").agg(F.collect_list("x").alias("x"))
+    return found.select("doc", "mark", F.struct(*columns).alias("x")).groupBy("doc", "mark").agg(F.collect_list("x").alias("x"))
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:

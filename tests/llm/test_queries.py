@@ -159,6 +159,15 @@ def test_awkward_passages(spark, monkeypatch, settings):
     assert passages.remove_repeats(frame(spark, [(None, LONG, "a"), (1, LONG, "a")])).orderBy("doc_id").collect()[0]["n_removed"] == 0
 
 
+def test_texts_under_one_id_are_told_apart(spark):
+    """1500 texts without an id, of which about 17 pairs agree in 16 bits of hash."""
+    texts = sorted((prose(30) + " " + SHARED + " " + prose(5 + i % 40) for i in range(1500)), key=lambda t: passages.mark_of(t.encode()))
+    assert len({passages.mark_of(t.encode()) & 0xFFFF for t in texts}) < len(texts)
+    expected = sorted(brute.passages(list(enumerate(texts))).values())
+    found = passages.remove_repeats(frame(spark, [(None, t, "a") for t in texts]), keep_text=True).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], brute.sha(bytes(r["kept"]))) for r in found) == expected
+
+
 @pytest.fixture(scope="module")
 def model():
     from tokenizers import Tokenizer
