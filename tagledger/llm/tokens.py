@@ -47,14 +47,16 @@ class Encoder:
     """Ids of whole texts. A cut before a blank that touches a character that is not white
     space never changes the ids, as the vocabulary's own split of the text cuts there
     too; so the ids of blank-led pieces, and of the units they split into, are
-    remembered up to a bound. Other texts go through whole."""
+    remembered up to a bound. Other texts go through whole, as do those that hold the
+    string of an added token, which has an id of its own there."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         self.split = self.model.pre_tokenizer.pre_tokenize_str
         self.merge = self.model.model.tokenize
         self.pieces: dict[str, bytes] = {}
@@ -102,7 +104,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
-        cut = [_pieces(t) for t in texts]
+        cut = [None if self.added and self.added.search(t) else _pieces(t) for t in texts]
         whole = iter(self._plain([t for t, pieces in zip(texts, cut) if pieces is None]))
         known, piece = self.pieces.get, self._piece
         return [next(whole) if pieces is None else b"".join([known(p) or piece(p) for p in pieces])

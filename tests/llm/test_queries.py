@@ -186,6 +186,15 @@ def test_tokens(spark, documents, model):
     assert tokens.token_table(frame(spark, rows).limit(0), queries.vocabulary()).count() == 0
 
 
+def test_added_tokens_in_texts_have_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(i, t, "a") for i, t in enumerate((
+        "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>y  z", "<|endoftext", "plain  text", " <|endoftext|>\n "))]
+    found = sorted(map(tuple, tokens.token_table(frame(spark, rows), queries.vocabulary()).collect()))
+    assert found == brute.tokens(pairs(rows), Tokenizer.from_file(queries.vocabulary()))
+
+
 def test_files_of_many_sizes(spark, monkeypatch, model):
     monkeypatch.setattr(tokens, "FILE_IDS", 500)
     found = sorted(map(tuple, tokens.token_table(frame(spark), queries.vocabulary()).collect()), key=lambda r: r[1])
