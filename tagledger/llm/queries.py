@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagledger.llm import decontaminate, licenses, lines, mixing, passages, quality, secret_scan, simhash, tokens, toxicity
+from tagledger.llm import decontaminate, licenses, lines, mixing, passages, quality, secret_scan, simhash, token_counts, tokens, toxicity
 from tagledger.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,4 +69,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_passages, op4_tokens, op5_secrets, op6_mixing, op7_licenses, op8_decontaminate, op9_lines, op10_quality)}
+#: More tokens than this are over the limit of the count query.
+TOKEN_LIMIT = 1024
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text: the stored count of its longest prefix. Null texts have none."""
+    counted = token_counts.prefix_counts(table(spark, sf_dir, "documents"), vocabulary())
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_toxicity, op2_simhash, op3_passages, op4_tokens, op5_secrets, op6_mixing, op7_licenses, op8_decontaminate,
+    op9_lines, op10_quality, op13_token_counts)}
