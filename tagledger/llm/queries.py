@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagledger.llm import decontaminate, licenses, lines, mixing, passages, quality, secret_scan, simhash, token_counts, tokens, toxicity
+from tagledger.llm import (
+    alignment, collocations, decontaminate, licenses, lines, mixing, passages, quality, secret_scan, simhash, token_counts,
+    tokens, toxicity,
+)
 from tagledger.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +22,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_vocabulary() -> str:
+    """Where the public sentencepiece model lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -69,6 +79,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two vocabularies in every whole text, which is zeros where it has no tokens."""
+    return alignment.linked_documents(table(spark, sf_dir, "documents"), vocabulary(), piece_vocabulary())
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language; null texts are empty, a null language is ``und``."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 #: More tokens than this are over the limit of the count query.
 TOKEN_LIMIT = 1024
 
@@ -81,4 +101,4 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_toxicity, op2_simhash, op3_passages, op4_tokens, op5_secrets, op6_mixing, op7_licenses, op8_decontaminate,
-    op9_lines, op10_quality, op13_token_counts)}
+    op9_lines, op10_quality, op11_alignment, op12_collocations, op13_token_counts)}
