@@ -39,7 +39,7 @@ from tagledger.llm.shared import map_batches
 #: Texts in hand at a time.
 BATCH = 500
 #: Pieces and units that a worker remembers in a generation.
-REMEMBERED = 200_000
+REMEMBERED = 350_000
 #: Pairs of tokens of which a worker remembers whether they fit.
 FITS = 2_000_000
 #: Code points of a piece whose differences surely fit 16 bits (four tokens a code point at most).
