@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,12 @@ from tagledger.llm.pieces import cut_pieces
 from tagledger.llm.shared import map_batches, store
 
 #: Characters, and texts, in a chunk; a longer text is a chunk of its own.
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 2 << 20
 CHUNK_TEXTS = 4000
 #: Characters of pieces that a worker remembers, before it starts anew.
-REMEMBERED = 8 << 20
+REMEMBERED = 4 << 20
+#: Pieces that the libraries encode at a time.
+LEARNED = 10_000
 #: Links of a group from which on its ids are made distinct before they are paired.
 WIDE = 256
 _COMMA, _BAR, _SEMICOLON = b",|;"
@@ -79,13 +82,27 @@ class PairEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         alone = [self.b.piece_to_id(BLANK)]
-        found_a = self.a.encode_batch_fast(pieces, add_special_tokens=False)
-        found_b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        for piece, a, b in zip(pieces, found_a, found_b):
-            a, b, data = a.ids, b if piece != " " else alone, piece.encode()
-            same = b"".join([self.bytes_a[i] for i in a]) == data == b"".join([self.bytes_b[i] for i in b])
-            self.known[piece] = (np.array(a, np.uint32).tobytes(), np.array(b, np.uint32).tobytes()) if same else None
-            self.held += len(piece)
+        for i in range(0, len(pieces), LEARNED):
+            part = pieces[i:i + LEARNED]
+            ids_a = [x.ids for x in self.a.encode_batch_fast(part, add_special_tokens=False)]
+            ids_b = self.b.encode([p[1:] for p in part], num_threads=1)
+            ids_b = [b if p != " " else alone for p, b in zip(part, ids_b)]
+            written = [p.encode() for p in part]
+            same = self._same(written, ids_a, self.bytes_a) & self._same(written, ids_b, self.bytes_b)
+            for piece, a, b, ok in zip(part, ids_a, ids_b, same.tolist()):
+                self.known[piece] = (array("I", a).tobytes(), array("I", b).tobytes()) if ok else None
+        self.held += sum(map(len, pieces))
+
+    @staticmethod
+    def _same(written: list[bytes], ids: list[list[int]], entries: list[bytes]) -> np.ndarray:
+        """Which of the pieces their tokens' bytes give back; all at once where all do."""
+        found = [entries[i] for piece in ids for i in piece]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        stops = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[stops]
+        if b"".join(found) == b"".join(written) and np.array_equal(ends, np.cumsum([len(w) for w in written])):
+            return np.ones(len(ids), bool)
+        return np.array([b"".join([entries[i] for i in piece]) == w for piece, w in zip(ids, written)])
 
     def encode(self, texts: list[str]):
         """Ids of A and of B, one text after another, and how many each text has."""
@@ -154,8 +171,8 @@ def shared_cuts(ends_a, ends_b, stops_a, stops_b):
         cut = cut + 1
         cuts_a.append(cut)
         cuts_b.append(cut_b)
-        low, high = np.concatenate([low, cut]), np.concatenate([cut, high])
-        low_b, high_b = np.concatenate([low_b, cut_b]), np.concatenate([cut_b, high_b])
+        low, high = np.stack([low, cut], 1).ravel(), np.stack([cut, high], 1).ravel()  # in order, as lookups then are
+        low_b, high_b = np.stack([low_b, cut_b], 1).ravel(), np.stack([cut_b, high_b], 1).ravel()
     return np.sort(np.concatenate(cuts_a)), np.sort(np.concatenate(cuts_b))
 
 
@@ -169,8 +186,9 @@ class Chunk:
     def __init__(self, encoder: PairEncoder, texts: list[str]):
         self.a, self.b, self.n_a, self.n_b = encoder.encode(texts)
         self.stops_a, self.stops_b = np.cumsum(self.n_a), np.cumsum(self.n_b)
-        self.cuts_a, self.cuts_b = shared_cuts(np.cumsum(encoder.sizes_a[self.a]), np.cumsum(encoder.sizes_b[self.b]),
-                                               self.stops_a, self.stops_b)
+        kind = np.int32 if sum(map(len, texts)) < 1 << 28 else np.int64  # up to four bytes a character, and a blank
+        self.cuts_a, self.cuts_b = shared_cuts(np.cumsum(encoder.sizes_a[self.a], dtype=kind),
+                                               np.cumsum(encoder.sizes_b[self.b], dtype=kind), self.stops_a, self.stops_b)
         self.starts_a, self.starts_b = _starts(self.cuts_a), _starts(self.cuts_b)
         self.text = np.searchsorted(self.stops_a, self.cuts_a)
         self.n_groups = np.bincount(self.text, minlength=len(texts))
