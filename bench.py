@@ -98,19 +98,20 @@ def main() -> None:
         "inventory_report": lambda: I.inventory_report(t("inventory")),
         "tag_violations": lambda: V.tag_violations(X.tag_payloads(spark, sf), ["doc_id"]),
     }
-    ledger = Ledger(spark, f"{base}/ledger")
+    held = []
 
     def fill_ledger() -> None:
-        """Set-up of each drain: the queue and the state as they were."""
-        for name in ("write_queue", "tag_state"):
-            ledger.table(name).replace(t(name))
+        """Set-up of each drain: a ledger with the queue and the state as they were."""
+        held.append(Ledger(spark, f"{base}/ledger-{len(held)}"))
+        held[-1].create()
+        held[-1].append("write_queue", t("write_queue"))
+        held[-1].store_state(t("tag_state"))
 
-    ledger.create()
     set_up = {"drain_batch": fill_ledger}
     jobs = {
         "summary_build": build_summary,
-        "drain_batch": lambda: ledger.drain(NOW, RUN, "me", dry_run=False, batch_id=BATCH),
-        "rollback_batch": lambda: ledger.rollback(BATCH, NOW, RUN, "me", dry_run=False),
+        "drain_batch": lambda: held[-1].drain(NOW, RUN, "me", dry_run=False, batch_id=BATCH),
+        "rollback_batch": lambda: held[-1].rollback(BATCH, NOW, RUN, "me", dry_run=False),
     }
     jobs.update({name: (lambda make=make: drain(make())) for name, make in frames.items()})
     seconds = {}

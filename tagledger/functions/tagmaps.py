@@ -36,7 +36,8 @@ def is_noop(old: Column, new: Column) -> Column:
 
 
 def tags_from_pairs(pairs: Column) -> Column:
-    """Map from an array of {key, value}; of a repeated key the last one counts."""
+    """Map from an array of {key, value}; of a repeated key the last one counts, and a pair without a key does not."""
+    pairs = F.filter(pairs, lambda p: p["key"].isNotNull())
     keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
 
     def last(k: Column) -> Column:

@@ -11,6 +11,7 @@ from tagledger.constants import PENDING, RUNNING, STALE_CLAIM_MINUTES
 from tagledger.functions.rules import complete_rules, covers_key, rule_tags
 from tagledger.operators.guards import not_handled, not_in_batch
 from tagledger.operators.rule_impact import rule_candidates
+from tagledger.operators.rule_index import tags_of
 from tagledger.operators.suggestions import with_suggestion
 from tagledger.operators.summary import WORKLOAD_KEY
 from tagledger.operators.tag_plan import tag_plan
@@ -32,16 +33,18 @@ def queue_rows(rows: DataFrame, batch_id: str, requested_by: str, now: dt.dateti
     }).select(*WRITE_QUEUE.fieldNames())
 
 
-def enqueue_rules(summary: DataFrame, queue: DataFrame, rules: Sequence, keys: Sequence[str],
+def enqueue_rules(summary: DataFrame, queue: DataFrame, rules: Sequence | DataFrame, keys: Sequence[str],
                   as_of: dt.date, days: int, batch_id: str, requested_by: str, now: dt.datetime,
                   workspaces: Sequence[str] | None = None,
                   skip_handled: bool = False) -> DataFrame | None:
     """One row per matched workload and tag of its winning rule. All tags of
-    the rule are written, whichever key decided that the workload is untagged.
+    the rule are written, whichever key decided that the workload is untagged. ``rules`` is a
+    list or a rule table.
     ``skip_handled`` makes the rows agree with ``rule_impact``; without it,
     handled workloads are queued again."""
-    wanted = complete_rules(rules)
-    if not wanted:
+    table = isinstance(rules, DataFrame)
+    wanted = rules if table else complete_rules(rules)
+    if not table and not wanted:
         return None
     matched = rule_candidates(summary, keys, rules, as_of, days, workspaces).filter("first_rule >= 0")
     if skip_handled:
@@ -51,7 +54,7 @@ def enqueue_rules(summary: DataFrame, queue: DataFrame, rules: Sequence, keys: S
 
 def _with_rule_tags(matched: DataFrame, rules, batch_id: str, requested_by: str,
                     now: dt.datetime) -> DataFrame:
-    tags = rule_tags(matched.sparkSession, rules)
+    tags = tags_of(rules) if isinstance(rules, DataFrame) else rule_tags(matched.sparkSession, rules)
     joined = matched.join(tags, matched["first_rule"] == tags["rule_idx"])
     return queue_rows(joined, batch_id, requested_by, now)
 

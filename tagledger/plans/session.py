@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # else every expression notes the line of Python it comes from, which is most of the time it takes to build a plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

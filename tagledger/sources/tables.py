@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import time
-import uuid
-from collections.abc import Callable, Collection
-
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tagledger.schemas import BUCKET, TABLES, batch_bucket, conform
@@ -17,8 +11,6 @@ PARTITIONED_BY = {
     "usage": "usage_date", "summary": "usage_date", "inventory": "scan_id", "write_queue": BUCKET,
     "audit": BUCKET, "tag_state": "product",
 }
-# Characters that Spark writes as %XX in the name of a partition directory.
-ESCAPED = frozenset("\"#%'*/:=?\\{[]^\x7f") | {chr(i) for i in range(1, 32)}
 
 
 def _stored_schema(table: str) -> T.StructType:
@@ -52,138 +44,3 @@ def append_table(rows: DataFrame, table: str, path: str) -> None:
 
 def replace_table(rows: DataFrame, table: str, path: str) -> None:
     _write(rows, table, path, "overwrite")
-
-
-def directory(table: str, value) -> str:
-    """Name of the directory that holds one partition value."""
-    if value is None:
-        return f"{PARTITIONED_BY[table]}=__HIVE_DEFAULT_PARTITION__"
-    name = "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in str(value))
-    return f"{PARTITIONED_BY[table]}={name}"
-
-
-class VersionedTable:
-    """A table that several writers change while others read it.
-
-    A version is a list of directories, one list per partition value, in a small file whose
-    name is the version's number. A change writes new directories and then creates
-    the next version's file, which fails if somebody else was first; it is then
-    made again on top of their version. So no change is lost, a change that fails
-    half-way leaves the table as it was, and readers never see half a change. What
-    no version names any more goes with ``vacuum``."""
-
-    TRIES = 20
-
-    def __init__(self, spark: SparkSession, table: str, path: str):
-        self.spark, self.table, self.path = spark, table, path.rstrip("/")
-        self._conf = spark._jsparkSession.sessionState().newHadoopConf()
-
-    def _file(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def _fs(self):
-        return self._file("log").getFileSystem(self._conf)
-
-    def version(self) -> int:
-        """The latest version, -1 if there is none."""
-        log = self._file("log")
-        if not self._fs().exists(log):
-            return -1
-        return max((int(f.getPath().getName()) for f in self._fs().listStatus(log)
-                    if f.getPath().getName().isdigit()), default=-1)
-
-    def _state(self, version: int) -> dict:
-        """{"parts": directories by partition, "notes": ...} of a version. Its file may just be
-        on its way, which takes a moment."""
-        if version < 0:
-            return {"parts": {}, "notes": {}}
-        for _ in range(50):
-            stream = self._fs().open(self._file(f"log/{version:010d}"))
-            text = bytes(stream.readAllBytes()).decode()
-            stream.close()
-            if text.endswith("\n"):
-                return json.loads(text)
-            time.sleep(0.1)
-        raise RuntimeError(f"version {version} of {self.path} is not complete")
-
-    def notes(self) -> dict:
-        """What changes have noted beside the rows."""
-        return self._state(self.version())["notes"]
-
-    def _frame(self, state: dict, only: Collection[str] | None = None) -> DataFrame:
-        schema = _stored_schema(self.table)
-        paths = [f"{self.path}/data/u={folder}/{part}" for part, folders in state["parts"].items()
-                 if only is None or part in only for folder in folders]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        found = self.spark.read.schema(schema).option("basePath", f"{self.path}/data").parquet(*paths)
-        return found.select(*schema.fieldNames())
-
-    def read(self, only: Collection[str] | None = None) -> DataFrame:
-        """The latest version, or ``only`` some of its directories."""
-        return self._frame(self._state(self.version()), only)
-
-    def _add(self, rows: DataFrame) -> dict[str, str]:
-        """Write rows to a folder of their own; directory -> folder."""
-        folder = uuid.uuid4().hex
-        place = f"data/u={folder}"
-        _write(rows, self.table, f"{self.path}/{place}", "errorifexists")
-        if self.table not in PARTITIONED_BY:
-            return {"": folder}
-        found = self._fs().listStatus(self._file(place))
-        return {f.getPath().getName(): folder for f in found if f.isDirectory()}
-
-    def _publish(self, version: int, state: dict) -> bool:
-        """Create the version's file; False if it exists."""
-        try:
-            stream = self._fs().create(self._file(f"log/{version:010d}"), False)
-        except Py4JJavaError as error:
-            if "AlreadyExists" in error.java_exception.getClass().getName():
-                return False
-            raise
-        stream.write((json.dumps(state) + "\n").encode())
-        stream.close()
-        return True
-
-    def update(self, change: Callable[[DataFrame], DataFrame],
-               touched: Callable[[DataFrame], Collection[str]] | Collection[str] | None = None,
-               notes: dict | None = None) -> None:
-        """Put ``change`` of the current rows in their place. Given directories ``touched`` (or how to
-        find them), only those are read and written; all others stay as they are."""
-        for _ in range(self.TRIES):
-            version = self.version()
-            state = self._state(version)
-            only = touched(self._frame(state)) if callable(touched) else touched
-            added = self._add(change(self._frame(state, only)))
-            parts = {p: f for p, f in state["parts"].items() if only is not None and p not in only}
-            if self._publish(version + 1, self._with(parts, added, state["notes"] | (notes or {}))):
-                return
-        raise RuntimeError(f"{self.path} changed {self.TRIES} times while it was being changed")
-
-    def append(self, rows: DataFrame) -> None:
-        """Add rows; what is there is neither read nor written."""
-        added = self._add(rows)
-        for _ in range(self.TRIES):
-            version = self.version()
-            state = self._state(version)
-            if self._publish(version + 1, self._with(state["parts"], added, state["notes"])):
-                return
-        raise RuntimeError(f"{self.path} changed {self.TRIES} times while rows were added")
-
-    @staticmethod
-    def _with(parts: dict, added: dict[str, str], notes: dict) -> dict:
-        return {"parts": parts | {p: parts.get(p, []) + [f] for p, f in added.items()}, "notes": notes}
-
-    def replace(self, rows: DataFrame) -> None:
-        """Publish ``rows`` as all there is."""
-        self.update(lambda _: rows)
-
-    create = replace
-
-    def vacuum(self) -> None:
-        """Remove folders that the latest version does not name. Nobody may be reading older
-        versions or writing."""
-        used = {f for folders in self._state(self.version())["parts"].values() for f in folders}
-        for found in self._fs().listStatus(self._file("data")):
-            if found.getPath().getName().removeprefix("u=") not in used:
-                self._fs().delete(found.getPath(), True)

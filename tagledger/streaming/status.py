@@ -7,8 +7,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tagledger.constants import PENDING, RUNNING
 from tagledger.operators.apply import apply_outcomes, newest_outcomes
-from tagledger.schemas import OUTCOMES, batch_bucket
-from tagledger.sources.tables import VersionedTable, directory
+from tagledger.plans.ledger import Ledger
+from tagledger.schemas import OUTCOMES, QUEUE_KEY
+from tagledger.sources.changelog import TRIED
 
 ROUND = "round"
 
@@ -55,25 +56,27 @@ def current_queue(queue: DataFrame, folder: str, after: int = -1) -> DataFrame:
     return apply_outcomes(queue, _rounds(queue.sparkSession, folder, after), round_column=ROUND, among=_open())
 
 
-def folded_round(table: VersionedTable, folder: str) -> int:
-    """The last round that is part of the stored queue."""
-    return table.notes().get(f"folded {folder}", -1)
-
-
-def fold_rounds(table: VersionedTable, folder: str) -> int:
-    """Make the finished rounds part of the stored queue, each once: how far it got is noted in the
-    same version. Only directories that have outcomes are written. Returns the last round folded."""
-    spark = table.spark
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{ROUND}=*/_SUCCESS")
-    found = done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(done)
-    last = max((int(f.getPath().getParent().getName().split("=")[1]) for f in found or ()), default=-1)
-    after = folded_round(table, folder)
-    if last > after:
-        rounds = _rounds(spark, folder, after).filter(F.col(ROUND) <= last)
-        buckets = rounds.select(batch_bucket(F.col("batch_id")).alias("b")).distinct().collect()
-        table.update(lambda queue: apply_outcomes(queue, rounds, round_column=ROUND, among=_open()),
-                     {directory("write_queue", r["b"]) for r in buckets}, {f"folded {folder}": last})
-    return max(last, after)
+def start_ledger_stream(ledger: Ledger, arriving: str, checkpoint: str, every: str | None = "2 seconds",
+                        files_per_round: int | None = None, late: str = "1 hour") -> StreamingQuery:
+    """Follow outcome files into a ledger's queue. An outcome that is reported again within ``late`` of its time is
+    dropped by the stream's state, which holds no more than that span of keys. One that arrives later than that behind
+    the newest is not taken: its row is open to be claimed again after half an hour, so ``late`` should
+    not be shorter. Each round appends one event per row to the ledger, under the stream's name and the round's number; a
+    round that is replayed appends the same events, which count once, whatever has been compacted meanwhile."""
+    reader = ledger.spark.readStream.schema(OUTCOMES)
+    if files_per_round:
+        reader = reader.option("maxFilesPerTrigger", files_per_round)
+    fresh = reader.parquet(arriving).withWatermark("executed_at", late).dropDuplicatesWithinWatermark(
+        [*QUEUE_KEY, "status", "executed_at"])
+
+    def take(batch: DataFrame, number: int) -> None:
+        told = newest_outcomes(batch)
+        ledger.append("queue_events", told.select(
+            *QUEUE_KEY, F.col("executed_at").alias("at"), F.lit(TRIED).alias("rank"), "status", "last_error", "executed_at",
+            F.array(F.lit(f"{checkpoint}#{number}")).alias("tries")))
+
+    writer = fresh.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def _ddl() -> str:

@@ -157,6 +157,39 @@ def suggestions(spark: SparkSession, sf: str) -> DataFrame:
     return conform(rows.filter("workload_id IS NOT NULL"), "suggestions")
 
 
+def tagged_workloads(spark: SparkSession, sf: str) -> DataFrame:
+    """A tagged workload per part: its team follows from its type or, for types that name none, from its brand;
+    one in eleven is of another team."""
+    pk, brand = F.col("p_partkey"), F.substring("p_brand", 7, 10).cast("int")
+    teams = tuple(TEAM_WORDS)
+    team = (F.when(F.col("p_type") == "PROMO", "growth").when(F.col("p_type") == "ECONOMY", "accounts")
+            .when(F.col("p_type") == "STANDARD", "core").otherwise(_pick(teams, brand % 3)))
+    return table(spark, sf, "part").select(
+        product(pk).alias("product"), F.concat(F.lit("t"), pk.cast("string")).alias("workload_id"), workspace(pk).alias("workspace_id"),
+        F.when(pk % 9 != 4, _part_name()).alias("workload_name"), F.when(pk % 7 != 3, _owner()).alias("owner"),
+        F.when(pk % 11 == 0, _pick(teams, pk % 3)).otherwise(team).alias("team"))
+
+
+def rule_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Three rules per part, later parts first, some without tags; the first parts' match by length or two letters."""
+    pk = F.col("p_partkey")
+    tags = F.when(pk % 31 != 5, F.create_map(F.lit("cost_center"), F.concat(F.lit("cc-"), (pk % 5).cast("string")),
+                                             F.lit("team"), F.lit("t"))).otherwise(F.create_map().cast("map<string,string>"))
+    number = F.substring("p_brand", 7, 10)
+
+    def rule(place: int, op: str, field: Column, value: Column) -> Column:
+        return F.struct((F.lit(10_000_000) - 3 * pk - place).cast("int").alias("rule_idx"), field.alias("field"),
+                        F.lit(op).alias("op"), value.alias("value"))
+
+    wild = F.when(pk == 1, "????????????*").when(pk == 2, "?").otherwise(
+        F.concat(F.lit("*"), F.upper(F.substring("p_name", 2, 5)), F.lit("?*#"), number))
+    rules = F.array(
+        rule(0, "matches", F.when(pk == 2, "workspace").otherwise("name"), wild),
+        rule(1, "contains", F.lit("name"), F.when(pk == 3, "w5").otherwise(F.concat(F.lit("C"), (pk * 7).cast("string")))),
+        rule(2, "equals", F.lit("name"), F.concat("p_name", F.lit("-"), F.upper("p_brand"))))
+    return table(spark, sf, "part").select(F.inline(rules), tags.alias("tags"))
+
+
 def queue(spark: SparkSession, sf: str) -> DataFrame:
     ok = F.col("o_orderkey")
     pk = (ok % 2000) * 4 + 1

@@ -157,6 +157,34 @@ cte("rule_tags", """
   SELECT * FROM (VALUES (0, 'cost_center', 'data-eng'), (0, 'team', 'de'), (1, 'cost_center', 'platform'),
                         (2, 'cost_center', 'marketing'), (3, 'cost_center', 'never'),
                         (4, 'cost_center', 'odd')) AS t(rule_idx, tag_key, tag_value)""")
+cte("rule_rows", """
+  SELECT *, CAST(10000000 - 3 * p_partkey AS INTEGER) AS base, substr(p_brand, 7) AS number FROM part WHERE p_partkey % 31 <> 5""")
+cte("many_rules", """
+  SELECT base AS rule_idx, CASE WHEN p_partkey = 2 THEN 'workspace' ELSE 'name' END AS field, 'matches' AS op,
+         CASE WHEN p_partkey = 1 THEN '????????????*' WHEN p_partkey = 2 THEN '?'
+              ELSE '*' || upper(substr(p_name, 2, 5)) || '?*#' || number END AS value, p_partkey FROM rule_rows
+  UNION ALL SELECT base - 1, 'name', 'contains', CASE WHEN p_partkey = 3 THEN 'w5' ELSE 'C' || (p_partkey * 7) END, p_partkey FROM rule_rows
+  UNION ALL SELECT base - 2, 'name', 'equals', p_name || '-' || upper(p_brand), p_partkey FROM rule_rows""", "rule_rows")
+cte("rule_texts", """
+  SELECT DISTINCT 'name' AS field, lower(coalesce(workload_name, '')) AS text FROM wl
+  UNION ALL SELECT DISTINCT 'workspace', workspace_id FROM wl""", "wl")
+cte("first_rules", """
+  SELECT t.field, t.text, min(rule_idx) AS rule_idx FROM rule_texts t JOIN many_rules r ON r.field = t.field AND CASE r.op
+    WHEN 'equals' THEN t.text = lower(r.value) WHEN 'contains' THEN contains(t.text, lower(r.value))
+    ELSE t.text LIKE replace(replace(lower(r.value), '*', '%'), '?', '_') END
+  GROUP BY t.field, t.text""", "rule_texts", "many_rules")
+cte("ruled_many", f"""
+  SELECT w.*, coalesce(least(n.rule_idx, s.rule_idx), -1) AS first_rule FROM wl w
+  LEFT JOIN first_rules n ON n.field = 'name' AND n.text = lower(coalesce(workload_name, ''))
+  LEFT JOIN first_rules s ON s.field = 'workspace' AND s.text = workspace_id
+  WHERE cc = 0 AND cost > 0 AND {TAGGABLE}""", "wl", "first_rules")
+cte("ruled_many_open", """
+  SELECT * FROM ruled_many r WHERE NOT EXISTS (
+    SELECT 1 FROM handled h WHERE h.product = r.product AND h.workload_id = r.workload_id)""",
+    "ruled_many", "handled")
+cte("many_rule_tags", """
+  SELECT rule_idx, tag_key, CASE tag_key WHEN 'team' THEN 't' ELSE 'cc-' || (p_partkey % 5) END AS tag_value
+  FROM many_rules, (VALUES ('cost_center'), ('team')) AS k(tag_key)""", "many_rules")
 cte("by_product", """
   SELECT product, round(sum(cost), 0) AS total_cost,
          round(sum(CASE WHEN cc = 0 THEN cost ELSE 0 END), 0) AS untagged_cost,
@@ -411,6 +439,62 @@ cte("scored", f"""
          {_score("'workload mentions {t}'", "'owner mentions {t}'",
                  "'no signal in name or owner'")} AS rationale
   FROM wl WHERE cc = 0 AND cost > 0""", "wl")
+TEAMS3 = "['growth','accounts','core']"
+cte("tagged_part", f"""
+  SELECT *, substr(md5(product || '|' || workload_id), 1, 1) IN ('0','4','8','c') AS held_out FROM (
+    SELECT {product('p_partkey')} AS product, 't' || p_partkey AS workload_id, {ws('p_partkey')} AS workspace_id,
+           CASE WHEN p_partkey % 9 <> 4 THEN p_name || '-' || p_brand END AS workload_name,
+           CASE WHEN p_partkey % 7 <> 3 THEN lower(p_type) || '@corp.example' END AS owner,
+           CASE WHEN p_partkey % 11 = 0 THEN ({TEAMS3})[CAST(p_partkey % 3 AS INTEGER) + 1]
+                WHEN p_type = 'PROMO' THEN 'growth' WHEN p_type = 'ECONOMY' THEN 'accounts' WHEN p_type = 'STANDARD' THEN 'core'
+                ELSE ({TEAMS3})[CAST(substr(p_brand, 7) AS INTEGER) % 3 + 1] END AS team
+    FROM part)""")
+
+
+def _words(source: str) -> str:
+    facts = (("name", "workload_name"), ("owner", "owner"), ("workspace", "workspace_id"))
+    return " UNION ALL ".join(f"""
+  SELECT product, workload_id, '{fact}:' || w AS word FROM (
+    SELECT product, workload_id, unnest(regexp_split_to_array(lower({column}), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM {source}
+    WHERE {column} IS NOT NULL) WHERE w <> ''""" for fact, column in facts)
+
+
+cte("tagged_words", f"""SELECT w.*, t.team, t.held_out FROM ({_words('tagged_part')}) w
+  JOIN tagged_part t USING (product, workload_id)""", "tagged_part")
+cte("learned_counts", "SELECT team, word, count(*) AS n FROM tagged_words WHERE NOT held_out GROUP BY ALL", "tagged_words")
+cte("learned_teams", """
+  SELECT team, CAST(round(ln(docs / sum(docs) OVER ()), 9) AS DECIMAL(18,9)) AS prior,
+         CAST(round(ln(1.0 / (used + (SELECT count(DISTINCT word) FROM learned_counts))), 9) AS DECIMAL(18,9)) AS unseen
+  FROM (SELECT team, CAST(count(*) AS DOUBLE) AS docs FROM tagged_part WHERE NOT held_out GROUP BY team)
+  JOIN (SELECT team, sum(n) AS used FROM learned_counts GROUP BY team) USING (team)""", "tagged_part", "learned_counts")
+cte("learned_weights", """
+  SELECT word, team, CAST(round(ln(n + 1.0), 9) AS DECIMAL(18,9)) AS weight FROM learned_counts""", "learned_counts")
+
+
+def _judged(name: str, source: str, words: str) -> None:
+    cte(name, f"""
+  SELECT product, workload_id, team, word, CAST(least(floor(round(1 / odds, 9) * 20), 19) AS INTEGER) AS bin FROM (
+    SELECT *, sum(exp(CAST(score - best AS DOUBLE))) OVER (PARTITION BY product, workload_id) AS odds,
+           row_number() OVER (PARTITION BY product, workload_id ORDER BY score DESC, team) AS place
+    FROM (SELECT *, max(score) OVER (PARTITION BY product, workload_id) AS best FROM (
+      SELECT l.product, l.workload_id, c.team, h.word,
+             c.prior + CAST(l.length AS DECIMAL(9,0)) * c.unseen + coalesce(h.total, 0) AS score
+      FROM (SELECT product, workload_id, count(*) AS length FROM {words}
+            WHERE word IN (SELECT word FROM learned_counts) GROUP BY ALL) l
+      CROSS JOIN learned_teams c
+      LEFT JOIN (SELECT product, workload_id, team, sum(weight) AS total, max({{'weight': weight, 'word': word}}).word AS word
+                 FROM {words} JOIN learned_weights USING (word) GROUP BY ALL) h
+        ON h.product = l.product AND h.workload_id = l.workload_id AND h.team = c.team)))
+  WHERE place = 1""", *source.split(), "learned_counts", "learned_teams", "learned_weights")
+
+
+cte("load_words", _words("(SELECT * FROM wl WHERE cc = 0 AND cost > 0)"), "wl")
+cte("test_words", "SELECT product, workload_id, word FROM tagged_words WHERE held_out", "tagged_words")
+_judged("judged_loads", "load_words", "load_words")
+_judged("judged_test", "test_words", "test_words")
+cte("reliability", """
+  SELECT bin, round((count(*) FILTER (j.team = t.team) + 2 * (bin + 0.5) / 20) / (count(*) + 2), 6) AS confidence
+  FROM judged_test j JOIN tagged_part t USING (product, workload_id) GROUP BY bin""", "judged_test", "tagged_part")
 PROMPT = """'Which of these teams runs the workload: growth, accounts, core?' || chr(10)
   || 'workload: ' || coalesce(workload_name, '(none)') || chr(10) || 'owner: ' || coalesce(owner, '(none)') || chr(10)
   || 'product: ' || product || chr(10) || 'Reply as JSON with cost_center, confidence from 0 to 1 and rationale; '
@@ -554,6 +638,19 @@ SELECT workload_id, product, workspace_id, workload_name, owner, is_serverless,
        last_seen, tag_value AS new_tag_value
 FROM ruled_open JOIN rule_tags ON rule_idx = first_rule AND tag_key = 'cost_center'
 ORDER BY round(cost, 0) DESC, product, workload_id LIMIT 200""", "ruled_open", "rule_tags")
+    o["rule_matches_indexed"] = query("SELECT product, workload_id, first_rule FROM ruled_many", "ruled_many")
+    o["rule_impact_indexed"] = query("""
+SELECT count(*) AS total_untagged, round(sum(cost), 0) AS total_untagged_cost,
+       count(*) FILTER (first_rule >= 0) AS matched_count,
+       round(sum(cost) FILTER (first_rule >= 0), 0) AS matched_cost FROM ruled_many_open""", "ruled_many_open")
+    o["rule_sample_indexed"] = query("""
+SELECT workload_id, product, workspace_id, workload_name, owner, is_serverless, round(cost, 0) AS cost,
+       last_seen, tag_value AS new_tag_value
+FROM ruled_many_open JOIN many_rule_tags ON rule_idx = first_rule AND tag_key = 'cost_center'
+ORDER BY round(cost, 0) DESC, product, workload_id LIMIT 200""", "ruled_many_open", "many_rule_tags")
+    o["enqueue_rules_indexed"] = query(f"""
+SELECT {NEW_ROW.replace('list_cost', 'cost AS list_cost')} FROM ruled_many JOIN many_rule_tags ON rule_idx = first_rule""",
+                                       "ruled_many", "many_rule_tags")
     o["handled_guard"] = query("""
 SELECT product, count(*) AS open_workloads FROM suggestions s
 WHERE NOT EXISTS (SELECT 1 FROM handled h WHERE h.product = s.product AND h.workload_id = s.workload_id)
@@ -561,6 +658,20 @@ GROUP BY product""", "suggestions", "handled")
     o["scoring_prompts"] = query(
         f"SELECT product, workload_id, {PROMPT} AS prompt FROM wl WHERE cc = 0 AND cost > 0", "wl")
     o["score_workloads"] = query("SELECT * FROM scored", "scored")
+    o["score_learned"] = query(f"""
+SELECT product, workload_id, workload_name, owner, workspace_id, cost AS list_cost,
+       coalesce(team, 'unknown') AS suggested_cost_center, coalesce(confidence, 0) AS confidence,
+       CASE WHEN team IS NULL THEN 'no known word' ELSE 'learned from ' || coalesce(word, 'the team''s size') END AS rationale
+FROM wl LEFT JOIN (
+  SELECT j.*, coalesce(r.confidence, round((j.bin + 0.5) / 20, 6)) AS confidence
+  FROM judged_loads j LEFT JOIN reliability r USING (bin)) USING (product, workload_id)
+WHERE cc = 0 AND cost > 0""", "wl", "judged_loads", "reliability")
+    o["learned_accuracy"] = query(f"""
+WITH test AS (SELECT *, workload_id AS id FROM tagged_part WHERE held_out),
+wordlist AS (SELECT *, {_score("'{t}'", "'{t}'", "'unknown'")} AS guess FROM test)
+SELECT 'learned' AS method, count(*) AS n, count(*) FILTER (j.team = test.team) AS right
+FROM test LEFT JOIN judged_test j USING (product, workload_id)
+UNION ALL SELECT 'words', count(*), count(*) FILTER (guess = team) FROM wordlist""", "tagged_part", "judged_test")
     o["suggestion_impact"] = query("""
 SELECT count(*) AS workloads, round(sum(cost), 0) AS cost,
        count(DISTINCT suggested_cost_center) AS distinct_values FROM cand""", "cand")
@@ -688,6 +799,10 @@ SELECT product, status, coalesce(nullif(trim(split_part(last_error, ':', 1)), ''
        count(*) AS rows, round(sum(list_cost), 0) AS cost, min(last_error) AS sample_reason
 FROM queue WHERE batch_id = 'batch-0' AND status IN ('FAILED', 'UNSUPPORTED')
 GROUP BY 1, 2, 3 ORDER BY rows DESC, product, status, reason LIMIT 50""", "queue")
+    o["queue_history"] = query("""
+SELECT batch_id, workspace_id, product, workload_id, tag_key, tag_value,
+       lag(tag_value) OVER (PARTITION BY workspace_id, product, workload_id, tag_key ORDER BY enqueued_at, batch_id) AS previous
+FROM queue""", "queue")
     o["count_queue_rows"] = query("SELECT count(*) AS n FROM queue WHERE batch_id = 'batch-0'", "queue")
     o["inventory_rows"] = query("""
 SELECT scan_id, scanned_at, workspace_id, product, workload_id, workload_name, owner, tags, tag_count,

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tagledger import capability, constants as C
 from tagledger.operators import (
-    apply as A, batches as B, guards as G, inventory as I, queue as Q, reports as R,
+    apply as A, batches as B, guards as G, inventory as I, learned as LS, queue as Q, reports as R,
     rollback as RB, rule_impact as RI, suggestions as SG, summary as S, validate as V,
 )
+from tagledger.operators.sequence import with_previous
 from tagledger.operators.tag_plan import tag_plan
 from tagledger.plans import flows
 from tagledger.plans.ledger import Ledger
@@ -240,6 +241,23 @@ def rule_impact(spark, sf):
     return RI.rule_impact(_summary(spark, sf), X.queue(spark, sf), [KEY], RULES, AS_OF, DAYS)
 
 
+@register("product:s workload_id:s first_rule:i")
+def rule_matches_indexed(spark, sf):
+    return RI.rule_candidates(_summary(spark, sf), [KEY], X.rule_table(spark, sf), AS_OF, DAYS)
+
+
+@register("total_untagged:i total_untagged_cost:m matched_count:i matched_cost:m")
+def rule_impact_indexed(spark, sf):
+    return RI.rule_impact(_summary(spark, sf), X.queue(spark, sf), [KEY], X.rule_table(spark, sf), AS_OF, DAYS)
+
+
+@register("workload_id:s product:s workspace_id:s workload_name:s owner:s is_serverless:i cost:m "
+          "last_seen:s new_tag_value:s")
+def rule_sample_indexed(spark, sf):
+    return RI.rule_sample(_summary(spark, sf), X.queue(spark, sf), [KEY], X.rule_table(spark, sf), AS_OF, DAYS,
+                          limit=C.RULE_SAMPLE_LIMIT)
+
+
 @register("workload_id:s product:s workspace_id:s workload_name:s owner:s is_serverless:i cost:m "
           "last_seen:s new_tag_value:s")
 def rule_sample(spark, sf):
@@ -267,6 +285,18 @@ def score_workloads(spark, sf):
                               SG.keyword_scorer(TEAM_WORDS))
 
 
+@register("product:s workload_id:s workload_name:s owner:s workspace_id:s list_cost:m "
+          "suggested_cost_center:s confidence:d rationale:s")
+def score_learned(spark, sf):
+    return LS.learned_suggestions(SG.scoring_workloads(_summary(spark, sf), AS_OF), X.tagged_workloads(spark, sf),
+                                  list(TEAM_WORDS), NOW)
+
+
+@register("method:s n:i right:i")
+def learned_accuracy(spark, sf):
+    return LS.accuracy(X.tagged_workloads(spark, sf), list(TEAM_WORDS), SG.keyword_scorer(TEAM_WORDS))
+
+
 @register("suggested_cost_center:s rows:i list_cost:m")
 def suggestions_sink(spark, sf):
     path = work_folder(spark, "suggestions")
@@ -318,6 +348,12 @@ def enqueue_rules_skip_handled(spark, sf):
     return _enqueue_rules(spark, sf, True)
 
 
+@register(NEW_ROWS)
+def enqueue_rules_indexed(spark, sf):
+    return Q.enqueue_rules(_summary(spark, sf), X.queue(spark, sf), X.rule_table(spark, sf), [KEY], AS_OF, DAYS,
+                           "batch-new", "me", NOW)
+
+
 @register(NEW_ROWS)
 def enqueue_single(spark, sf):
     return Q.enqueue_single(X.requests(spark, sf), "batch-new", "me", NOW)
@@ -412,6 +448,12 @@ def _tag_rows(state: DataFrame) -> DataFrame:
 ATTEMPT = "batch_id:s workload_id:s product:s tag_key:s status:s error:s old_value:s new_value:s noop:b"
 
 
+@register("batch_id:s workspace_id:s product:s workload_id:s tag_key:s tag_value:s previous:s")
+def queue_history(spark, sf):
+    """What each queued value follows on its resource and key."""
+    return with_previous(X.queue(spark, sf), ["workspace_id", "product", "workload_id", "tag_key"], "tag_value", "enqueued_at", "batch_id")
+
+
 @register(ATTEMPT)
 def apply_attempts(spark, sf):
     return _attempts(spark, sf)
@@ -631,14 +673,15 @@ def ledger_run(spark, sf):
     """Two runs that overlap, an enqueue between them and a rollback, on stored tables."""
     ledger = Ledger(spark, work_folder(spark, "ledger"))
     ledger.create()
-    ledger.table("tag_state").replace(X.tag_state(spark, sf))
-    ledger.table("write_queue").append(X.queue(spark, sf))
+    ledger.store_state(X.tag_state(spark, sf))
+    ledger.append("write_queue", X.queue(spark, sf))
     ledger.claim(NOW, "run-1", batch_id="batch-0")
     ledger.claim(NOW, "run-2", batch_id="batch-1")
     ledger.apply_claimed(NOW, "run-2", "me", dry_run=False)
     late = ledger.read("write_queue").filter("batch_id = 'batch-0' AND status = 'ROLLED_BACK'")
     ledger.enqueue(late.withColumns({"batch_id": F.lit("late"), "status": F.lit("PENDING")}))
     ledger.apply_claimed(NOW, "run-1", "me", dry_run=False)
+    ledger.compact()
     ledger.rollback("batch-1", NOW + dt.timedelta(minutes=1), "run-3", "me", dry_run=False)
     none = F.lit(None).cast("string")
     shown = ("batch_id", "workspace_id", "product", "workload_id", "tag_key", "status", "old_value", "new_value")
