@@ -74,23 +74,26 @@ class Model:
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, past the last, score), in one linear scan: a new
-    positive stretch joins those before it for as long as that raises the score."""
+    positive stretch joins those before it for as long as that raises the score. Each segment is linked to the
+    nearest earlier one it could join, so those between are never looked at again."""
     good = np.flatnonzero(scores > 0)
     if not len(good):
         return []
     sums = np.concatenate([[0.0], np.cumsum(scores)])
     found: list[list] = []  # first, past the last, sum before, sum through
+    link: list[int] = []  # the nearest earlier one with a smaller sum before
     for i in good.tolist():
-        cand = [i, i + 1, sums[i], sums[i + 1]]
+        cand, j = [i, i + 1, sums[i], sums[i + 1]], len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= cand[2]:
-                j -= 1
+                j = link[j]
             if j < 0 or found[j][3] >= cand[3]:
                 found.append(cand)
+                link.append(j)
                 break
-            cand = [found[j][0], cand[1], found[j][2], cand[3]]
-            del found[j:]
+            cand, before = [found[j][0], cand[1], found[j][2], cand[3]], link[j]
+            del found[j:], link[j:]
+            j = before
     return [(a, b, float(t - s)) for a, b, s, t in found]
 
 
