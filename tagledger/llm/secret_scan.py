@@ -68,10 +68,10 @@ def _deviates(x: Column) -> Column:
     """The squared deviates of the tests, added up, for a struct of what they need."""
     codes, symbols, mean = x["codes"], x["symbols"], x["mean"]
     n = F.size(codes).cast("double")
-    zero = F.struct(F.lit(-1).alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("sum"))
+    zero = F.struct(F.lit(-1).alias("prev"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))  # doubles, as squares of long runs overflow
 
     def count(acc: Column, code: Column) -> Column:
-        run = F.when(code == acc["prev"], acc["run"] + 1).otherwise(1)
+        run = F.when(code == acc["prev"], acc["run"] + 1.0).otherwise(1.0)
         return F.struct(code.alias("prev"), run.alias("run"), (acc["sum"] + 2 * run - 1).alias("sum"))
 
     squares = F.aggregate(F.array_sort(codes), zero, count)["sum"]  # of the symbols' counts
@@ -138,11 +138,11 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 def _described(run: Column) -> Column:
     """A run as a struct of what its tests need."""
-    codes = F.transform(F.sequence(F.lit(1), F.char_length(run)), lambda i: F.ascii(F.substring(run, i, F.lit(1))))
+    codes = F.transform(F.split(run, ""), F.ascii)
     return F.transform(F.array(codes), lambda c: F.struct(
         c.alias("codes"), _alphabet(run, lambda a: a[1]).alias("symbols"), _alphabet(run, lambda a: a[2]).alias("digits"),
         _alphabet(run, lambda a: ord(a[3])).alias("middle"),
-        (F.aggregate(c, F.lit(0), lambda a, x: a + x) / F.size(c)).alias("mean")))[0]
+        (F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c)).alias("mean")))[0]
 
 
 def _limits(scanned: DataFrame) -> dict[int, int]:
