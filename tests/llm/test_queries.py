@@ -92,47 +92,20 @@ def test_links_of_all_kinds_are_found(spark):
 
 
 def test_one_document_of_each_group_stays(spark):
-    words = prose(200).split()
-    near = " ".join(words[:100] + ["changed"] + words[101:])
-    rows = [(5, " ".join(words), "a"), (6, near, "a"), (6, near, "a"), (7, prose(200), "a"), (8, None, "a"), (9, "", "b"),
-            (None, prose(50), "a"), (10, " ".join(words[:100] + prose(100).split()), "a")]
-    kept = simhash.one_per_group(frame(spark, rows))
-    assert kept.columns == frame(spark).columns
-    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 5, 7, 8, 10]
-    assert simhash.one_per_group(frame(spark, rows).limit(0)).count() == 0
-
-
-def test_similar_texts_are_linked_by_exact_similarity(spark):
-    """Pairs about 0.8, of few and of many words, against all pairs of shingle sets."""
-    rows = [(0, prose(9), "a")]
-    rows.append((1, " ".join(rows[0][1].split()[:8]), "a"))  # 5 and 4 shingles
-    for size in (10, 30, 70, 200):
-        for _ in range(30):
-            words = [f"{rng.randrange(10**6)}" for _ in range(size)]
-            rows.append((len(rows), " ".join(words), "a"))
-            rows.append((len(rows), " ".join(words[round(size * rng.choice((0.05, 0.1, 0.15, 0.2, 0.25))):]), "a"))
-            rows.append((len(rows), " ".join(words + [f"{rng.randrange(10**6)}" for _ in range(round(size * 0.15))]), "a"))
-    sets = [set(simhash.shingle_hashes(simhash.words_of(t), 5).tolist()) for _, t, _ in rows]
-    prints = [simhash.fingerprint(simhash.shingle_hashes(simhash.words_of(t), 5)) & (2**64 - 1) for _, t, _ in rows]
-    up = list(range(len(rows)))
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in range(i):
-            shared = len(sets[i] & sets[j])
-            if 10 * shared >= 8 * (len(sets[i]) + len(sets[j]) - shared) or (prints[i] ^ prints[j]).bit_count() <= 3:
-                up[max(find(i), find(j))] = min(find(i), find(j))
-    groups = {}
-    for r in simhash.similar_documents(frame(spark, rows)).collect():
-        groups.setdefault(r["root"], set()).add(r["doc_id"])
-    expected = {}
-    for i in range(len(rows)):
-        expected.setdefault(find(i), set()).add(i)
-    assert find(1) == 0 and sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+    words = prose(2000).split()
+    text, near = " ".join(words), " ".join(words[:900] + ["changed"] + words[901:])
+    far = " ".join(words[:1000] + prose(1000).split())
+    docs = [(5, text), (6, near), (6, near), (7, prose(200)), (8, None), (9, ""), (None, prose(50)), (None, text), (10, far),
+            (11, "single"), (11, "single"), (12, "again"), (12, "again again")]
+    prints = [brute.fingerprint(t) for _, t in docs]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 < (prints[0] ^ prints[8]).bit_count()
+    rows = [(d, t, "a") for d, t in docs]
+    odd = frame(spark, rows).withColumns({c: F.lit("x") for c in ("mark", "root", "rows", "_row", "w", "f", "r", "wanted", "null")})
+    kept = simhash.one_per_group(odd)
+    assert kept.columns == odd.columns
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept.collect()) == sorted(
+        [(5, text), (7, docs[3][1]), (8, ""), (0, docs[6][1]), (10, far), (11, "single"), (12, "again"), (12, "again again")])
+    assert simhash.one_per_group(odd.limit(0)).count() == 0
 
 
 def test_passages(spark, documents):
@@ -172,9 +145,7 @@ def test_texts_under_one_id_are_told_apart(spark):
 def model():
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(queries.vocabulary())
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(queries.vocabulary())
 
 
 def test_tokens(spark, documents, model):
@@ -224,6 +195,14 @@ def test_random_keys_are_told_from_long_words(spark):
     assert rows[d][1][start:stop] == keys[d]
 
 
+@pytest.mark.parametrize("run", ["-" * 6_000, "=-" * 40_000, "a1B2" * 25_000, "Zm9v" * 250_000, "0" * 1_000_000])
+def test_long_runs_are_scanned(spark, run):
+    """Rulers, data URIs and the like: no overflow, time by length, base spans as ever."""
+    found = by_id(secret_scan.find_secrets(frame(spark, [(1, f"x {run} y", "a"), (2, "token: abcdef", "a")])).select(
+        "doc_id", secret_scan.printed("base")))
+    assert found == {1: (brute.secrets(f"x {run} y")[4],), 2: (brute.secrets("token: abcdef")[4],)}
+
+
 def check_mix(found, docs):
     expected = brute.targets(docs)
     size = {d: len(brute.WORD.findall(t or "")) for d, _, t in docs}
@@ -370,6 +349,19 @@ def test_all_maximal_segments():
         assert [(a, b) for a, b, _ in toxicity.segments(scores)] == best(scores, 0, len(scores))
 
 
+def test_segments_take_linear_time():
+    """Many isolated hits, and many that join one another late."""
+    import time
+
+    import numpy as np
+
+    began = time.process_time()
+    assert len(toxicity.segments(np.array([1.0, -2.0] * 200_000))) == 200_000
+    joined = toxicity.segments(np.array([1.0, -0.999] * 200_000 + [300.0] + [-2.0, 1.0] * 100_000))
+    assert (joined[0][0], joined[0][1]) == (0, 400_001) and len(joined) == 100_001
+    assert time.process_time() - began < 20
+
+
 ITEMS = [(i, f"{prose(12)}. {prose(14).title()}? {prose(9)}.") for i in range(30)] + [(30, None), (31, ""), (32, "one"), (3, None)]
 
 
