@@ -127,7 +127,7 @@ def learned_suggestions(workloads: DataFrame, tagged: DataFrame, teams: Sequence
 
 
 def accuracy(tagged: DataFrame, teams: Sequence[str], scorer=None) -> DataFrame:
-    """(method, n, right) on the held-out workloads: of the learned teams and, if given, of a ``scorer`` of prompts."""
+    """(method, n, n_right) on the held-out workloads: of the learned teams and, if given, of a ``scorer`` of prompts."""
     test = tagged.where(held_out() & F.col("team").isin(*teams))
     model = Model(tagged.where(~held_out()), teams)
     guess = test.join(model.scored(test).select(*KEY, F.col("team").alias("guess")), KEY, "left").select(
@@ -138,4 +138,4 @@ def accuracy(tagged: DataFrame, teams: Sequence[str], scorer=None) -> DataFrame:
         asked = F.from_json(scorer(prompt(list(teams))), ANSWER_SCHEMA)
         guess = guess.unionByName(test.select(F.lit("words").alias("method"), "team", asked["cost_center"].alias("guess")))
     return guess.groupBy("method").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("guess") == F.col("team")).alias("right"))
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("guess") == F.col("team")).alias("n_right"))

@@ -660,18 +660,16 @@ GROUP BY product""", "suggestions", "handled")
     o["score_workloads"] = query("SELECT * FROM scored", "scored")
     o["score_learned"] = query(f"""
 SELECT product, workload_id, workload_name, owner, workspace_id, cost AS list_cost,
-       coalesce(team, 'unknown') AS suggested_cost_center, coalesce(confidence, 0) AS confidence,
-       CASE WHEN team IS NULL THEN 'no known word' ELSE 'learned from ' || coalesce(word, 'the team''s size') END AS rationale
+       coalesce(f.team, 'unknown') AS suggested_cost_center, coalesce(f.confidence, 0) AS confidence,
+       CASE WHEN f.team IS NULL THEN 'no known word' ELSE 'learned from ' || coalesce(f.word, 'the team''s size') END AS rationale
 FROM wl LEFT JOIN (
   SELECT j.*, coalesce(r.confidence, round((j.bin + 0.5) / 20, 6)) AS confidence
-  FROM judged_loads j LEFT JOIN reliability r USING (bin)) USING (product, workload_id)
+  FROM judged_loads j LEFT JOIN reliability r USING (bin)) f USING (product, workload_id)
 WHERE cc = 0 AND cost > 0""", "wl", "judged_loads", "reliability")
     o["learned_accuracy"] = query(f"""
-WITH test AS (SELECT *, workload_id AS id FROM tagged_part WHERE held_out),
-wordlist AS (SELECT *, {_score("'{t}'", "'{t}'", "'unknown'")} AS guess FROM test)
-SELECT 'learned' AS method, count(*) AS n, count(*) FILTER (j.team = test.team) AS right
-FROM test LEFT JOIN judged_test j USING (product, workload_id)
-UNION ALL SELECT 'words', count(*), count(*) FILTER (guess = team) FROM wordlist""", "tagged_part", "judged_test")
+SELECT 'learned' AS method, count(*) AS n, count(*) FILTER (j.team = t.team) AS n_right
+FROM (SELECT * FROM tagged_part WHERE held_out) t LEFT JOIN judged_test j USING (product, workload_id)
+UNION ALL SELECT 'words', count(*), count(*) FILTER ({_score("'{t}'", "'{t}'", "'unknown'")} = team) FROM tagged_part WHERE held_out""", "tagged_part", "judged_test")
     o["suggestion_impact"] = query("""
 SELECT count(*) AS workloads, round(sum(cost), 0) AS cost,
        count(DISTINCT suggested_cost_center) AS distinct_values FROM cand""", "cand")

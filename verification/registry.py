@@ -292,7 +292,7 @@ def score_learned(spark, sf):
                                   list(TEAM_WORDS), NOW)
 
 
-@register("method:s n:i right:i")
+@register("method:s n:i n_right:i")
 def learned_accuracy(spark, sf):
     return LS.accuracy(X.tagged_workloads(spark, sf), list(TEAM_WORDS), SG.keyword_scorer(TEAM_WORDS))
 
