@@ -10,7 +10,7 @@ from tagledger import constants as C
 from tagledger.operators.apply import (
     audit_id, change_state, refused_by_rule, refused_by_state, with_capability, with_state,
 )
-from tagledger.schemas import AUDIT, of_batch
+from tagledger.schemas import AUDIT, QUEUE_KEY, of_batch
 
 CHANGE_KEY = ("product", "workload_id", "tag_key")
 
@@ -79,15 +79,16 @@ def mark_rolled_back(queue: DataFrame, batch_id: str, tried: DataFrame,
                      now: dt.datetime) -> DataFrame:
     """Queue snapshot with the restored rows of the batch set to ROLLED_BACK.
     Only the batch's SUCCEEDED rows are joined; all others pass straight
-    through, so the queue itself is never shuffled."""
+    through, so the queue itself is never shuffled. The join is by the whole merge key, which the batch is part of,
+    so a queue that is stored in buckets of it (``sources.bucketed``) is not shuffled at all."""
     mine = F.coalesce(
         (F.col("batch_id") == batch_id) & (F.col("status") == C.SUCCEEDED), F.lit(False))
     restored = (
         tried.filter(F.col("status") == C.SUCCEEDED)
-        .select(*CHANGE_KEY).dropDuplicates().withColumn("_restored", F.lit(True))
+        .select(*QUEUE_KEY).dropDuplicates().withColumn("_restored", F.lit(True))
     )
     hit = F.col("_restored").isNotNull()
-    changed = queue.filter(mine).join(restored, list(CHANGE_KEY), "left").withColumns({
+    changed = queue.filter(mine).join(restored, list(QUEUE_KEY), "left").withColumns({
         "status": F.when(hit, C.ROLLED_BACK).otherwise(F.col("status")),
         "executed_at": F.when(hit, F.lit(now)).otherwise(F.col("executed_at")),
     }).select(*queue.columns)

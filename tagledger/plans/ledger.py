@@ -18,14 +18,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tagledger import constants as C
 from tagledger.operators import (
     apply as A, inventory as I, queue as Q, rollback as R, suggestions as SG, summary as S,
 )
 from tagledger.operators.validate import checked, overfull
-from tagledger.plans.flows import RunResult
+from tagledger.plans.flows import RunResult, counted, counts_of
 from tagledger.plans.session import work_folder
 from tagledger.schemas import QUEUE_KEY, RESOURCE_KEY, batch_bucket
 from tagledger.sources import changelog as L
@@ -101,14 +101,19 @@ class Ledger:
         state = self._stored(held.filter(~scanned).unionByName(fresh), "state")
         L.replace_parts(state, self.folder, "tag_state", products)
 
-    def enqueue(self, rows: DataFrame) -> None:
-        """Store intent. A tag that breaks a limit, or a resource that would get too many
+    def enqueue(self, rows: DataFrame) -> dict[str, int]:
+        """Store intent and return how many rows there were, by origin too where rows tell it, counted
+        by the write itself. A tag that breaks a limit, or a resource that would get too many
         tags, refuses the whole batch."""
         queue = self.read("write_queue").filter(F.col("status").isin(C.PENDING, C.RUNNING))
         full = overfull(rows, self.read("tag_state").filter("workload_id IS NOT NULL"), queue).limit(3).collect()
         if full:
             raise ValueError(f"too many tags for {len(full)} or more resources, such as {full[0].asDict()}")
-        self.append("write_queue", checked(rows))
+        seen, counts = Observation(), [F.count(F.lit(1)).alias("total_rows")]
+        if "origin" in rows.columns:
+            counts += [F.count_if(F.col("origin") == o).alias(f"{o}_rows") for o in ("rule", "suggestion")]
+        self.append("write_queue", checked(rows.observe(seen, *counts)))
+        return dict(seen.get)
 
     def _of(self, batch_id: str | None) -> DataFrame:
         """The queue, or the rows of one batch, for which only its bucket is read."""
@@ -129,13 +134,14 @@ class Ledger:
                       dry_run: bool = True, batch_id: str | None = None) -> RunResult:
         """Carry out what the run has claimed."""
         taken = Q.claimed_rows(self._of(batch_id), run_token)
-        tried = self._stored(A.attempts(taken, self.read("tag_state"), dry_run), run_token)
+        rows, seen = counted(A.attempts(taken, self.read("tag_state"), dry_run))
+        tried = self._stored(rows, run_token)
         written = tried.filter((F.col("status") == C.SUCCEEDED) & ~F.col("dry_run"))
         order = F.concat_ws("|", F.date_format("enqueued_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "batch_id")
         changes = written.select(*RESOURCE_KEY, "tag_key", F.lit(now).alias("at"), order.alias("place"),
                                  F.col("new_value").alias("tag_value"))
         events = self._event(A.outcomes(tried, now), L.TRIED, now, F.lit(run_token))
-        return self._settle(tried, A.audit_rows(tried, now, executed_by, run_token), changes, events)
+        return self._settle(tried, counts_of(seen), A.audit_rows(tried, now, executed_by, run_token), changes, events)
 
     def drain(self, now: dt.datetime, run_token: str, executed_by: str, dry_run: bool = True,
               workspace_id: str | None = None, batch_id: str | None = None) -> RunResult:
@@ -149,13 +155,14 @@ class Ledger:
                  dry_run: bool = True, anchor: str = "latest",
                  skip_rolled_back: bool = False) -> RunResult:
         plan = R.rollback_plan(self.read("audit"), batch_id, anchor, skip_rolled_back)
-        tried = self._stored(R.rollback_attempts(plan, self.read("tag_state"), dry_run), run_token)
+        rows, seen = counted(R.rollback_attempts(plan, self.read("tag_state"), dry_run))
+        tried = self._stored(rows, run_token)
         restored = tried.filter(F.col("status") == C.SUCCEEDED)
         changes = restored.select(*RESOURCE_KEY, "tag_key", F.lit(now).alias("at"), F.lit("").alias("place"),
                                   F.col("old_value").alias("tag_value"))
         undone = R.mark_rolled_back(self._of(batch_id), batch_id, tried, now).filter(F.col("status") == C.ROLLED_BACK) \
             .filter(F.col("executed_at") == F.lit(now))
-        return self._settle(tried, R.rollback_audit(tried, now, executed_by, run_token), changes,
+        return self._settle(tried, counts_of(seen), R.rollback_audit(tried, now, executed_by, run_token), changes,
                             self._event(undone, L.UNDONE, now))
 
     def _stored(self, rows: DataFrame, name: str) -> DataFrame:
@@ -165,11 +172,12 @@ class Ledger:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def _settle(self, tried: DataFrame, audit: DataFrame, changes: DataFrame, events: DataFrame) -> RunResult:
+    def _settle(self, tried: DataFrame, counts: dict[str, int], audit: DataFrame, changes: DataFrame,
+                events: DataFrame) -> RunResult:
         """Audit first, then the state, then the queue: whatever a crash cuts
         off, no change is without its record and the rows are tried again."""
-        if not tried.isEmpty():
+        if counts["rows"]:
             self.append("audit", audit)
             self.append("tag_changes", changes)
             self.append("queue_events", events)
-        return RunResult(self.read("write_queue"), self.read("tag_state"), audit, tried)
+        return RunResult(self.read("write_queue"), self.read("tag_state"), audit, tried, counts)

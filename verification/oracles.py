@@ -614,6 +614,7 @@ FROM wl GROUP BY ALL""", "wl")
 SELECT {column} AS value, round(sum(list_cost), 0) AS cost, count(DISTINCT workload_id) AS workloads
 FROM summary WHERE usage_date >= {AS_OF} - 30 AND {column} IS NOT NULL AND {column} <> ''
 GROUP BY {column} ORDER BY lower({column}), {column} LIMIT 2000""", "summary")
+    o["kpi_two_keys_bits"], o["kpi_no_keys_bits"] = o["kpi_two_keys"], o["kpi_no_keys"]
     o["freshness"] = query("SELECT max(usage_date) AS as_of, count(*) AS rows FROM summary", "summary")
     o["explore"] = query(f"""
 SELECT product, workload_id, workload_name, owner, cost, last_seen FROM wl
@@ -757,6 +758,7 @@ FROM scanned_tried""", "scanned_tried")
 SELECT batch_id, workload_id, product, tag_key,
        CASE WHEN result = 'SUCCEEDED' AND NOT (product <> 'VECTOR_SEARCH' AND coalesce(stored = tag_value, false))
             THEN 'SKIPPED_DRYRUN' ELSE result END AS status FROM judged""", "judged")
+    o["apply_queue_bucketed"] = query(LIVE_QUEUE.format(source="tried"), "queue", "tried")
     o["apply_queue"] = query(LIVE_QUEUE.format(source="tried"), "queue", "tried")
     o["apply_audit"] = query(f"""
 SELECT {audit_id('run-1', 'SET')} AS audit_id, {NOW} AS executed_at, 'me' AS executed_by, error, batch_id, workspace_id, product, workload_id, tag_key, old_value,

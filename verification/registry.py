@@ -7,13 +7,14 @@ i whole number, m money (two decimals), d double, b boolean, t timestamp.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tagledger import capability, constants as C
 from tagledger.operators import (
-    apply as A, batches as B, guards as G, inventory as I, learned as LS, queue as Q, reports as R,
+    apply as A, batches as B, guards as G, inventory as I, key_words as KW, learned as LS, queue as Q, reports as R,
     rollback as RB, rule_impact as RI, suggestions as SG, summary as S, validate as V,
 )
 from tagledger.operators.sequence import with_previous
@@ -22,6 +23,7 @@ from tagledger.plans import flows
 from tagledger.plans.ledger import Ledger
 from tagledger.plans.session import work_folder
 from tagledger.sources import tables
+from tagledger.sources.bucketed import store_bucketed
 from tagledger.streaming.status import current_queue, start_status_stream
 from verification import fixtures as X
 from verification.fixtures import AS_OF, NOW, RULES, TEAM_WORDS
@@ -150,6 +152,25 @@ def kpi_no_keys(spark, sf):
     return R.kpi_summary(_summary(spark, sf), [], AS_OF, 60, ["1", "3", "5"])
 
 
+def _kpi_of_words(spark, sf, keys, days, workspaces=None):
+    summary = flows._stored(_summary(spark, sf), "summary")
+    numbers = flows._stored(KW.key_numbers(summary), "key_numbers")
+    daily = flows._stored(KW.daily_words(summary, numbers, numbers.count()), "key_words")
+    return KW.kpi_of_rollup(flows._stored(KW.rollup_words(daily, AS_OF, days, workspaces), "key_rollup"), numbers, keys)
+
+
+@register(KPI)
+def kpi_two_keys_bits(spark, sf):
+    """``kpi_two_keys`` from a stored rollup of key sets."""
+    return _kpi_of_words(spark, sf, [KEY, "team"], 90)
+
+
+@register(KPI)
+def kpi_no_keys_bits(spark, sf):
+    """``kpi_no_keys`` from a stored rollup of key sets."""
+    return _kpi_of_words(spark, sf, [], 60, ["1", "3", "5"])
+
+
 @register("product:s total_cost:m untagged_cost:m tagged_cost:m pct_untagged:d")
 def by_product(spark, sf):
     return R.by_product(_summary(spark, sf), [KEY], AS_OF, DAYS)
@@ -466,6 +487,14 @@ def apply_scanned(spark, sf):
     return A.attempts(claimed, I.tag_state(X.inventory(spark, sf)), False)
 
 
+@register("batch_id:s workload_id:s product:s tag_key:s status:s attempts:i executed_at:t")
+def apply_queue_bucketed(spark, sf):
+    """The status merge on a queue that is stored in buckets of the merge key."""
+    name = f"queue_{uuid.uuid4().hex}"
+    queue = store_bucketed(X.queue(spark, sf), "write_queue", name, work_folder(spark, name), 16)
+    return A.apply_outcomes(queue, A.outcomes(_attempts(spark, sf), NOW))
+
+
 @register("batch_id:s workload_id:s product:s tag_key:s status:s")
 def apply_dry_run(spark, sf):
     return A.outcomes(_attempts(spark, sf, dry_run=True), NOW)
