@@ -204,11 +204,13 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken. Rows that are equal in
     doc_id, source and text are taken alike."""
-    marked = docs.withColumn("__mark", F.xxhash64(F.coalesce("text", F.lit("")), "source"))
-    units = marked.select("doc_id", "source", "__mark", word_count(F.col("text")).alias("size")).groupBy(
-        "doc_id", "source", "__mark").agg(F.sum("size").alias("size"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # in a struct, no name of theirs meets one of ours
+    marked = docs.select(whole.alias("doc"), F.col("doc_id").alias("id"), F.col("source").alias("of"),
+                         F.xxhash64(F.coalesce("text", F.lit("")), "source").alias("mark"), word_count(F.col("text")).alias("size"))
+    units = marked.groupBy(F.col("id").alias("doc_id"), F.col("of").alias("source"), F.col("mark").alias("__mark")).agg(
+        F.sum("size").alias("size"))
     taken = mix(units).where("copies > 0").select(
         F.col("doc_id").alias("__id"), F.col("__mark").alias("__m"), "copies")
     # what is taken grows with the documents, so it is never broadcast
-    joined = marked.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("__n")).select(*docs.columns)
+    joined = marked.join(taken.hint("merge"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__m")))
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")

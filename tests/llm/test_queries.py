@@ -47,6 +47,16 @@ def documents(spark):
     return [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
 
 
+def test_the_mix_keeps_columns_of_any_name(spark):
+    names = ("copies", "__mark", "__n", "__id", "__m", "doc", "mark", "of", "source_size", "target")
+    docs = frame(spark).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    found = mixing.mixed(docs)
+    assert found.columns == docs.columns and found.count() > 0
+    plain = sorted(r["doc_id"] for r in mixing.mixed(frame(spark)).collect())
+    assert sorted(r["doc_id"] for r in found.collect()) == plain
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in found.collect() for c in names)
+
+
 def by_id(df):
     return {r[0]: tuple(r)[1:] for r in df.collect()}
 
