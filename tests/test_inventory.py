@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from tagledger.operators import inventory as I
@@ -90,3 +91,12 @@ def test_products_that_hide_their_tags_are_known_all_the_same(spark):
     hidden = listing(spark, "tags string", ("9", None, None))
     state = I.tag_state(I.inventory_sweep({"VECTOR_SEARCH": hidden}, *SCAN)).first()
     assert state["workload_id"] == "9" and state["tags"] is None and state["problem"] == I.UNREADABLE
+
+
+def test_pairs_without_a_key_do_not_count(spark):
+    from tagledger.functions.tagmaps import tags_from_maps, tags_from_pairs
+
+    df = spark.sql("SELECT array(named_struct('key', 'a', 'value', '1'), named_struct('key', CAST(NULL AS STRING), 'value', '2'), "
+                   "named_struct('key', 'a', 'value', '3')) AS p, array(map('x', '1'), NULL, map('x', '2')) AS m")
+    row = df.select(tags_from_pairs(F.col("p")).alias("p"), tags_from_maps(F.col("m")).alias("m")).first()
+    assert row["p"] == {"a": "3"} and row["m"] == {"x": "2"}
