@@ -1,6 +1,7 @@
 """The gram index against the rules' own conditions."""
 
 import random
+import re
 from decimal import Decimal as D
 
 import pytest
@@ -126,3 +127,49 @@ def test_operators_take_a_list_or_a_table(spark, summary, make):
                 lambda r: Q.enqueue_rules(summary, queue, r, ["cost_center"], AS_OF, 30, "b", "me", NOW)):
         expected, found = one(rules), one(table)
         assert found.columns == expected.columns and rows(found) == rows(expected) and found.count() > 0
+
+
+def rules_of_guessed_size(spark, n):
+    """Rules whose size Spark guesses from a small source."""
+    number = F.col("id").cast("string")
+    tags = F.create_map(F.lit("cost_center"), F.concat(F.lit("cc-"), number), F.lit("team"), F.lit("t"))
+    return spark.range(n).select(
+        F.col("id").cast("int").alias("rule_idx"), F.lit("name").alias("field"), F.lit("contains").alias("op"),
+        F.concat(F.lit("etl-"), number, F.lit("-load")).alias("value"), tags.alias("tags"))
+
+
+def broadcast_unshuffled(df):
+    """Operators below broadcasts that read no shuffle, by which adaptive execution could have learnt their size."""
+    found, inside = [], None
+    for line in plan_of(df).splitlines():
+        lead, name = re.match(r"([\s:+-]*)(?:\*\(\d+\) )?(.*)", line).groups()
+        if inside is not None and (len(lead) <= inside or name.startswith("Exchange")):
+            inside = None
+        if inside is not None:
+            found.append(name)
+        if name.startswith("BroadcastExchange"):
+            inside = len(lead)
+    return found
+
+
+def test_the_index_broadcasts_no_exploded_rules(spark, summary):
+    found = RI.rule_candidates(summary, ["cost_center"], rules_of_guessed_size(spark, 50), AS_OF, 30)
+    assert not [x for x in broadcast_unshuffled(found) if "Generate" in x]
+    assert rows(found, "workload_id", "first_rule") == sorted((str(i), i) for i in range(40))
+
+
+def test_the_index_is_built_once_for_all_fields(spark, summary):
+    found = RI.rule_candidates(summary, ["cost_center"], rules_of_guessed_size(spark, 50), AS_OF, 30)
+    assert found.count() == 40
+    found.collect()
+    final = plan_of(found).split("== Initial Plan ==")[0]
+    assert len(re.findall(r"[^n] Generate explode\(grams", final)) <= 2  # the grams wanted, and each with its rule
+
+
+def test_of_rules_that_ask_the_same_the_smallest_number_wins(spark):
+    workloads = spark.createDataFrame([("a", "P", "1", "alpha", "x"), ("b", "P", "1", "beta", "x"), ("c", "P", "1", "abc", "x")], WORKLOADS)
+    table = spark.createDataFrame([
+        (9, "name", op, v, TAGS) for op, v in (("contains", "ALP"), ("matches", "b?ta"), ("equals", "abc"))] + [
+        (n, "name", op, v, TAGS) for n in (5, 4) for op, v in (("contains", "alp"), ("matches", "B?TA"), ("equals", "ABC"))] + [
+        (1, "name", "contains", "alp", {})], RX.RULE_TABLE)
+    assert rows(RX.with_first_rule(workloads, table), "workload_id", "first_rule") == [("a", 4), ("b", 4), ("c", 4)]
