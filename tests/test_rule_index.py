@@ -173,3 +173,8 @@ def test_of_rules_that_ask_the_same_the_smallest_number_wins(spark):
         (n, "name", op, v, TAGS) for n in (5, 4) for op, v in (("contains", "alp"), ("matches", "B?TA"), ("equals", "ABC"))] + [
         (1, "name", "contains", "alp", {})], RX.RULE_TABLE)
     assert rows(RX.with_first_rule(workloads, table), "workload_id", "first_rule") == [("a", 4), ("b", 4), ("c", 4)]
+
+
+def test_impact_broadcasts_no_exploded_rules(spark, summary, make):
+    found = RI.rule_impact(summary, make("write_queue"), ["cost_center"], rules_of_guessed_size(spark, 50), AS_OF, 30)
+    assert not [x for x in broadcast_unshuffled(found) if "Generate" in x]
