@@ -178,3 +178,8 @@ def test_of_rules_that_ask_the_same_the_smallest_number_wins(spark):
 def test_impact_broadcasts_no_exploded_rules(spark, summary, make):
     found = RI.rule_impact(summary, make("write_queue"), ["cost_center"], rules_of_guessed_size(spark, 50), AS_OF, 30)
     assert not [x for x in broadcast_unshuffled(found) if "Generate" in x]
+
+
+def test_sample_does_not_broadcast_the_rules(spark, summary, make):
+    found = RI.rule_sample(summary, make("write_queue"), ["cost_center"], rules_of_guessed_size(spark, 50), AS_OF, 30)
+    assert not re.search(r"BroadcastHashJoin \[first_rule", plan_of(found)) and found.count() == 40
