@@ -183,3 +183,8 @@ def test_impact_broadcasts_no_exploded_rules(spark, summary, make):
 def test_sample_does_not_broadcast_the_rules(spark, summary, make):
     found = RI.rule_sample(summary, make("write_queue"), ["cost_center"], rules_of_guessed_size(spark, 50), AS_OF, 30)
     assert not re.search(r"BroadcastHashJoin \[first_rule", plan_of(found)) and found.count() == 40
+
+
+def test_enqueue_does_not_broadcast_the_tags(spark, summary, make):
+    found = Q.enqueue_rules(summary, make("write_queue"), rules_of_guessed_size(spark, 50), ["cost_center"], AS_OF, 30, "b", "me", NOW)
+    assert not [x for x in broadcast_unshuffled(found) if "Generate" in x] and found.count() == 80
