@@ -180,3 +180,16 @@ def test_sample_does_not_broadcast_the_rules(spark, summary, make):
 def test_enqueue_does_not_broadcast_the_tags(spark, summary, make):
     found = Q.enqueue_rules(summary, make("write_queue"), rules_of_guessed_size(spark, 50), ["cost_center"], AS_OF, 30, "b", "me", NOW)
     assert not [x for x in broadcast_unshuffled(found) if "Generate" in x] and found.count() == 80
+
+
+def test_the_plan_does_not_repeat_how_the_workloads_are_made(spark, summary, make):
+    """Adaptive execution keeps and rewrites the whole plan on the driver."""
+    found = RI.rule_impact(summary, make("write_queue"), ["cost_center"], rules_of_guessed_size(spark, 50), AS_OF, 30)
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 20
+    assert [tuple(r) for r in found.collect()] == [(40, 820.0, 40, 820.0)]
+
+
+def test_rows_that_stand_twice_are_kept_and_a_text_that_many_hold_is_found_for_all(spark):
+    workloads = spark.createDataFrame([("a", "P", "1", None, "x")] * 3 + [(None, None, None, None, None)] * 2, WORKLOADS).repartition(3)
+    table = spark.createDataFrame([(4, "workspace", "equals", "1", TAGS), (5, "owner", "matches", "?", TAGS)], RX.RULE_TABLE)
+    assert rows(RX.with_first_rule(workloads, table), "workload_id", "first_rule") == [("a", 4)] * 3 + [(None, -1)] * 2
