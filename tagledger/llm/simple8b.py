@@ -67,32 +67,30 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded[:, :BLOCK] = flat.reshape(blocks, BLOCK)
     length = np.full(blocks, BLOCK)
     length[-1] = len(ids) - (blocks - 1) * BLOCK
-    choice = _selectors(bit_widths(padded))
-    at, live = np.zeros(blocks, np.int64), np.arange(blocks)
-    steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    while len(live):
-        place = at[live]
-        selector = choice[live, place]
-        steps.append((live, place, selector))
-        at[live] = place + COUNTS[selector]
-        live = live[at[live] < length[live]]
-    block = np.concatenate([s[0] for s in steps])
-    place = np.concatenate([s[1] for s in steps])
-    selector = np.concatenate([s[2] for s in steps]).astype(np.int64)
-    order = np.argsort(block, kind="stable")  # steps come in order of place
-    block, place, selector = block[order], place[order], selector[order]
+    choice, padded = _selectors(bit_widths(padded)).ravel(), padded.ravel()
+    # where the next word begins, from every place; a block that is through stays where it is
+    begin, step = np.arange(blocks) * (BLOCK + PAD), COUNTS[choice].reshape(blocks, -1)
+    for row, stop in zip(step, length.tolist()):
+        row[stop:] = 0
+    onward, end = np.arange(len(choice)) + step.ravel(), begin + length
+    steps = [begin]
+    while len(steps) % 64 or (steps[-1] < end).any():
+        steps.append(onward[steps[-1]])
+    heads = np.array(steps).T
+    heads = heads[heads < end[:, None]]  # block by block, in order of place
+    block, selector = heads // (BLOCK + PAD), choice[heads].astype(np.int64)
     long = selector == ESCAPE
-    word_at = np.arange(len(block)) + np.cumsum(long) - long
-    words = np.zeros(len(block) + int(long.sum()), np.uint64)
+    word_at = np.arange(len(heads)) + np.cumsum(long) - long
+    words = np.zeros(len(heads) + int(long.sum()), np.uint64)
     for s in np.unique(selector).tolist():
-        mine = selector == s
-        rows, cols = block[mine], place[mine]
-        value = np.full(len(rows), np.uint64(s) << np.uint64(60))
+        mine = np.flatnonzero(selector == s)
+        at = heads[mine]
+        value = np.full(len(at), np.uint64(s) << np.uint64(60))
         if s == ESCAPE:
-            words[word_at[mine] + 1] = padded[rows, cols]
+            words[word_at[mine] + 1] = padded[at]
         else:
             for k in range(int(COUNTS[s]) if WIDTHS[s] else 0):
-                value |= padded[rows, cols + k] << np.uint64(k * int(WIDTHS[s]))
+                value |= padded[at + k] << np.uint64(k * int(WIDTHS[s]))
         words[word_at[mine]] = value
     offsets = np.append(word_at[np.searchsorted(block, np.arange(blocks))], len(words))
     return words, offsets
@@ -113,16 +111,16 @@ def decode(words: np.ndarray, offsets: np.ndarray, n_ids: int) -> np.ndarray:
     count = COUNTS[selector[heads]]
     before = np.cumsum(count) - count
     first = np.searchsorted(block, np.arange(blocks))
-    place = before - before[first][block]
-    out = np.zeros((blocks, BLOCK + PAD), np.uint64)
+    place = before - before[first][block] + block * (BLOCK + PAD)
+    out = np.zeros(blocks * (BLOCK + PAD), np.uint64)
     for s in np.unique(selector[heads]).tolist():
-        mine = selector[heads] == s
-        rows, cols, value = block[mine], place[mine], words[heads[mine]]
+        mine = np.flatnonzero(selector[heads] == s)
+        at, value = place[mine], words[heads[mine]]
         if s == ESCAPE:
-            out[rows, cols] = words[heads[mine] + 1]
+            out[at] = words[heads[mine] + 1]
             continue
         width = int(WIDTHS[s])
         mask = np.uint64((1 << width) - 1)
         for k in range(int(COUNTS[s]) if width else 0):
-            out[rows, cols + k] = (value >> np.uint64(k * width)) & mask
-    return out[:, :BLOCK].reshape(-1)[:n_ids]
+            out[at + k] = (value >> np.uint64(k * width)) & mask
+    return out.reshape(blocks, -1)[:, :BLOCK].reshape(-1)[:n_ids]

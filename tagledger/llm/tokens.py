@@ -17,10 +17,10 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,33 +33,56 @@ END_ID = 0
 FILE_IDS = 2_000_000
 #: Most tasks that read files.
 READ_TASKS = 10_000
-#: Pieces of text whose ids a worker remembers.
+#: Units of text whose ids a worker remembers.
 REMEMBERED = 200_000
-#: Ids that are packed at a time.
+#: Bytes of text that are encoded at a time.
+PORTION = 4 << 20
+#: Ids that are packed, or unpacked, at a time.
 PACKED = 64 * simple8b.BLOCK
 MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: White space that a cut before a blank would tear apart.
-TORN = re.compile(r"\s (?=\s|\Z)")
+TORN = rf"{_SPACE} ({_SPACE}|\z)"
+#: Words that ``UNIT`` splits as the library does, as the Unicode classes of their characters are fixed.
+USUAL = rf"\A[\t\n\r!-~{_LETTERS}]*[!-~{_LETTERS}]\z"
+#: The units of the usual byte-level split, over the characters of ``USUAL``.
+UNIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _TOKENIZERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
     """Ids of whole texts. A cut before a blank that touches a character that is not white
     space never changes the ids, as the vocabulary's own split of the text cuts there
-    too; so the ids of blank-led pieces, and of the units they split into, are
-    remembered up to a bound. Other texts go through whole, as do those that hold the
-    string of an added token, which has an id of its own there."""
+    too. So texts are cut at their blanks, each distinct word of a batch is split into the units of
+    that split, and the library merges all units that are not remembered in one call; how many bytes
+    each id stands for tells whose it is. Words with characters beyond Latin letters and ASCII go
+    through the library's own split. Texts that a cut could change go through whole, as do those that hold
+    the string of an added token, which has an id of its own there, and all texts where the
+    vocabulary is no byte-level one with the usual split."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added)) if added else None
-        self.split = self.model.pre_tokenizer.pre_tokenize_str
-        self.merge = self.model.model.tokenize
-        self.pieces: dict[str, bytes] = {}
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        vocab, split, merge = self.model.get_vocab(with_added_tokens=False), self.model.pre_tokenizer, self.model.model
+        self.usual = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space \
+            and isinstance(merge, models.BPE) and not any((
+                merge.dropout, merge.continuing_subword_prefix, merge.end_of_word_suffix,
+                self.model.normalizer, self.model.truncation, self.model.padding)) \
+            and set(pre_tokenizers.ByteLevel.alphabet()) <= vocab.keys()
+        if not self.usual:
+            return
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.bytes_of[list(vocab.values())] = list(map(len, vocab))
+        # as what bytes are written; the zero byte, which no unit holds, ends a unit
+        plain = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {ord(b): x for c in map(chr, range(0x250)) for b, x in zip(
+            c.encode().decode("latin-1"), plain.pre_tokenize_str(c)[0][0])} | {0: " "}
+        self.merged = Tokenizer(merge)
+        self.merged.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.units: dict[str, bytes] = {}
         self.seen, self.marks = bytearray(1 << 20), 0
 
@@ -73,47 +96,108 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _unit(self, unit: str) -> bytes:
-        """Ids of one unit of the vocabulary's own split."""
-        ids = self.units.get(unit)
-        if ids is None:
-            ids = array("I", [t.id for t in self.merge(unit)]).tobytes()
-            self._remember(self.units, unit, ids)
-        return ids
-
-    def _remember(self, known: dict[str, bytes], text: str, ids: bytes) -> None:
-        """From its second time on, as most pieces never come again."""
-        place = hash(text) & 0xFFFFF
-        if self.seen[place]:
-            if len(known) < REMEMBERED:
-                known[text] = ids
-        else:
-            self.seen[place] = 1
-            self.marks += 1
-            if self.marks > 300_000:
-                self.seen, self.marks = bytearray(1 << 20), 0
-
-    def _piece(self, piece: str) -> bytes:
-        word = piece[1:] if piece[:1] == " " else piece
-        if word.isascii() and word.isalpha():  # its own split leaves it whole
-            ids = self._unit("\u0120" + word if piece[:1] == " " else word)
-        else:
-            ids = b"".join([self._unit(u) for u, _ in self.split(piece)])
-        self._remember(self.pieces, piece, ids)
-        return ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _remember(self, units: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
+        """From its second time on, as most units never come again."""
+        known = self.units
+        if len(known) >= REMEMBERED:
+            return
+        data, at = ids.tobytes(), 0
+        for unit, stop in zip(units, (4 * stops).tolist()):
+            place = hash(unit) & 0xFFFFF
+            if self.seen[place]:
+                if len(known) < REMEMBERED:
+                    known[unit] = data[at:stop]
+            else:
+                self.seen[place] = 1
+                self.marks += 1
+            at = stop
+        if self.marks > 300_000:
+            self.seen, self.marks = bytearray(1 << 20), 0
+
+    def _merge(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, one after another, and where each unit's end."""
+        written = "\0".join(units).encode().decode("latin-1").translate(self.written)
+        encoded, = self.merged.encode_batch_fast([written], add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4")
+        return ids, self._stops(ids, np.array([len(u.encode()) for u in units], np.int64))
+
+    def _stops(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Where the ids of texts of ``sizes`` bytes end."""
+        return np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes)) + 1
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of blank-led words of the usual characters, one after another, and how many each has."""
+        if not len(words):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+                                pa.scalar(" ", words.type))[0].as_py()
+        coded = pa.array(UNIT.findall(" " + joined), pa.string()).dictionary_encode()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.units.get, units))
+        known = [f for f in found if f is not None]
+        ids, sizes = np.frombuffer(b"".join(known), "<u4"), np.array(list(map(len, known)), np.int64) // 4
+        place = np.arange(len(units))
+        if fresh := [u for u, f in zip(units, found) if f is None]:
+            merged, stops = self._merge(fresh)
+            self._remember(fresh, merged, stops)
+            ids, sizes = np.concatenate([ids, merged]), np.concatenate([sizes, np.diff(stops, prepend=0)])
+            new = np.array([f is None for f in found])
+            place = np.where(new, len(known) + np.cumsum(new), np.cumsum(~new)) - 1
+        out, _ = _gathered(ids, sizes, place[coded.indices.to_numpy()])
+        return out, np.diff(self._stops(out, pc.binary_length(words).to_numpy().astype(np.int64) + 1), prepend=0)
+
+    def _cut(self, texts: pa.Array) -> list[bytes]:
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(texts, " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        bounds, parts = bounds - bounds[0], cut.flatten()
+        first = np.zeros(len(parts), bool)  # what no blank leads
+        first[bounds[:-1]] = True
+        coded = parts.filter(pa.array(~first)).dictionary_encode()
+        words, number = coded.dictionary, np.empty(len(parts), np.int64)
+        number[~first] = coded.indices.to_numpy()
+        number[first] = len(words) + np.arange(len(texts))
+        usual = pc.match_substring_regex(words, USUAL)
+        ids, sizes = self._words(words.filter(usual))
+        others = self._plain([" " + w for w in words.filter(pc.invert(usual)).to_pylist()]
+                             + parts.filter(pa.array(first)).to_pylist())
+        usual = usual.to_numpy(zero_copy_only=False)
+        place = np.empty(len(words) + len(texts), np.int64)
+        place[np.concatenate([np.flatnonzero(usual), np.flatnonzero(~usual),
+                              len(words) + np.arange(len(texts))])] = np.arange(len(place))
+        ids, stops = _gathered(np.concatenate([ids, np.frombuffer(b"".join(others), "<u4")]),
+                               np.concatenate([sizes, np.array([len(o) // 4 for o in others], np.int64)]), place[number])
+        data, ends = ids.tobytes(), (4 * stops[bounds[1:] - 1]).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit numbers."""
-        cut = [None if self.added and self.added.search(t) else _pieces(t) for t in texts]
-        whole = iter(self._plain([t for t, pieces in zip(texts, cut) if pieces is None]))
-        known, piece = self.pieces.get, self._piece
-        return [next(whole) if pieces is None else b"".join([known(p) or piece(p) for p in pieces])
-                for pieces in cut]
+        if not self.usual:
+            return self._plain(texts.to_pylist())
+        whole = pc.match_substring_regex(texts, TORN)
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        plain, cut = iter(self._plain(texts.filter(whole).to_pylist())), iter(self._cut(texts.filter(pc.invert(whole))))
+        return [next(plain if w else cut) for w in whole.to_pylist()]
 
 
-def _pieces(text: str) -> list[str] | None:
-    """The text cut before its blanks; None if it must go through whole."""
-    return None if "\0" in text or TORN.search(text) else text.replace(" ", "\0 ").split("\0")
+def _gathered(ids: np.ndarray, sizes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of entry after entry by their numbers, and where each ends; entry i has ``sizes[i]`` of ``ids``."""
+    counts = sizes[number]
+    stops = np.cumsum(counts)
+    before = (np.cumsum(sizes) - sizes)[number] - stops + counts
+    at = np.repeat(before, counts)
+    at += np.arange(len(at))
+    return ids[at], stops
+
+
+def _portions(texts: pa.Array):
+    """The texts in turn, some ``PORTION`` bytes at a time."""
+    place = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // PORTION
+    bounds = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(texts)]
+    for a, b in zip(bounds, bounds[1:]):
+        yield a, texts.slice(a, b - a)
 
 
 def _filesystem(uri: str):
@@ -151,7 +235,10 @@ def parse(content: bytes):
     doc_ids = np.frombuffer(content, "<i8", n_docs, at).tolist()
     known = np.frombuffer(content, "u1", n_docs, at + 8 * n_docs).tolist()
     lengths = np.frombuffer(content, "<i8", n_docs, at + 9 * n_docs)
-    ids = simple8b.decode(words, offsets, n_ids).astype("<u4")
+    ids, step = np.empty(n_ids, "<u4"), PACKED // size
+    for i in range(0, blocks, step):
+        part, few = offsets[i:i + step + 1], ids[i * size:(i + step) * size]
+        few[:] = simple8b.decode(words[part[0]:part[-1]], part - part[0], len(few))
     return before, [d if k else None for d, k in zip(doc_ids, known)], lengths, ids
 
 
@@ -176,9 +263,9 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END
                                   ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                for d, payload in zip(doc_ids[i:i + 256], encoder.encode(texts[i:i + 256])):
+            doc_ids = batch.column(0).to_pylist()
+            for i, texts in _portions(batch.column(1)):
+                for d, payload in zip(doc_ids[i:], encoder.encode(texts)):
                     ids.append(d)
                     payloads.append(payload + end)
                     size += len(payload) // 4 + 1
