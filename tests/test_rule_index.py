@@ -193,3 +193,19 @@ def test_rows_that_stand_twice_are_kept_and_a_text_that_many_hold_is_found_for_a
     workloads = spark.createDataFrame([("a", "P", "1", None, "x")] * 3 + [(None, None, None, None, None)] * 2, WORKLOADS).repartition(3)
     table = spark.createDataFrame([(4, "workspace", "equals", "1", TAGS), (5, "owner", "matches", "?", TAGS)], RX.RULE_TABLE)
     assert rows(RX.with_first_rule(workloads, table), "workload_id", "first_rule") == [("a", 4)] * 3 + [(None, -1)] * 2
+
+
+def repeated(spark):
+    """Rules that stand twice in their table, one of them with its value in other letters, and a rule for all the rest."""
+    rules = [(n, "name", op, v, {"cost_center": f"cc-{n}"}) for n, op, v in (
+        (3, "contains", "TL-7-"), (3, "contains", "tl-7-"), (4, "matches", "etl-1?-*"), (4, "matches", "etl-1?-*"), (5, "equals", "etl-30-load"),
+        (5, "equals", "etl-30-load"), (9, "contains", "etl"))]
+    return spark.createDataFrame(rules, RX.RULE_TABLE)
+
+
+def test_enqueue_takes_rules_that_stand_twice(spark, summary, make):
+    """A tag is queued for each row of the winning rule, whichever way the rule was found."""
+    found = Q.enqueue_rules(summary, make("write_queue"), repeated(spark), ["cost_center"], AS_OF, 30, "b", "me", NOW)
+    got = {(r["workload_id"], r["tag_value"]): r["count"] for r in found.groupBy("workload_id", "tag_value").count().collect()}
+    first = {7: 3, 30: 5} | dict.fromkeys(range(10, 20), 4)
+    assert got == {(str(i), f"cc-{first.get(i, 9)}"): 2 if i in first else 1 for i in range(40)}
