@@ -209,3 +209,10 @@ def test_enqueue_takes_rules_that_stand_twice(spark, summary, make):
     got = {(r["workload_id"], r["tag_value"]): r["count"] for r in found.groupBy("workload_id", "tag_value").count().collect()}
     first = {7: 3, 30: 5} | dict.fromkeys(range(10, 20), 4)
     assert got == {(str(i), f"cc-{first.get(i, 9)}"): 2 if i in first else 1 for i in range(40)}
+
+
+def test_impact_counts_what_rules_that_stand_twice_match(spark, summary, make):
+    table = spark.createDataFrame([(n, "name", op, v, TAGS) for n, op, v in ((1, "contains", "ETL-3"), (2, "matches", "*-1?-load"))], RX.RULE_TABLE)
+    for rules in (table, table.union(table)):
+        found = RI.rule_impact(summary, make("write_queue"), ["cost_center"], rules, AS_OF, 30)
+        assert [tuple(r) for r in found.collect()] == [(40, 820.0, 21, 514.0)]
