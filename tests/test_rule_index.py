@@ -216,3 +216,11 @@ def test_impact_counts_what_rules_that_stand_twice_match(spark, summary, make):
     for rules in (table, table.union(table)):
         found = RI.rule_impact(summary, make("write_queue"), ["cost_center"], rules, AS_OF, 30)
         assert [tuple(r) for r in found.collect()] == [(40, 820.0, 21, 514.0)]
+
+
+def test_a_table_with_all_rows_twice_matches_as_with_each_once(spark):
+    loads, rules = made(12, 150, 60)
+    expected, _ = both(spark, loads, rules)
+    table = RX.rule_table(spark, rules)
+    found = RX.with_first_rule(spark.createDataFrame(loads, WORKLOADS), table.union(table.withColumn("value", F.upper("value"))))
+    assert rows(found, "workload_id", "first_rule") == expected
