@@ -224,3 +224,11 @@ def test_a_table_with_all_rows_twice_matches_as_with_each_once(spark):
     table = RX.rule_table(spark, rules)
     found = RX.with_first_rule(spark.createDataFrame(loads, WORKLOADS), table.union(table.withColumn("value", F.upper("value"))))
     assert rows(found, "workload_id", "first_rule") == expected
+
+
+def test_sample_lists_what_rules_that_stand_twice_match(spark, summary, make):
+    """A workload is listed for each row of the winning rule, whichever way the rule was found."""
+    found = RI.rule_sample(summary, make("write_queue"), ["cost_center"], repeated(spark), AS_OF, 30)
+    first = {7: 3, 30: 5} | dict.fromkeys(range(10, 20), 4)
+    expected = [(str(i), f"cc-{first.get(i, 9)}") for i in range(40) for _ in range(2 if i in first else 1)]
+    assert rows(found, "workload_id", "new_tag_value") == sorted(expected)
